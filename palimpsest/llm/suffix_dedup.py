@@ -226,7 +226,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())], names=["doc_id", "rid", "kept", "n_bytes", "n_removed", "n_spans"])
 
 
-def repeated_ranges(docs: DataFrame, length: int = 400, gram: int = 64, most: int = 32_768) -> DataFrame:
+def repeated_ranges(docs: DataFrame, length: int = 400, gram: int = 128, most: int = 32_768) -> DataFrame:
     """(doc_id, rid, text) -> doc_id, rid, start, stop: byte ranges covered by strings that start anywhere else too.
 
     Ranges of one document may overlap. ``rid`` tells rows with one doc_id apart. ``most``: different surroundings of
@@ -257,7 +257,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 64, most: int = 32_768) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 128, most: int = 32_768) -> DataFrame:
     """(doc_id, text, ...) -> doc_id, rid, kept (binary), n_bytes, n_removed, n_spans: one row for each row of ``docs``.
 
     Each byte is removed that a ``length``-byte string covers which also starts anywhere else, in the same document
