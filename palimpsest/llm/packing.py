@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import materialize
+
 _EXACT, _STEPS = 1024, 128
 
 
@@ -56,10 +58,12 @@ def pack(docs: DataFrame, buckets: int = 16, token_budget: int = 65_536, length=
     padded to ``bucket_len``; all batches of a bucket are full but the last. Bucket bounds come from the histogram
     of all rows: lengths to 1024 exactly, longer ones within a 128th. Rows are dealt to batches in the order of a hash, in
     groups of about ``group`` rows whose sizes are counted first, so a bucket may hold any share of the rows. Ties
-    and repeated rows are rows like others; an empty table gives an empty table.
+    and repeated rows are rows like others; an empty table gives an empty table. Lengths are counted once and written,
+    so the texts are read a single time.
     """
     tokens = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)) if length is None else F.coalesce(length, F.lit(0))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tokens.cast("long").alias("n_tokens"), F.xxhash64("doc_id", "text").alias("h"), *keep)
+    rows = materialize(rows, "lengths")
     bins = rows.groupBy(bin_of(F.col("n_tokens")).alias("bin")).agg(F.max("n_tokens").alias("longest"), F.count("*").alias("c"), F.sum("n_tokens").alias("t")).orderBy("bin").collect()
     if not bins:
         empty = rows.select("doc_id", "n_tokens", F.lit(0).cast("long").alias("bucket_len"), F.lit(0).cast("long").alias("batch_size"), F.lit("").alias("batch_id"), F.lit(0).cast("long").alias("slot"), *keep)
