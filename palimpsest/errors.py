@@ -22,5 +22,9 @@ class ScopeError(PalimpsestError):
     """Service and account are missing, half given, not inferable or not allowed."""
 
 
+class ConfigError(PalimpsestError):
+    """A setting that is unknown or has a wrong value."""
+
+
 class SourceError(PalimpsestError):
     """An input that no reader takes, or that is broken."""
