@@ -22,16 +22,35 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends in files that outlive any executor.
 
-    The files are removed when the driver's Python ends.
+    The shuffle files behind it go when it is written, the table itself when the driver's Python ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/palimpsest/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Removes materialized tables that nothing will read again: what came from them has to be written already."""
+    for df in tables:
+        _remove(df.sparkSession, df._written_to)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

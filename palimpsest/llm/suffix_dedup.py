@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import _BASE_INVERSE, _MASK, as_long, materialize, mix, powers, prefix_hashes, utf8
+from ._shared import _BASE_INVERSE, _MASK, as_long, materialize, mix, powers, prefix_hashes, release, utf8
 
 _ANCHORS = "doc_id long, rid long, kh long, d1 long, d2 long, pos int, start int, stop int"
 _INVERSE = [pow(_BASE_INVERSE, k, 1 << 64) for k in range(4096)]
@@ -232,9 +232,10 @@ def repeated_ranges(docs: DataFrame, length: int = 400, gram: int = 128, most: i
     Ranges of one document may overlap. ``rid`` tells rows with one doc_id apart. ``most``: different surroundings of
     one anchor that a single task sorts.
     """
-    found = materialize(docs.mapInArrow(_find_anchors(length, gram), _ANCHORS), "anchors")
-    often = found.groupBy("kh").agg(F.count("*").alias("c")).where("c > 1").select("kh")
-    found = materialize(found.join(often, "kh"), "shared-anchors")
+    every = materialize(docs.mapInArrow(_find_anchors(length, gram), _ANCHORS), "anchors")
+    often = every.groupBy("kh").agg(F.count("*").alias("c")).where("c > 1").select("kh")
+    found = materialize(every.join(often, "kh"), "shared-anchors")
+    release(every)
     key = ["kh", "d1", "d2"]
     classes = materialize(found.groupBy(*key).agg(F.count("*").alias("c"), *(F.first(x).alias(x) for x in ("doc_id", "rid", "pos", "start", "stop"))), "classes")
     inside = found.join(classes.where("c > 1").select(*key), key, "left_semi").select("doc_id", "rid", "start", "stop")
@@ -250,7 +251,10 @@ def repeated_ranges(docs: DataFrame, length: int = 400, gram: int = 128, most: i
     strings = ctx.where(F.col("n") > most).dropDuplicates(["kh", "doc_id", "rid", "pos"]).select("doc_id", "rid", "start", "ctx").mapInArrow(_strings(length), "doc_id long, rid long, start int, d1 long, d2 long").distinct()
     twice = strings.groupBy("d1", "d2").agg(F.count("*").alias("c")).where("c > 1").select("d1", "d2")
     rest = strings.join(twice, ["d1", "d2"], "left_semi").select("doc_id", "rid", "start", (F.col("start") + length).alias("stop"))
-    return inside.union(some).union(rest).distinct()
+    # written, so that what it came from needs no place while the texts are cut
+    out = materialize(inside.union(some).union(rest).distinct(), "ranges")
+    release(found, classes, ctx)
+    return out
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
