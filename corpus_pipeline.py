@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import kneser_ney, line_dedup, minhash, packing, suffix_dedup
 from palimpsest.llm._shared import materialize
 
 
-def _with_text(docs: DataFrame, new: DataFrame) -> DataFrame:
-    """``docs`` with the texts of ``new`` (doc_id, rid, text), without documents that had words and have none left."""
-    new = new.dropDuplicates(["doc_id", "rid"]).select(F.col("doc_id").alias("_id"), F.col("rid").alias("_rid"), F.col("text").alias("_text"))
-    keyed = docs.withColumn("_own", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    joined = keyed.join(new, keyed["doc_id"].cast("long").eqNullSafe(new["_id"]) & (keyed["_own"] == new["_rid"]))
-    word = r"[^\x20\x09-\x0D]"
-    stays = ~F.coalesce(F.col("text").rlike(word), F.lit(False)) | F.col("_text").rlike(word)
-    return joined.where(stays).select(*(F.col("_text").alias(c) if c == "text" else F.length("_text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+WORD = r"[^\x20\x09-\x0D]"
+
+
+def _row(docs: DataFrame) -> Column:
+    """What an operator that changes texts hands through: whether there were words, and all columns but the text."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return F.struct(F.coalesce(F.col("text").rlike(WORD), F.lit(False)).alias("had"), F.struct(*others).alias("row"))
+
+
+def _with_text(columns: list[str], new: DataFrame) -> DataFrame:
+    """The columns of documents, from ``new`` (text, carried), without documents that had words and have none left."""
+    stays = ~F.col("carried.had") | F.col("text").rlike(WORD)
+    return new.where(stays).select(*(F.col("text") if c == "text" else F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"carried.row.`{c}`").alias(c) for c in columns))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +31,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that stood before, or are one edit from one that did, go."""
-    return _with_text(docs, line_dedup.dedup_lines(docs))
+    return _with_text(docs.columns, line_dedup.dedup_lines(docs, carry=_row(docs)))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +41,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that are anywhere else too go; a code point that loses a byte goes with it."""
-    got = suffix_dedup.remove_repeats(docs)
-    return _with_text(docs, got.select("doc_id", "rid", F.expr("try_validate_utf8(cast(kept as string))").alias("text"), "kept").withColumn("text", F.coalesce("text", F.expr("regexp_replace(make_valid_utf8(cast(kept as string)), '�', '')"))).drop("kept"))
+    got = suffix_dedup.remove_repeats(docs, carry=_row(docs))
+    return _with_text(docs.columns, got.select("carried", F.expr("try_validate_utf8(cast(kept as string))").alias("text"), "kept").withColumn("text", F.coalesce("text", F.expr("regexp_replace(make_valid_utf8(cast(kept as string)), '�', '')"))).drop("kept"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

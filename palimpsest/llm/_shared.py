@@ -7,7 +7,8 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------- intermediate tables
 
@@ -47,6 +48,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def keyed(docs: DataFrame, carry: Column | None = None) -> DataFrame:
+    """doc_id, text, rid (tells rows with one doc_id apart), and ``carry``, if given, as ``carried``."""
+    more = [] if carry is None else [carry.alias("carried")]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more).withColumn("rid", F.xxhash64("doc_id", "text"))
+
+
 def release(*tables: DataFrame) -> None:
     """Removes materialized tables that nothing will read again: what came from them has to be written already."""
     for df in tables:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import materialize
+from ._shared import materialize, release
 
 
 def _both(links: DataFrame) -> DataFrame:
@@ -30,9 +30,13 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = large.where("u <> v").distinct()
         lowest = small.groupBy("u").agg(F.min("v").alias("m"))
         tied = small.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lowest.select("u", F.col("m").alias("v")))
-        state = materialize(tied.where("u <> v").distinct(), "links")
+        state, old = materialize(tied.where("u <> v").distinct(), "links"), state
+        release(old)
         now = state.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == before:
-            return state.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).union(state.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+            found = state.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).union(state.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+            found = materialize(found, "components")
+            release(state)
+            return found
         before = now
     raise RuntimeError(f"components didn't settle in {max_rounds} rounds")

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import materialize
+from ._shared import keyed, materialize, release
 
 HAS_WORD = r"[^\x20\x09-\x0D]"
 _AT = "struct<doc_id: bigint, rid: bigint, no: int>"
@@ -103,8 +103,8 @@ def _last(rows: DataFrame) -> DataFrame:
     return gone.union(both)
 
 
-def later_near_lines(docs: DataFrame, least: int = 16, most: int = 64) -> tuple[DataFrame, DataFrame]:
-    """(distinct lines, those of them that are one edit from an earlier line: h, g)"""
+def later_near_lines(docs: DataFrame, least: int = 16, most: int = 64) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(distinct lines, those of them that are one edit from an earlier line: h, g; written tables that both read)"""
     lines = materialize(_lines(docs, least), "lines")
     keys = [(f"k{k}", int(k > 2), k % 2 == 1) for k in (1, 2, 3, 4)]
     # where the half isn't known to be equal: the second after an equal first one, and the other way round
@@ -112,41 +112,49 @@ def later_near_lines(docs: DataFrame, least: int = 16, most: int = 64) -> tuple[
     rows = lines.where(F.col("len") >= least).selectExpr("h", "g", "at", f"explode(array({', '.join(entry)})) as x").select("x.*", "h", "g", "at")
     sizes = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("role").alias("r")).where("c > 1 and r = 0").select("key", "c")
     met = materialize(rows.join(sizes, "key"), "met")
+    written = [lines, met]
     pairs, gone = _pairs(met.where(F.col("c") <= most)), None
     large = met.where(F.col("c") > most).drop("c")
     if large.limit(1).count():
         large = materialize(large.join(_texts(docs, large), ["h", "g"]), "large")
+        written.append(large)
         while True:
             ended = _last(large.where("hi - lo <= 1"))
             halves = _halve(large.where("hi - lo > 1"))
             sizes = halves.groupBy("key").agg(F.count("*").alias("c"), F.min("role").alias("r")).where("c > 1 and r = 0").select("key", "c")
             halves = materialize(halves.join(sizes, "key"), "halves")
+            written.append(halves)
             gone = ended if gone is None else gone.union(ended)
             pairs = pairs.union(_pairs(halves.where(F.col("c") <= most)))
             large = halves.where(F.col("c") > most).drop("c")
             if not large.limit(1).count():
                 break
     pairs = materialize(pairs.dropDuplicates(["h1", "g1", "h2", "g2"]), "pairs")
+    written.append(pairs)
     texts = _texts(docs, pairs.selectExpr("h1 as h", "g1 as g", "at1 as at").union(pairs.selectExpr("h2 as h", "g2 as g", "at2 as at")))
     both = pairs.join(texts.toDF("h1", "g1", "one"), ["h1", "g1"]).join(texts.toDF("h2", "g2", "two"), ["h2", "g2"])
     true = both.where(within_one(F.col("one"), F.col("two")))
     later = true.selectExpr("case when at1 < at2 then struct(h2 as h, g2 as g) else struct(h1 as h, g1 as g) end as x").select("x.*")
-    return lines, (later if gone is None else later.union(gone)).distinct()
+    return lines, (later if gone is None else later.union(gone)).distinct(), written
 
 
-def dedup_lines(docs: DataFrame, least: int = 16, most: int = 64) -> DataFrame:
+def dedup_lines(docs: DataFrame, least: int = 16, most: int = 64, carry: Column | None = None) -> DataFrame:
     """(doc_id, text, ...) -> doc_id, rid, text, n_lines, n_removed: one row for each row of ``docs``.
 
     A line with a word stays unless an earlier line, of the same or another document, is equal, or one edit from it where both have
     ``least`` code points. Earlier is by doc_id (null first), then a hash of the row, then place. Lines without a word stay and aren't counted.
     Null texts stay null and have no lines. Rows with equal doc_id and text are one document; of other rows with one doc_id
-    each is its own. ``rid`` tells them apart. Other columns are ignored, whatever their names.
+    each is its own. ``rid`` tells them apart. ``carry``, if given, comes back as ``carried``;
+    other columns are ignored, whatever their names.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
-    lines, near = later_near_lines(docs, least, most)
-    stay = lines.select("h", "g", "at").join(near, ["h", "g"], "left_anti").groupBy(F.col("at.doc_id").alias("a"), F.col("at.rid").alias("b")).agg(F.collect_list("at.no").alias("nos"))
-    rows = docs.join(stay, docs["doc_id"].eqNullSafe(stay["a"]) & (docs["rid"] == stay["b"]), "left").select("doc_id", "rid", "text", F.coalesce("nos", F.array().cast("array<int>")).alias("nos"), F.split("text", "\n").alias("lines"))
+    whole = keyed(docs, carry)
+    docs = whole.select("doc_id", "rid", "text")
+    lines, near, written = later_near_lines(docs, least, most)
+    stay = materialize( lines.select("h", "g", "at").join(near, ["h", "g"], "left_anti").groupBy(F.col("at.doc_id").alias("a"), F.col("at.rid").alias("b")).agg(F.collect_list("at.no").alias("nos")), "staying")
+    release(*written)
+    more = [] if carry is None else ["carried"]
+    rows = whole.join(stay, whole["doc_id"].eqNullSafe(stay["a"]) & (whole["rid"] == stay["b"]), "left").select("doc_id", "rid", "text", *more, F.coalesce("nos", F.array().cast("array<int>")).alias("nos"), F.split("text", "\n").alias("lines"))
     rows = rows.withColumn("blank", F.expr(rf"filter(sequence(0, size(lines) - 1), i -> not (get(lines, i) rlike '[^\\x20\\x09-\\x0D]'))"))
     kept = F.expr("array_join(transform(sort_array(concat(nos, blank)), i -> get(lines, i)), '\n')")
     n = F.coalesce(F.size("lines") - F.size("blank"), F.lit(0)).cast("long")
-    return rows.select("doc_id", "rid", F.when(F.col("text").isNotNull(), kept).alias("text"), F.when(F.col("text").isNull(), 0).otherwise(n).cast("long").alias("n_lines"), F.when(F.col("text").isNull(), 0).otherwise(n - F.size("nos")).cast("long").alias("n_removed"))
+    return rows.select("doc_id", "rid", F.when(F.col("text").isNotNull(), kept).alias("text"), F.when(F.col("text").isNull(), 0).otherwise(n).cast("long").alias("n_lines"), F.when(F.col("text").isNull(), 0).otherwise(n - F.size("nos")).cast("long").alias("n_removed"), *more)

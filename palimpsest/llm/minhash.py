@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import as_long, materialize, mix, shingle_set, utf8
+from ._shared import as_long, materialize, mix, shingle_set, utf8, release
 from .components import connected_components
 
 SKETCH = "doc_id long, n_shingles long, digest binary, bands array<long>, sig binary"
@@ -220,6 +220,7 @@ def near_duplicates(docs: DataFrame, params: Params | None = None) -> DataFrame:
     sets = materialize(docs.withColumnRenamed("doc_id", "node").join(shared, "node").mapInArrow(_sets(p.width), "node long, items binary"), "sets")
     confirmed = likely.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v").mapInArrow(_confirm(p), "u long, v long")
     stars = materialize(confirmed.distinct(), "stars")
+    release(likely)
     first = connected_components(stars)
 
     placed = members.select("bh", "node").join(first, "node", "left").select("bh", "node", F.coalesce("component", "node").alias("comp"))
@@ -229,6 +230,7 @@ def near_duplicates(docs: DataFrame, params: Params | None = None) -> DataFrame:
     contested = materialize(rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(_contested(p), "bh long, one int, two int, node long, comp long, sig binary"), "contested")
     late = contested.join(sets, "node").repartition(*by).sortWithinPartitions(*by).mapInArrow(_settle(p), "u long, v long")
     late = materialize(late.distinct(), "late")
+    release(contested, sets, members, stars)
     # rows that share a doc_id but not a set tie the nodes of their sets
     several = real.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("doc_id")
     ties = real.select("doc_id", "digest").join(several, "doc_id").join(reps, "digest").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
@@ -236,7 +238,8 @@ def near_duplicates(docs: DataFrame, params: Params | None = None) -> DataFrame:
     final = connected_components(first.select(F.col("node").alias("u"), F.col("component").alias("v")).union(late).union(ties))
 
     ids = sketches.select("doc_id", "n_shingles", "digest").join(reps, "digest", "left").withColumn("node", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("node")).otherwise(F.col("doc_id")))
-    out = ids.join(final, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
+    out = materialize(ids.join(final, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id")), "membership")
+    release(sketches, nodes, first, late, final)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

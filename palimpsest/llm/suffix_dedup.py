@@ -20,10 +20,11 @@ from functools import cmp_to_key
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ._shared import _BASE_INVERSE, _MASK, as_long, materialize, mix, powers, prefix_hashes, release, utf8
+from ._shared import _BASE_INVERSE, _MASK, as_long, keyed, materialize, mix, powers, prefix_hashes, release, utf8
 
 _ANCHORS = "doc_id long, rid long, kh long, d1 long, d2 long, pos int, start int, stop int"
 _INVERSE = [pow(_BASE_INVERSE, k, 1 << 64) for k in range(4096)]
@@ -202,8 +203,6 @@ def _strings(length: int):
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("row", pa.binary()), ("kept", pa.binary()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64())])
-    del schema
     for batch in batches:
         kept, sizes, removed, spans = [], [], [], []
         for text, ranges in zip(utf8(batch.column("text")), batch.column("ranges").to_pylist(), strict=True):
@@ -223,7 +222,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes.append(len(text))
             removed.append(gone)
             spans.append(len(runs))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())], names=["doc_id", "rid", "kept", "n_bytes", "n_removed", "n_spans"])
+        more = [x for x in batch.schema.names if x == "carried"]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), *map(batch.column, more)], names=["doc_id", "rid", "kept", "n_bytes", "n_removed", "n_spans", *more])
 
 
 def repeated_ranges(docs: DataFrame, length: int = 400, gram: int = 128, most: int = 32_768) -> DataFrame:
@@ -257,20 +257,19 @@ def repeated_ranges(docs: DataFrame, length: int = 400, gram: int = 128, most: i
     return out
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
-
-
-def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 128, most: int = 32_768) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 128, most: int = 32_768, carry: Column | None = None) -> DataFrame:
     """(doc_id, text, ...) -> doc_id, rid, kept (binary), n_bytes, n_removed, n_spans: one row for each row of ``docs``.
 
     Each byte is removed that a ``length``-byte string covers which also starts anywhere else, in the same document
     too; overlaps count, matches never cross documents, strings are judged on the input. Null texts are empty, texts
     under ``length`` bytes stay as they are; an empty table gives an empty table. A row that is there twice repeats
-    itself. Rows without a doc_id take part like others. Other columns are ignored, whatever their names.
+    itself. Rows without a doc_id take part like others. ``carry``, if given, comes back
+    as ``carried``; other columns are ignored, whatever their names.
     """
-    keyed = _keyed(docs)
-    found = repeated_ranges(keyed, length, gram, most)
+    whole = keyed(docs, carry)
+    found = repeated_ranges(whole.select("doc_id", "rid", "text"), length, gram, most)
     ranges = found.groupBy(F.col("doc_id").alias("a"), F.col("rid").alias("b")).agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
-    joined = keyed.join(ranges, keyed["doc_id"].eqNullSafe(ranges["a"]) & (keyed["rid"] == ranges["b"]), "left").select("doc_id", "rid", "text", "ranges")
-    return joined.mapInArrow(_cut, "doc_id long, rid long, kept binary, n_bytes long, n_removed long, n_spans long")
+    more = [] if carry is None else ["carried"]
+    joined = whole.join(ranges, whole["doc_id"].eqNullSafe(ranges["a"]) & (whole["rid"] == ranges["b"]), "left").select("doc_id", "rid", "text", "ranges", *more)
+    schema = StructType.fromDDL("doc_id long, rid long, kept binary, n_bytes long, n_removed long, n_spans long")
+    return joined.mapInArrow(_cut, StructType([*schema, *(joined.schema[c] for c in more)]))
