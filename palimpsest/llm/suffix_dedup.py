@@ -82,7 +82,9 @@ def _find_anchors(length: int, gram: int):
 class _Surroundings:
     """The different surroundings of one anchor, with prefix hashes of what follows it and of what stands before it, reversed."""
 
-    def __init__(self, texts: list[bytes], lefts: list[int]):
+    def __init__(self, texts: list[bytes], lefts: list[int], places: list[tuple]):
+        """``places``: document, row and start of each."""
+        self.places = places
         self.right = [t[k:] for t, k in zip(texts, lefts, strict=True)]
         self.left = [t[:k][::-1] for t, k in zip(texts, lefts, strict=True)]
         self.texts, self.lefts = texts, lefts
@@ -117,8 +119,20 @@ class _Surroundings:
             best[i], best[j] = max(best[i], k), max(best[j], k)
         return order, best
 
+    def apart(self, who: np.ndarray, starts: np.ndarray, ks: list[int]) -> bool:
+        """Whether the strings ``ks`` stand in more than one place; mostly the second one shows it."""
+        doc, rid, start = self.places[who[ks[0]]]
+        at = start + starts[ks[0]]
+        for k in ks[1:]:
+            d, r, b = self.places[who[k]]
+            if b + starts[k] != at or r != rid or d != doc:
+                return True
+        return False
+
     def repeated(self, length: int) -> list[np.ndarray]:
-        """For each of them, the starts (from its own start) of the strings that another one holds too."""
+        """For each of them, the starts (from its own start) of the strings that stand in another place too.
+
+        Where a hash occurs more than once in a string, one place is seen from several anchors, and counts once."""
         n = len(self.texts)
         _, after = self.order(self.right)
         _, before = self.order(self.left)
@@ -145,7 +159,7 @@ class _Surroundings:
                     for k in range(b, e):
                         same.setdefault(self.texts[w[k]][s[k] : s[k] + length], []).append(k)
                     for ks in same.values():
-                        if len(ks) > 1:
+                        if len(ks) > 1 and self.apart(w, s, ks):
                             for k in ks:
                                 out[w[k]].append(int(s[k]))
         return [np.array(sorted(x), np.int64) for x in out]
@@ -165,7 +179,7 @@ _RANGES = pa.schema([("doc_id", pa.int64()), ("rid", pa.int64()), ("start", pa.i
 def _settle_ends(length: int):
     def settle(rows: list[dict]) -> Iterator[tuple]:
         if len(rows) > 1 and any(r["c"] == 1 for r in rows):
-            found = _Surroundings([r["ctx"] for r in rows], [r["pos"] - r["start"] for r in rows]).repeated(length)
+            found = _Surroundings([r["ctx"] for r in rows], [r["pos"] - r["start"] for r in rows], [(r["doc_id"], r["rid"], r["start"]) for r in rows]).repeated(length)
             for r, starts in zip(rows, found, strict=True):
                 if r["c"] == 1:
                     for b, e in _spans(starts, length):

@@ -1,6 +1,7 @@
 """The fixed results, against brute force in plain Python."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -85,6 +86,19 @@ def test_suffix_dedup_is_exact(spark, corpus, most, length, gram):
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, sha(r.kept)) for r in got), key=lambda x: str(x)) == sorted(repeats(corpus, length), key=lambda x: str(x)), key
 
 
+@pytest.mark.parametrize("most", [32_768, 2])
+def test_suffix_dedup_of_short_periods(spark, most):
+    """A short line again and again, over about 400 bytes: one place is seen from several anchors."""
+    r = random.Random(8)
+    say = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    rows = []
+    for k, (period, size) in enumerate([(39, 429), (39, 400), (39, 438), (39, 439), (39, 440), (20, 415), (100, 430), (130, 520), (7, 403)]):
+        line = say(period - 1) + "\n"
+        rows.append((k, say(500) + (line * 30)[:size] + say(569)))
+    got = suffix_dedup.remove_repeats(make(spark, rows), most=most).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, sha(r.kept)) for r in got) == sorted(repeats(rows, 400))
+
+
 def test_suffix_dedup_real(spark):
     rows = table(spark, "documents")
     got = suffix_dedup.remove_repeats(make(spark, rows)).collect()
