@@ -35,8 +35,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
-    return minhash.drop_near_duplicates(docs)
+    """One document of each group of near duplicates stays: of those that are 0.8 alike or more. 37 bands of 5 rows miss a pair at 0.8 as seldom as 25 miss one at 0.85."""
+    return minhash.drop_near_duplicates(docs, minhash.Params(numerator=80, bands=37))
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from conftest import SF, make
 from pyspark.sql import functions as F
 
-from palimpsest.llm import chat, components, imatch, kneser_ney, license_scan, line_dedup, packing, quality_rules
+from palimpsest.llm import chat, components, imatch, kneser_ney, license_scan, line_dedup, minhash, packing, quality_rules
 
 
 def test_components(spark):
@@ -155,6 +155,18 @@ def test_lexicon(spark):
     assert rows.select(lex.holds(F.col("h")).alias("x"), "y").where("x <> y").count() == 0
 
 
+def test_pipeline_near_duplicates_from_080(spark):
+    """5-word likeness 0.82 and, just under the limit, 0.79: one pair of the first, none of the second goes."""
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(300)]
+    other = [f"v{i}" for i in range(300)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:-30], *(f"x{i}" for i in range(30))])), (3, " ".join(other)), (4, " ".join([*other[:-34], *(f"y{i}" for i in range(34))]))]
+    got = corpus_pipeline.near_dedup(spark, make(spark, rows), SF)
+    assert sorted(r.doc_id for r in got.select("doc_id").collect()) == [1, 3, 4]
+    assert sorted(r.doc_id for r in minhash.drop_near_duplicates(make(spark, rows)).select("doc_id").collect()) == [1, 2, 3, 4]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
