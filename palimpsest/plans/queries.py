@@ -104,6 +104,19 @@ def snippets(spark, sf_dir):
     return rows.select("doc_id", snippet(F.col("text"), F.col("m.pos"), F.col("m.len")).alias("snippet"))
 
 
+@query("""
+with m as (select doc_id, text, strpos(text, 'thing') as c, strlen(substr(text, 1, strpos(text, 'thing') - 1)) as p, length(text) as n, strlen(text) as bytes from documents where contains(text, 'thing')),
+w as (select *, list_max(list_filter(range(greatest(c - 56, 1), c + 1), lambda i: strlen(substr(text, 1, i - 1)) <= greatest(p - 56, 0))) as lo,
+  list_min(list_filter(range(c + 4, least(c + 60, n) + 1), lambda j: strlen(substr(text, 1, j)) >= least(p + 61, bytes))) as hi from m)
+select doc_id, (case when lo > 1 then '...' else '' end) || translate(substr(text, lo, hi - lo + 1), chr(10) || chr(13) || chr(9), '   ') || (case when hi < n then '...' else '' end) as snippet from w
+""")
+def snippets_any_text(spark, sf_dir):
+    """As ``snippets``, of all documents: whole characters at both ends, also where they have several bytes."""
+    q = compile_query("thing")
+    rows = _read(spark, sf_dir, "documents").where(matches(F.col("text"), q)).withColumn("m", first_match(F.col("text"), q))
+    return rows.select("doc_id", snippet(F.col("text"), F.col("m.pos"), F.col("m.len")).alias("snippet"))
+
+
 @query("""
 with h as (select 'crawl/' || source as archive, cast(doc_id as varchar) as conversation_id, 'message' as field, doc_id as span_index, strlen(substr(text, 1, strpos(text, 'stor') - 1)) as pos from documents where contains(text, 'stor'))
 select * from h

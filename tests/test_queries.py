@@ -1,6 +1,7 @@
 """Each query against its SQL in DuckDB."""
 
 import datetime
+import random
 import sys
 
 import duckdb
@@ -31,6 +32,30 @@ def test_query(spark, name):
     assert found == expected and (expected or name == "snippet_groups")
 
 
+def test_snippets_of_any_text(spark, tmp_path):
+    """Characters of one to four bytes around the match, against brute force over bytes and against the SQL."""
+    r = random.Random(9)
+    say = lambda n: "".join(r.choice("ab é€\U0001f600\n\tß") for _ in range(n))
+    texts = [say(r.choice((0, 3, 30, 56, 90))) + "thing" + say(r.choice((0, 3, 30, 56, 90))) for _ in range(200)] + ["thing", "no match é", "x" * 56 + "thing" + "y" * 56, None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def brute(text):
+        data = text.encode()
+        lo, hi = data.index(b"thing") - 56, data.index(b"thing") + 61
+        lo, hi = max(lo, 0), min(hi, len(data))
+        while lo > 0 and data[lo] & 0xC0 == 0x80:
+            lo -= 1
+        while hi < len(data) and data[hi] & 0xC0 == 0x80:
+            hi += 1
+        return "..." * (lo > 0) + data[lo:hi].decode().translate(dict.fromkeys(map(ord, "\n\r\t"), " ")) + "..." * (hi < len(data))
+
+    want = {i: brute(t) for i, t in enumerate(texts) if t and "thing" in t}
+    assert {x.doc_id: x.snippet for x in QUERIES["snippets_any_text"](spark, str(tmp_path)).collect()} == want
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert dict(db.execute(ORACLE_SQL["snippets_any_text"]).fetchall()) == want
+
+
 def test_entry(spark):
     sys.path.insert(0, "/root/repo")
     import __spark_entry__ as e
