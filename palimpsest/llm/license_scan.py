@@ -2,8 +2,9 @@
 
 A multinomial logistic regression over word one- and two-grams is fitted on the templates below, in random surroundings, on sentences that
 name licences without giving one, and on a bounded sample of the corpus's paragraphs, which are the unknown class. A temperature fitted on
-held-out rows calibrates its probabilities. Only n-grams with a word that ordinary paragraphs lack are features, so a paragraph without such a word
-can't be but unknown, and only the others are scored, each distinct one once, in a join with the weights.
+held-out rows calibrates its probabilities. Features are the templates' two-grams that hold more than function words, whatever the sample has, and n-grams with a word
+that ordinary paragraphs lack. A paragraph without any of them can't be but unknown, and only the others are scored, each distinct one once, in a join
+with the weights. Paragraphs of the sample that resemble a template aren't ordinary.
 """
 
 from __future__ import annotations
@@ -92,6 +93,8 @@ NEGATIVES = [
     "Which license should I choose for my project?",
     "The apache helicopter landed near the source of the river.",
 ]
+# Words that say nothing about a licence, not by twos either.
+FUNCTION_WORDS = set("a all and any are as at be been by can for from has in into is it may no not of on or out that the this to under which with without you".split())
 UNKNOWN = "unknown"
 _WORD = re.compile(r"[\w.]*\w")
 
@@ -104,6 +107,31 @@ def _grams(words: list[str]) -> set[str]:
     return {*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))}
 
 
+def _pairs(text: str) -> set[str]:
+    return {g for g in _grams(_words(text)) if " " in g}
+
+
+TEMPLATE_PAIRS = [(name, _pairs(t)) for name, ts in TEMPLATES.items() for t in ts]
+#: Those that open the gate by themselves.
+DISTINCTIVE = {g for _, own in TEMPLATE_PAIRS for g in own if not FUNCTION_WORDS.issuperset(g.split(" "))}
+
+
+def resembles(paragraph: str, least: float = 0.5) -> bool:
+    """Whether it holds ``least`` of the two-grams of any template."""
+    own = _pairs(paragraph)
+    return any(len(own & two) >= least * len(two) for _, two in TEMPLATE_PAIRS)
+
+
+def _gate_of_pairs() -> str:
+    """A regular expression for lower-cased text that finds all of DISTINCTIVE, by first letter and first word."""
+    tree: dict[str, dict[str, list[str]]] = {}
+    for g in sorted(DISTINCTIVE):
+        a, b = g.split(" ")
+        tree.setdefault(a[0], {}).setdefault(a[1:], []).append(re.escape(b))
+    first = (re.escape(c) + "(?:" + "|".join(re.escape(a) + r"[^\p{L}\p{N}_]+(?:" + "|".join(bs) + ")" for a, bs in words.items()) + ")" for c, words in tree.items())
+    return r"(?<![\p{L}\p{N}_])(?:" + "|".join(first) + ")"
+
+
 class Model:
     """Weights by n-gram and class, bias, temperature; unknown is the first class."""
 
@@ -121,7 +149,7 @@ class Model:
         # stray licence words alone are unknown
         rows += [(0, some() + [pick.choice(self.anchors)] + some()) for _ in range(20 * copies)] if self.anchors else []
         pick.shuffle(rows)
-        grams = [{g for g in _grams(ws) if anchors & set(g.split(" "))} for _, ws in rows]
+        grams = [{g for g in _grams(ws) if g in DISTINCTIVE or anchors & set(g.split(" "))} for _, ws in rows]
         self.grams = sorted(set().union(*grams))
         index = {g: i for i, g in enumerate(self.grams)}
         x, y = np.zeros((len(rows), len(self.grams)), np.float32), np.array([k for k, _ in rows])
@@ -164,7 +192,7 @@ def scan(docs: DataFrame, max_sample_docs: int = 200, max_sample_chars: int = 2_
     background, size = [], 0
     named = re.compile(r"licen[sc]e|copyright|rights reserved|\bcc by\b|public domain", re.IGNORECASE)
     for r in sample:
-        if size < max_sample_chars and not named.search(r["p"]):
+        if size < max_sample_chars and not named.search(r["p"]) and not resembles(r["p"]):
             background.append(r["p"])
             size += len(r["p"])
     model = Model(background)
@@ -173,7 +201,7 @@ def scan(docs: DataFrame, max_sample_docs: int = 200, max_sample_chars: int = 2_
     rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "p"))
     # the words of the gate are found in the plain split of the lower-cased paragraph: those of a feature stand between marks or white space
     gate = F.arrays_overlap(F.split(F.lower("p"), r"[^\p{L}\p{N}_.]+|\.+(?![\p{L}\p{N}_])"), anchors)
-    hits = rows.where(gate)
+    hits = rows.where(gate | F.lower("p").rlike(_gate_of_pairs()))
     distinct = hits.select("p").distinct().select("p", words.alias("w"))
     pairs = F.expr("case when size(w) > 1 then transform(sequence(0, size(w) - 2), i -> concat(get(w, i), ' ', get(w, i + 1))) else cast(array() as array<string>) end")
     grams = distinct.select("p", F.array_distinct(pairs).alias("two"), F.array_distinct(F.concat("w", pairs)).alias("all"))
@@ -187,7 +215,7 @@ def scan(docs: DataFrame, max_sample_docs: int = 200, max_sample_chars: int = 2_
     scored = sums.select("p", F.array(*(F.exp(x - top) for x in z)).alias("e"))
     scored = scored.withColumn("probability", F.expr("array_max(e) / aggregate(e, 0D, (a, x) -> a + x)")).withColumn("family", F.element_at(F.array(*map(F.lit, model.classes)), F.expr("cast(array_position(e, array_max(e)) as int)")))
     scored = scored.where((F.col("family") != UNKNOWN) & (F.col("probability") >= least_probability)).select("p", "family", "probability")
-    templates = spark.createDataFrame([(name, sorted(g for g in _grams(_words(t)) if " " in g)) for name, ts in TEMPLATES.items() for t in ts], "family string, template array<string>")
+    templates = spark.createDataFrame([(name, sorted(two)) for name, two in TEMPLATE_PAIRS], "family string, template array<string>")
     like = scored.join(grams.select("p", "two"), "p").join(F.broadcast(templates), "family").groupBy("p").agg(F.max(F.size(F.array_intersect("two", "template")) / F.size("template")).alias("likeness"))
     found = scored.join(like, "p")
     return hits.join(found, "p").select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), "family", F.round("probability", 6).alias("probability"), F.round("likeness", 6).alias("likeness"), (F.col("likeness") >= least_likeness).alias("confirmed"))

@@ -91,6 +91,24 @@ def test_license_scan(spark):
     assert license_scan.scan(make(spark, [])).count() == 0
 
 
+def test_license_scan_finds_what_the_sample_holds(spark):
+    """Licence texts that don't name a licence, in every sampled document, and parts of them and their words in ordinary ones."""
+    texts = {f: t for f in ("MIT", "BSD", "GPL", "public-domain", "proprietary") for t in license_scan.TEMPLATES[f] if not t.startswith(("Licensed", "SPDX", "This project", "This work", "All"))}
+    plain = "the old river ran past a small house of stone and the people there were kind"
+    rows = [(k, plain + f" and word{k}\n" + list(texts.values())[k % len(texts)]) for k in range(60)]
+    rows += [(100 + k, " ".join(w for w in reversed(" ".join(texts.values()).split()))) for k in range(3)]
+    got = {(r.doc_id, r.paragraph): (r.family, r.confirmed) for r in license_scan.scan(make(spark, rows)).collect()}
+    want = {(k, 1): (list(texts)[k % len(texts)], True) for k in range(60)}
+    assert {k: v for k, v in got.items() if k[0] < 100} == want
+
+
+def test_license_gate_holds_every_template():
+    """Any part of a template that can be confirmed has a two-gram that opens the gate."""
+    for _, two in license_scan.TEMPLATE_PAIRS:
+        assert len(two - license_scan.DISTINCTIVE) < 0.6 * len(two)
+    assert license_scan.resembles("Redistribution and use in source and binary forms, with or without modification, are permitted provided that") and not license_scan.resembles("the old river of the work")
+
+
 def test_license_scan_covers_the_stated_lines(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "p")).where("p in ('Licensed under CC BY-NC 4.0.', 'Released under the MIT License.', 'All rights reserved.', 'Licensed under the Apache License, Version 2.0.')")
