@@ -1,5 +1,6 @@
 import itertools
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -117,17 +118,76 @@ def test_license_scan_covers_the_stated_lines(spark):
     assert got.count() <= 3 * lines.count()
 
 
+def brute_kneser_ney(trusted, texts, share, least):
+    """Loss of each text of one language, by plain counting."""
+    seqs = [[kneser_ney._plain(w) for w in t.split()] for t in trusted]
+    c = Counter(w for s in seqs for w in s)
+    vocab = {w for w, n in c.items() if n >= max(least, share * sum(c.values()))}
+    rare = max(1, len(c) - len(vocab))
+    line = lambda ws: ["<s>", *(w if w in vocab else "?" for w in ws), "</s>"]
+    pairs = Counter(p for s in seqs for p in zip(line(s), line(s)[1:], strict=False))
+
+    def discounts(ns):
+        n1, n2, n3, n4 = (max(1, sum(n == k for n in ns)) for k in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2)
+        clip = lambda x, lo, hi: min(max(x, lo), hi)
+        return [0, clip(1 - 2 * y * n2 / n1, 0.1, 0.9), clip(2 - 3 * y * n3 / n2, 0.1, 1.8), clip(3 - 4 * y * n4 / n3, 0.1, 2.7)]
+
+    before, size = Counter(w for _, w in pairs), len(vocab) + 3
+    d2, d1 = discounts(pairs.values()), discounts(before.values())
+    total1 = sum(before.values())
+    low = lambda w: max(0.01 / size, (before[w] - d1[min(3, before[w])]) / total1 + sum(d1[min(3, n)] for n in before.values()) / total1 / size)
+
+    def p(v, w):
+        after = [n for (a, _), n in pairs.items() if a == v]
+        if not after:
+            return low(w)
+        return (pairs[v, w] - d2[min(3, pairs[v, w])]) / sum(after) + sum(d2[min(3, n)] for n in after) / sum(after) * low(w)
+
+    out = []
+    for t in texts:
+        ws = line([kneser_ney._plain(w) for w in t.split()])
+        out.append(-sum(np.log(p(v, w) / (rare if w == "?" else 1)) for v, w in zip(ws, ws[1:], strict=False)))
+    return out
+
+
+@pytest.mark.parametrize("per_shard,slices", [(10**6, 1), (40, 3)])
+def test_kneser_ney_against_plain_counting(spark, per_shard, slices):
+    """Several shards and slices, repeated rows, empty texts and a text with a pair a thousand times."""
+    r = random.Random(7)
+    say = lambda n: " ".join(r.choice(["ab", "cd", "Ef", "gh.", "ij,"] if r.random() < 0.8 else [f"x{r.randint(0, 30)}"]) for _ in range(n))
+    trusted = [say(r.randint(0, 40)) for _ in range(30)]
+    texts = ["", "ab", "ab cd " * 1000, *(say(r.randint(1, 30)) for _ in range(20))]
+    rows = spark.createDataFrame([("en", t) for t in trusted] + [(None, "ab"), ("fr", None)], "lang string, text string")
+    model = kneser_ney.train(rows, share=0.001, per_shard=per_shard)
+    assert model.pairs.count() > (1 if per_shard == 40 else 0)
+    docs = spark.createDataFrame([(k, "en", t) for k, t in enumerate(texts)] + [(1, "en", "ab"), (99, "xx", "ab")], "rid long, lang string, text string")
+    got = {x.rid: (x.loss, x.n_tokens) for x in kneser_ney.losses(docs, model, slices).collect()}
+    want = brute_kneser_ney(trusted, texts, 0.001, 2)
+    assert set(got) == set(range(len(texts)))
+    for k, x in enumerate(want):
+        assert got[k][0] == pytest.approx(2 * x if k == 1 else x), k
+        assert got[k][1] == (3 if k == 1 else len(texts[k].split()))
+
+
 def test_kneser_ney_sums_to_one():
-    words = ["a", "b", "c"]
-    r = random.Random(4)
-    seqs = [np.array([0, 0, *(r.choice([2, 3, 4, 5]) for _ in range(8)), 1]) for _ in range(30)]
-    v = 6
-    two, c2 = np.unique(np.concatenate([s[:-1] * v + s[1:] for s in seqs]), return_counts=True)
-    three, c3 = np.unique(np.concatenate([(s[:-2] * v + s[1:-1]) * v + s[2:] for s in seqs]), return_counts=True)
-    t = kneser_ney.Table(words, two, c2, three, c3)
-    for u, w in ((2, 3), (3, 3), (0, 4), (5, 2)):
-        total = sum(np.exp(-t.losses(np.array([0, u, w, x], np.int32), np.array([0]))[3]) for x in range(v))
-        assert total == pytest.approx(1, abs=0.05)
+    size, r = 6, random.Random(4)
+    pairs = Counter((r.choice([0, 2, 3, 4, 5]), r.choice([1, 2, 3, 4, 5])) for _ in range(60))
+    stats = {"id": np.arange(size)}
+    for name, of in (("n", lambda k: sum(c for (v, _), c in pairs.items() if v == k)), *((f"n{m}", lambda k, m=m: sum(v == k and min(c, 3) == m for (v, _), c in pairs.items())) for m in (1, 2, 3)), ("before", lambda k: sum(w == k for _, w in pairs)), *((f"c{m}", lambda k, m=m: sum(v == k and c == m for (v, _), c in pairs.items())) for m in (3, 4))):
+        stats[name] = np.array([of(k) for k in range(size)])
+    own = kneser_ney.Language(size, 1, stats)
+    for v in (0, 2, 3, 5):
+        keys = np.array([v << kneser_ney._BITS | w for w in range(size)])
+        assert np.exp(-own.losses(keys, np.array([pairs[v, w] for w in range(size)]))).sum() == pytest.approx(1, abs=0.02)
+
+
+def test_kneser_ney_blobs():
+    r = np.random.default_rng(1)
+    for n in (0, 1, 1000):
+        a, b = r.integers(0, 1 << 42, n), r.integers(0, 200, n)
+        x, y = kneser_ney._unpack(kneser_ney._pack(a, b), 2)
+        assert (x == a).all() and (y == b).all()
 
 
 def test_kneser_ney_rejects_bad_and_keeps_good(spark):
