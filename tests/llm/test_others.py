@@ -160,7 +160,7 @@ def test_kneser_ney_against_plain_counting(spark, per_shard, slices):
     texts = ["", "ab", "ab cd " * 1000, *(say(r.randint(1, 30)) for _ in range(20))]
     rows = spark.createDataFrame([("en", t) for t in trusted] + [(None, "ab"), ("fr", None)], "lang string, text string")
     model = kneser_ney.train(rows, share=0.001, per_shard=per_shard)
-    assert model.pairs.count() > (1 if per_shard == 40 else 0)
+    assert model.pairs.count() > (8 if per_shard == 40 else 0)
     docs = spark.createDataFrame([(k, "en", t) for k, t in enumerate(texts)] + [(1, "en", "ab"), (99, "xx", "ab")], "rid long, lang string, text string")
     got = {x.rid: (x.loss, x.n_tokens) for x in kneser_ney.losses(docs, model, slices).collect()}
     want = brute_kneser_ney(trusted, texts, 0.001, 2)
