@@ -69,7 +69,8 @@ def _lines(docs: DataFrame, least: int) -> DataFrame:
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(h, g, at) -> h, g, line"""
     need = wanted.select("h", "g", "at").distinct().select("h", "g", F.col("at.doc_id").alias("a"), F.col("at.rid").alias("b"), F.col("at.no").alias("no"))
-    found = docs.join(need, docs["doc_id"].eqNullSafe(need["a"]) & (docs["rid"] == need["b"]))
+    # the same shuffle at any size: how many lines are wanted grows with the corpus
+    found = docs.join(need.hint("merge"), docs["doc_id"].eqNullSafe(need["a"]) & (docs["rid"] == need["b"]))
     return found.select("h", "g", F.get(F.split("text", "\n"), F.col("no")).alias("line")).dropDuplicates(["h", "g"])
 
 
@@ -131,7 +132,8 @@ def later_near_lines(docs: DataFrame, least: int = 16, most: int = 64) -> tuple[
                 break
     pairs = materialize(pairs.dropDuplicates(["h1", "g1", "h2", "g2"]), "pairs")
     written.append(pairs)
-    texts = _texts(docs, pairs.selectExpr("h1 as h", "g1 as g", "at1 as at").union(pairs.selectExpr("h2 as h", "g2 as g", "at2 as at")))
+    texts = materialize(_texts(docs, pairs.selectExpr("h1 as h", "g1 as g", "at1 as at").union(pairs.selectExpr("h2 as h", "g2 as g", "at2 as at"))), "line-texts")
+    written.append(texts)
     both = pairs.join(texts.toDF("h1", "g1", "one"), ["h1", "g1"]).join(texts.toDF("h2", "g2", "two"), ["h2", "g2"])
     true = both.where(within_one(F.col("one"), F.col("two")))
     later = true.selectExpr("case when at1 < at2 then struct(h2 as h, g2 as g) else struct(h1 as h, g1 as g) end as x").select("x.*")
@@ -150,7 +152,7 @@ def dedup_lines(docs: DataFrame, least: int = 16, most: int = 64, carry: Column
     whole = keyed(docs, carry)
     docs = whole.select("doc_id", "rid", "text")
     lines, near, written = later_near_lines(docs, least, most)
-    stay = materialize( lines.select("h", "g", "at").join(near, ["h", "g"], "left_anti").groupBy(F.col("at.doc_id").alias("a"), F.col("at.rid").alias("b")).agg(F.collect_list("at.no").alias("nos")), "staying")
+    stay = materialize(lines.select("h", "g", "at").join(near, ["h", "g"], "left_anti").groupBy(F.col("at.doc_id").alias("a"), F.col("at.rid").alias("b")).agg(F.collect_list("at.no").alias("nos")), "staying")
     release(*written)
     more = [] if carry is None else ["carried"]
     rows = whole.join(stay, whole["doc_id"].eqNullSafe(stay["a"]) & (whole["rid"] == stay["b"]), "left").select("doc_id", "rid", "text", *more, F.coalesce("nos", F.array().cast("array<int>")).alias("nos"), F.split("text", "\n").alias("lines"))
