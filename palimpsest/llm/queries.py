@@ -40,8 +40,8 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents"))
-    return got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    got = suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents"), passage=288)
+    return got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_shared")
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,20 +3,21 @@
 Every ``length``-byte string holds the stretch of ``gram`` bytes whose hash is smallest in it: its anchor. Equal strings
 have the same anchor at the same place, so all places of a string are found among the anchors with one hash.
 
-1. A row for each anchor: its hash, and a digest of its surroundings (all strings that it can be the anchor of).
-2. Anchors with equal surroundings, the inside of copied passages, are settled by counting.
+1. A row for each anchor: its hash, and a 128-bit digest of its surroundings (all strings that it can be the anchor of).
+2. Equal surroundings, the inside of copied passages, are equal suffixes: they are counted, and one of them stays.
 3. Different surroundings of one anchor are the ends of passages. They are sorted by what follows the anchor, and by
-   what stands before it, in a merge sort whose comparisons find the common extension by binary search over
-   polynomial prefix hashes; each extension that counts is verified on the bytes. Neighbours in the two orders bound
-   the strings that can repeat; strings inside the bounds are matched by their hashes and verified on the bytes.
-4. Anchors with more than ``most`` different surroundings don't go to one task: their strings are counted by digest.
+   what stands before it, in merge sorts whose comparisons find the common extension by binary search over
+   polynomial prefix hashes; each extension is verified on the bytes. All merges of a batch of anchors go step by step
+   together, so that a step is a few array operations. Neighbours in the two orders bound the strings that can
+   repeat; strings inside the bounds are matched by their hashes, place by place, and verified on the bytes.
+4. Anchors with more than ``most`` different surroundings don't go to one task: their strings are counted by digest,
+   with the same result.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import cmp_to_key
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +25,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ._shared import _BASE_INVERSE, _MASK, as_long, keyed, materialize, mix, powers, prefix_hashes, release, utf8
+from ._shared import as_long, keyed, materialize, mix, powers, prefix_hashes, release, utf8
 
 _ANCHORS = "doc_id long, rid long, kh long, d1 long, d2 long, pos int, start int, stop int"
-_INVERSE = [pow(_BASE_INVERSE, k, 1 << 64) for k in range(4096)]
 
 
 def _slide(x: np.ndarray, width: int, least: bool) -> np.ndarray:
@@ -80,89 +80,120 @@ def _find_anchors(length: int, gram: int):
 
 
 class _Surroundings:
-    """The different surroundings of one anchor, with prefix hashes of what follows it and of what stands before it, reversed."""
-
-    def __init__(self, texts: list[bytes], lefts: list[int], places: list[tuple]):
-        """``places``: document, row and start of each."""
-        self.places = places
-        self.right = [t[k:] for t, k in zip(texts, lefts, strict=True)]
-        self.left = [t[:k][::-1] for t, k in zip(texts, lefts, strict=True)]
-        self.texts, self.lefts = texts, lefts
-        self.hashes = {id(self.right): [prefix_hashes(np.frombuffer(x, np.uint8)) for x in self.right], id(self.left): [prefix_hashes(np.frombuffer(x, np.uint8)) for x in self.left]}
-
-    def common(self, side: list[bytes], i: int, j: int) -> int:
-        """Length of the common extension: binary search over prefix hashes, verified on the bytes."""
-        a, b, x, y = side[i], side[j], self.hashes[id(side)][i], self.hashes[id(side)][j]
-        lo, hi = 0, min(len(a), len(b))
-        while lo < hi:
-            mid = (lo + hi + 1) // 2
-            if x[mid] == y[mid]:
-                lo = mid
-            else:
-                hi = mid - 1
-        if a[:lo] != b[:lo]:  # two strings with one hash
-            lo = next(k for k in range(lo) if a[k] != b[k])
+    """The different surroundings of many anchors, those of one anchor behind each other, with prefix hashes."""
+
+    def __init__(self, texts: list[bytes], lefts: list[int], sizes: list[int]):
+        """``lefts``: bytes before the anchor; ``sizes``: how many surroundings each anchor has."""
+        self.texts, self.n, self.sizes = texts, len(texts), np.array(sizes)
+        self.width = max(map(len, texts)) + 1
+        self.data = np.frombuffer(b"".join(t.ljust(self.width, b"\0") for t in texts), np.uint8).reshape(self.n, -1)
+        self.hashes = np.zeros((self.n, self.width + 1), np.uint64)
+        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * powers("up", self.width), axis=1, out=self.hashes[:, 1:])
+        self.left = np.array(lefts)
+        self.right = np.array([len(t) for t in texts]) - self.left
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.group = np.repeat(np.arange(len(sizes)), sizes)
+
+    def stretch(self, i: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return (self.hashes[i, end] - self.hashes[i, start]) * powers("down", self.width + 1)[start]
+
+    def common(self, i: np.ndarray, j: np.ndarray, after: bool) -> np.ndarray:
+        """Lengths of the common extensions of pairs: binary search over prefix hashes, verified on the bytes."""
+        have = self.right if after else self.left
+        lo, hi, x, y = np.zeros(len(i), np.int64), np.minimum(have[i], have[j]), self.left[i], self.left[j]
+        for _ in range(int(hi.max(initial=0)).bit_length()):
+            mid = (lo + hi + 1) >> 1
+            same = self.stretch(i, x, x + mid) == self.stretch(j, y, y + mid) if after else self.stretch(i, x - mid, x) == self.stretch(j, y - mid, y)
+            lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
+        for k, (a, b, p, q, n) in enumerate(zip(i.tolist(), j.tolist(), x.tolist(), y.tolist(), lo.tolist(), strict=True)):
+            s, t = (self.texts[a][p : p + n], self.texts[b][q : q + n]) if after else (self.texts[a][p - n : p], self.texts[b][q - n : q])
+            if s != t:  # two strings with one hash
+                at = range(n) if after else range(n - 1, -1, -1)
+                lo[k] = next(m for m, c in enumerate(at) if s[c] != t[c])
         return lo
 
-    def order(self, side: list[bytes]) -> tuple[list[int], list[int]]:
-        """Sorted order, and the longest common extension with a neighbour in it."""
-
-        def compare(i: int, j: int) -> int:
-            k = self.common(side, i, j)
-            a, b = side[i], side[j]
-            return (len(a) > k) - (len(b) > k) if k in (len(a), len(b)) else (1 if a[k] > b[k] else -1)
-
-        order = sorted(range(len(side)), key=cmp_to_key(compare))  # a merge sort of runs
-        best = [0] * len(side)
-        for i, j in zip(order, order[1:], strict=False):
-            k = self.common(side, i, j)
-            best[i], best[j] = max(best[i], k), max(best[j], k)
-        return order, best
-
-    def apart(self, who: np.ndarray, starts: np.ndarray, ks: list[int]) -> bool:
-        """Whether the strings ``ks`` stand in more than one place; mostly the second one shows it."""
-        doc, rid, start = self.places[who[ks[0]]]
-        at = start + starts[ks[0]]
-        for k in ks[1:]:
-            d, r, b = self.places[who[k]]
-            if b + starts[k] != at or r != rid or d != doc:
-                return True
-        return False
-
-    def repeated(self, length: int) -> list[np.ndarray]:
+    def before(self, i: np.ndarray, j: np.ndarray, after: bool) -> np.ndarray:
+        """Whether i's extension sorts before j's, or like it."""
+        have, n = self.right if after else self.left, self.common(i, j, after)
+        x, y = (self.left[i] + n, self.left[j] + n) if after else (self.left[i] - n - 1, self.left[j] - n - 1)
+        ended = n == have[i]
+        return ended | (n < have[j]) & (self.data[i, np.maximum(x, 0)] < self.data[j, np.maximum(y, 0)])
+
+    def order(self, after: bool) -> np.ndarray:
+        """Each anchor's surroundings in the order of their extensions: a merge sort, all anchors at once."""
+        order, run, most = np.arange(self.n), 1, int(self.sizes.max(initial=0))
+        while run < most:
+            parts = [(f + k, min(f + k + run, f + n), min(f + k + 2 * run, f + n)) for f, n in zip(self.first.tolist(), self.sizes.tolist(), strict=True) if n > run for k in range(0, n - run, 2 * run)]
+            i, mid, end = (np.array(x) for x in zip(*parts, strict=True))
+            j, out, new, open_ = mid.copy(), i.copy(), order.copy(), np.arange(len(i))
+            while len(open_):
+                one, two = i[open_], j[open_]
+                take = self.before(order[one], order[two], after)
+                new[out[open_]] = order[np.where(take, one, two)]
+                i[open_] += take
+                j[open_] += ~take
+                out[open_] += 1
+                open_ = open_[(i[open_] < mid[open_]) & (j[open_] < end[open_])]
+            for a, m, b, e, o in zip(i.tolist(), mid.tolist(), j.tolist(), end.tolist(), out.tolist(), strict=True):
+                new[o:e] = order[a:m] if a < m else order[b:e]
+            order, run = new, 2 * run
+        return order
+
+    def longest(self, after: bool) -> np.ndarray:
+        """The longest common extension of each with another of its anchor: that with a neighbour in the order."""
+        order, best = self.order(after), np.zeros(self.n, np.int64)
+        i, j = order[:-1], order[1:]
+        same = self.group[i] == self.group[j]
+        i, j = i[same], j[same]
+        n = self.common(i, j, after)
+        np.maximum.at(best, i, n)
+        np.maximum.at(best, j, n)
+        return best
+
+    def repeated(self, length: int, slab: int = 4_000_000) -> list[np.ndarray]:
         """For each of them, the starts (from its own start) of the strings that stand in another place too.
 
-        Where a hash occurs more than once in a string, one place is seen from several anchors, and counts once."""
-        n = len(self.texts)
-        _, after = self.order(self.right)
-        _, before = self.order(self.left)
-        bounds = [(max(0, length - after[i]), min(before[i], self.lefts[i])) for i in range(n)]  # bytes before the anchor
-        if n == 2:
-            return [self.lefts[i] - np.arange(hi, lo - 1, -1) if lo <= hi else np.zeros(0, np.int64) for i, (lo, hi) in enumerate(bounds)]
-        who, starts, values = [], [], []
-        for i, (lo, hi) in enumerate(bounds):
-            if lo <= hi:
-                s = self.lefts[i] - np.arange(hi, lo - 1, -1)
-                h = prefix_hashes(np.frombuffer(self.texts[i], np.uint8))
-                who.append(np.full(len(s), i))
-                starts.append(s)
-                values.append((h[s + length] - h[s]) * powers("down", len(h))[s])
-        out: list[list[int]] = [[] for _ in range(n)]
-        if who:
-            w, s, v = np.concatenate(who), np.concatenate(starts), np.concatenate(values)
-            o = np.argsort(v, kind="stable")
-            w, s, v = w[o], s[o], v[o]
-            edge = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1], [True])))
-            for b, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                if e - b > 1:
-                    same: dict[bytes, list[int]] = {}
-                    for k in range(b, e):
-                        same.setdefault(self.texts[w[k]][s[k] : s[k] + length], []).append(k)
-                    for ks in same.values():
-                        if len(ks) > 1 and self.apart(w, s, ks):
-                            for k in ks:
-                                out[w[k]].append(int(s[k]))
-        return [np.array(sorted(x), np.int64) for x in out]
+        Strings are compared at one distance from the anchor, so that a place counts once from each anchor in it."""
+        low, high = np.maximum(length - self.longest(True), 0), np.minimum(self.longest(False), self.left)
+        out: list[list[np.ndarray]] = [[] for _ in range(self.n)]
+        pair = (self.sizes == 2)[self.group]
+        for k in np.flatnonzero(pair & (low <= high)).tolist():  # of two, the bounds are the answer
+            out[k].append(self.left[k] - np.arange(high[k], low[k] - 1, -1))
+        many = np.flatnonzero(~pair & (low <= high))
+        if len(many):
+            step = max(1, slab // len(many))
+            for at in range(int(low[many].min()), int(high[many].max()) + 1, step):
+                lo, hi = np.maximum(low[many], at), np.minimum(high[many], at + step - 1)
+                n = np.maximum(hi - lo + 1, 0)
+                i = np.repeat(many, n)
+                a = np.repeat(lo, n) + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+                for k, start in self._matched(i, a, length):
+                    out[k].append(start)
+        return [np.sort(np.concatenate(x)) if x else np.zeros(0, np.int64) for x in out]
+
+    def _matched(self, i: np.ndarray, a: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Of strings of ``i`` that begin ``a`` bytes before the anchor: those that another of the anchor has too."""
+        start = self.left[i] - a
+        h = mix(self.stretch(i, start, start + length) + mix((self.group[i].astype(np.uint64) << np.uint64(20)) + a.astype(np.uint64)))
+        o = np.argsort(h, kind="stable")
+        new = np.concatenate(([True], h[o][1:] != h[o][:-1])) if len(o) else np.zeros(0, bool)
+        rep = o[np.flatnonzero(new)][np.cumsum(new) - 1]  # the first of the strings with one hash
+        more = ~new
+        x, y, s = i[o[more]], i[rep[more]], a[o[more]]
+        by = np.lexsort((s, y, x))
+        x, y, s = x[by], y[by], s[by]
+        cut = np.concatenate(([0], np.flatnonzero((np.diff(x) != 0) | (np.diff(y) != 0) | (np.diff(s) != 1)) + 1, [len(x)])) if len(x) else np.zeros(1, int)
+        found: dict[int, list[np.ndarray]] = {}
+        for b, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            k, m, lo, hi = int(x[b]), int(y[b]), int(s[b]), int(s[e - 1])
+            p, q = int(self.left[k]), int(self.left[m])
+            ok = s[b:e]
+            if self.group[k] != self.group[m] or self.texts[k][p - hi : p - lo + length] != self.texts[m][q - hi : q - lo + length]:  # one hash for two strings
+                ok = np.array([z for z in ok.tolist() if self.group[k] == self.group[m] and self.texts[k][p - z : p - z + length] == self.texts[m][q - z : q - z + length]], np.int64)
+            found.setdefault(k, []).append(p - ok)
+            found.setdefault(m, []).append(q - ok)
+        for k, parts in found.items():
+            yield k, np.unique(np.concatenate(parts))
 
 
 def _spans(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -176,28 +207,39 @@ def _spans(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
 _RANGES = pa.schema([("doc_id", pa.int64()), ("rid", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
 
 
-def _settle_ends(length: int):
-    def settle(rows: list[dict]) -> Iterator[tuple]:
-        if len(rows) > 1 and any(r["c"] == 1 for r in rows):
-            found = _Surroundings([r["ctx"] for r in rows], [r["pos"] - r["start"] for r in rows], [(r["doc_id"], r["rid"], r["start"]) for r in rows]).repeated(length)
+def _settle_ends(length: int, at_once: int = 2_000_000):
+    """``at_once``: bytes of surroundings that are sorted together; those of one anchor always are."""
+
+    def settle(groups: list[list[dict]]) -> pa.RecordBatch:
+        rows, cols = [r for g in groups for r in g], ([], [], [], [])
+        if rows:
+            found = _Surroundings([r["ctx"] for r in rows], [r["pos"] - r["start"] for r in rows], [len(g) for g in groups]).repeated(length)
             for r, starts in zip(rows, found, strict=True):
                 if r["c"] == 1:
                     for b, e in _spans(starts, length):
-                        yield r["doc_id"], r["rid"], r["start"] + b, r["start"] + e
+                        for col, x in zip(cols, (r["doc_id"], r["rid"], r["start"] + b, r["start"] + e), strict=True):
+                            col.append(x)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _RANGES, strict=True)], schema=_RANGES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows, out = None, [], []
+        now, rows, groups, size = None, [], [], 0
+
+        def close() -> None:
+            if len(rows) > 1 and any(r["c"] == 1 for r in rows):
+                groups.append(rows)
+
         for batch in batches:
             for row in batch.to_pylist():
                 if row["kh"] != now:
-                    out += settle(rows)
+                    close()
+                    if size > at_once:
+                        yield settle(groups)
+                        groups, size = [], 0
                     now, rows = row["kh"], []
                 rows.append(row)
-            if len(out) > 10_000:
-                yield pa.RecordBatch.from_pylist([dict(zip(_RANGES.names, x, strict=True)) for x in out], schema=_RANGES)
-                out = []
-        out += settle(rows)
-        yield pa.RecordBatch.from_pylist([dict(zip(_RANGES.names, x, strict=True)) for x in out], schema=_RANGES)
+                size += len(row["ctx"])
+        close()
+        yield settle(groups)
 
     return run
 
@@ -216,28 +258,35 @@ def _strings(length: int):
     return run
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        kept, sizes, removed, spans = [], [], [], []
-        for text, ranges in zip(utf8(batch.column("text")), batch.column("ranges").to_pylist(), strict=True):
-            gone = 0
-            runs: list[list[int]] = []
-            for r in sorted((x["start"], x["stop"]) for x in ranges or ()):
-                if runs and r[0] <= runs[-1][1]:
-                    runs[-1][1] = max(runs[-1][1], r[1])
-                else:
-                    runs.append([*r])
-            parts, at = [], 0
-            for b, e in runs:
-                parts.append(text[at:b])
-                gone, at = gone + e - b, e
-            parts.append(text[at:])
-            kept.append(b"".join(parts))
-            sizes.append(len(text))
-            removed.append(gone)
-            spans.append(len(runs))
-        more = [x for x in batch.schema.names if x == "carried"]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), *map(batch.column, more)], names=["doc_id", "rid", "kept", "n_bytes", "n_removed", "n_spans", *more])
+def _cut(more: list[str], characters: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, sizes, removed, spans = [], [], [], []
+            for text, ranges in zip(utf8(batch.column("text")), batch.column("ranges").to_pylist(), strict=True):
+                runs: list[list[int]] = []
+                for r in sorted((x["start"], x["stop"]) for x in ranges or ()):
+                    if runs and r[0] <= runs[-1][1]:
+                        runs[-1][1] = max(runs[-1][1], r[1])
+                    else:
+                        runs.append([*r])
+                parts, at, gone = [], 0, 0
+                for b, e in runs:
+                    if characters:  # not into the middle of one
+                        while b > at and text[b] & 0xC0 == 0x80:
+                            b -= 1
+                        while e < len(text) and text[e] & 0xC0 == 0x80:
+                            e += 1
+                        b = max(b, at)
+                    parts.append(text[at:b])
+                    gone, at = gone + e - b, e
+                parts.append(text[at:])
+                kept.append(b"".join(parts))
+                sizes.append(len(text))
+                removed.append(gone)
+                spans.append(len(runs))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), *map(batch.column, more)], names=["doc_id", "rid", "kept", "n_bytes", "n_removed", "n_spans", *more])
+
+    return run
 
 
 def repeated_ranges(docs: DataFrame, length: int = 400, gram: int = 128, most: int = 32_768) -> DataFrame:
@@ -247,17 +296,15 @@ def repeated_ranges(docs: DataFrame, length: int = 400, gram: int = 128, most: i
     one anchor that a single task sorts.
     """
     every = materialize(docs.mapInArrow(_find_anchors(length, gram), _ANCHORS), "anchors")
-    often = every.groupBy("kh").agg(F.count("*").alias("c")).where("c > 1").select("kh")
-    found = materialize(every.join(often, "kh"), "shared-anchors")
-    release(every)
-    key = ["kh", "d1", "d2"]
-    classes = materialize(found.groupBy(*key).agg(F.count("*").alias("c"), *(F.first(x).alias(x) for x in ("doc_id", "rid", "pos", "start", "stop"))), "classes")
-    inside = found.join(classes.where("c > 1").select(*key), key, "left_semi").select("doc_id", "rid", "start", "stop")
+    # equal surroundings meet in partial sums before they are shuffled; a passage that is everywhere is a row from each task
+    key = ["d1", "d2"]
+    classes = materialize(every.groupBy(*key).agg(F.count("*").alias("c"), *(F.first(x).alias(x) for x in ("kh", "doc_id", "rid", "pos", "start", "stop"))), "classes")
+    inside = every.join(classes.where("c > 1").select(*key).hint("merge"), key, "left_semi").select("doc_id", "rid", "start", "stop")
 
     ends = classes.groupBy("kh").agg(F.count("*").alias("n"), F.min("c").alias("least")).where("n > 1 and least = 1").select("kh", "n")
-    open_ = classes.join(ends, "kh").select("kh", "n", "c", "pos", "start", "stop", F.col("doc_id").alias("a"), F.col("rid").alias("b"))
+    open_ = classes.join(ends.hint("merge"), "kh").select("kh", "n", "c", "pos", "start", "stop", F.col("doc_id").alias("a"), F.col("rid").alias("b"))
     # identical rows of the table give one text for a key
-    texts = docs.join(open_, docs["doc_id"].eqNullSafe(open_["a"]) & (docs["rid"] == open_["b"]))
+    texts = docs.join(open_.hint("merge"), docs["doc_id"].eqNullSafe(open_["a"]) & (docs["rid"] == open_["b"]))
     ctx = texts.select("kh", "n", "c", "doc_id", "rid", "pos", "start", F.expr("substring(cast(text as binary), start + 1, stop - start)").alias("ctx"))
     ctx = materialize(ctx, "surroundings")
     few = ctx.where(F.col("n") <= most).dropDuplicates(["kh", "doc_id", "rid", "pos"])
@@ -267,23 +314,59 @@ def repeated_ranges(docs: DataFrame, length: int = 400, gram: int = 128, most: i
     rest = strings.join(twice, ["d1", "d2"], "left_semi").select("doc_id", "rid", "start", (F.col("start") + length).alias("stop"))
     # written, so that what it came from needs no place while the texts are cut
     out = materialize(inside.union(some).union(rest).distinct(), "ranges")
-    release(found, classes, ctx)
+    release(every, classes, ctx)
+    return out
+
+
+def _find_grams(passage: int, gram: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, rids, hashes = [], [], []
+            for doc, rid, text in zip(batch.column("doc_id").to_pylist(), batch.column("rid").to_pylist(), utf8(batch.column("text")), strict=True):
+                if len(text) >= passage:
+                    h = np.unique(anchors(np.frombuffer(text, np.uint8), passage, gram)[1])
+                    docs += [doc] * len(h)
+                    rids.append(np.full(len(h), rid))
+                    hashes.append(as_long(h))
+            if hashes:
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(np.concatenate(rids), pa.int64()), pa.array(np.concatenate(hashes))], names=["doc_id", "rid", "kh"])
+
+    return run
+
+
+def shared_grams(docs: DataFrame, passage: int = 288, gram: int = 160) -> DataFrame:
+    """(doc_id, rid, text) -> doc_id, rid, n_shared: how many of a document's chosen grams another document has too.
+
+    Each stretch of ``passage`` bytes has a chosen gram, in all documents the same; so documents that share such a passage,
+    too short to be removed, have a count over 0. Documents without shared grams have no row.
+    """
+    every = materialize(docs.mapInArrow(_find_grams(passage, gram), "doc_id long, rid long, kh long"), "grams")
+    often = every.groupBy("kh").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi")).where("lo <> hi").select("kh")
+    out = materialize(every.join(often.hint("merge"), "kh", "left_semi").groupBy("doc_id", "rid").agg(F.count_distinct("kh").alias("n_shared")), "shared-grams")
+    release(every)
     return out
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 128, most: int = 32_768, carry: Column | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 128, most: int = 32_768, carry: Column | None = None, passage: int | None = None, characters: bool = False) -> DataFrame:
     """(doc_id, text, ...) -> doc_id, rid, kept (binary), n_bytes, n_removed, n_spans: one row for each row of ``docs``.
 
     Each byte is removed that a ``length``-byte string covers which also starts anywhere else, in the same document
     too; overlaps count, matches never cross documents, strings are judged on the input. Null texts are empty, texts
     under ``length`` bytes stay as they are; an empty table gives an empty table. A row that is there twice repeats
     itself. Rows without a doc_id take part like others. ``carry``, if given, comes back
-    as ``carried``; other columns are ignored, whatever their names.
+    as ``carried``; other columns are ignored, whatever their names. With ``passage``, n_shared tells of shared passages of
+    so many bytes, see :func:`shared_grams`; nothing is removed for them. With ``characters``, code points that lose a byte are removed whole.
     """
     whole = keyed(docs, carry)
-    found = repeated_ranges(whole.select("doc_id", "rid", "text"), length, gram, most)
-    ranges = found.groupBy(F.col("doc_id").alias("a"), F.col("rid").alias("b")).agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
+    texts = whole.select("doc_id", "rid", "text")
+    found = repeated_ranges(texts, length, gram, most).select(F.col("doc_id").alias("a"), F.col("rid").alias("b"), F.struct("start", "stop").alias("range"), F.lit(0).cast("long").alias("n"))
     more = [] if carry is None else ["carried"]
-    joined = whole.join(ranges, whole["doc_id"].eqNullSafe(ranges["a"]) & (whole["rid"] == ranges["b"]), "left").select("doc_id", "rid", "text", "ranges", *more)
+    if passage is not None:
+        own = shared_grams(texts, passage)
+        found = found.union(own.select("doc_id", "rid", F.lit(None).cast(found.schema["range"].dataType), "n_shared"))
+        more.append("n_shared")
+    ranges = found.groupBy("a", "b").agg(F.collect_list("range").alias("ranges"), F.sum("n").alias("n"))
+    joined = whole.join(ranges.hint("merge"), whole["doc_id"].eqNullSafe(ranges["a"]) & (whole["rid"] == ranges["b"]), "left").withColumn("n_shared", F.coalesce("n", F.lit(0)).cast("long"))
+    joined = joined.select("doc_id", "rid", "text", "ranges", *more)
     schema = StructType.fromDDL("doc_id long, rid long, kept binary, n_bytes long, n_removed long, n_spans long")
-    return joined.mapInArrow(_cut, StructType([*schema, *(joined.schema[c] for c in more)]))
+    return joined.mapInArrow(_cut(more, characters), StructType([*schema, *(joined.schema[c] for c in more)]))

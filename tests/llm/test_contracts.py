@@ -61,17 +61,17 @@ def test_minhash_settles_inside_buckets(spark):
     assert got == components(rows)
 
 
-def repeats(rows, length):
-    where = defaultdict(set)
+def repeats(rows, length, of=bytes):
+    where = defaultdict(int)
     data = [(t or "").encode() for _, t in rows]
-    for d, b in enumerate(data):
+    for b in data:
         for i in range(len(b) - length + 1):
-            where[b[i : i + length]].add((d, i))
+            where[of(b[i : i + length])] += 1
     out = []
     for d, b in enumerate(data):
         gone = bytearray(len(b))
         for i in range(len(b) - length + 1):
-            if len(where[b[i : i + length]]) > 1:
+            if where[of(b[i : i + length])] > 1:
                 gone[i : i + length] = b"\1" * length
         spans = len(re.findall(rb"\x01+", bytes(gone)))
         kept = bytes(c for c, g in zip(b, gone, strict=True) if not g)
@@ -99,10 +99,64 @@ def test_suffix_dedup_of_short_periods(spark, most):
     assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, sha(r.kept)) for r in got) == sorted(repeats(rows, 400))
 
 
+def test_suffix_dedup_of_whole_characters(spark):
+    """Cuts inside code points take the code point with them; a replacement character stays."""
+    r = random.Random(3)
+    shared = "".join(r.choice("éßñ€") for _ in range(300))
+    rows = [(k, chr(0xE0 + k) + "\ufffd" + shared[k:] + chr(0x100 + k) + "end") for k in range(4)]
+    got = {x.doc_id: bytes(x.kept).decode() for x in suffix_dedup.remove_repeats(make(spark, rows), characters=True).collect()}
+    for k, t in rows:
+        assert "\ufffd" in got[k] and len(got[k]) < 20 and all(c in t for c in got[k])
+
+
+def test_shared_grams_of_short_passages(spark):
+    """A passage of 300 bytes in two documents is told of and stays; the others share nothing."""
+    r = random.Random(4)
+    say = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    shared = say(300)
+    rows = [(1, say(800) + shared + say(90)), (2, shared + say(500)), (3, say(1500)), (4, None), (5, ""), (6, shared[:100])]
+    got = {x.doc_id: (x.n_shared > 0, x.n_removed) for x in suffix_dedup.remove_repeats(make(spark, rows), passage=288).collect()}
+    assert got == {1: (True, 0), 2: (True, 0), 3: (False, 0), 4: (False, 0), 5: (False, 0), 6: (False, 0)}
+
+
+@pytest.mark.parametrize("most", [32_768, 2])
+def test_suffix_dedup_of_runs(spark, most):
+    """Between random words, runs of every short period, some bytes under and over the length."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9)))
+    say = lambda: " ".join(word() for _ in range(100))
+    rows = [(k, f"{say()} {(word() * 9)[:period] * 400}"[: 700 + size] + " " + say()) for k, (period, size) in enumerate((p, n) for p in (1, 2, 3, 5, 8, 13, 24) for n in range(-300, 60, 30))]
+    rows.append((1000, say() + " " + "teteber " * 50 + say()))
+    got = suffix_dedup.remove_repeats(make(spark, rows), most=most).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, sha(r.kept)) for r in got) == sorted(repeats(rows, 400))
+    assert [r.n_removed for r in got if r.doc_id == 1000] == [0]
+
+
 def test_suffix_dedup_real(spark):
-    rows = table(spark, "documents")
+    """All of sf0.01; strings by their 64-bit hashes in the brute force, for its memory."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
     got = suffix_dedup.remove_repeats(make(spark, rows)).collect()
-    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, sha(r.kept)) for r in got) == sorted(repeats(rows, 400))
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, sha(r.kept)) for r in got) == sorted(repeats(rows, 400, hash))
+
+
+@pytest.mark.parametrize("slab", [7, 10**6])
+def test_surroundings_against_plain_search(slab):
+    """Groups of surroundings with few letters: what repeats in another of the group, at one distance from the anchor."""
+    r = random.Random(1)
+    for _ in range(100):
+        groups = []
+        for _ in range(r.randint(1, 5)):
+            core, base = bytes(r.choice(b"ab") for _ in range(4)), bytes(r.choice(b"abc") for _ in range(30))
+            own = set()
+            for _ in range(r.randint(2, 9)):
+                full, n = bytearray(base), r.randint(0, 8)
+                full[r.randint(0, 29)] = r.choice(b"abcd")
+                own.add((bytes(full[8 - n : 8]) + core + bytes(full[8 : 8 + r.randint(8, 18)]), n))
+            groups.append(sorted(own))
+        flat = [x for g in groups for x in g]
+        got = suffix_dedup._Surroundings([t for t, _ in flat], [n for _, n in flat], [len(g) for g in groups]).repeated(12, slab)
+        want = [[n - a for a in range(n, -1, -1) if len(t) >= n - a + 12 and any(o is not x and o[1] >= a and o[0][o[1] - a : o[1] - a + 12] == t[n - a : n - a + 12] for o in g)] for g in groups for x in g for t, n in [x]]
+        assert [x.tolist() for x in got] == want
 
 
 def test_bpe_matches_the_library(spark, corpus):
