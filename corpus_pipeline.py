@@ -25,28 +25,41 @@ def _with_text(columns: list[str], new: DataFrame) -> DataFrame:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the language model of trusted text rejects go."""
+    """Documents that the language model of trusted text rejects go.
+
+    Null texts are empty; documents without a language, or of one without trusted text, stay. Rows with one doc_id go or stay
+    together. Without labels all stay; an empty table stays empty."""
     return kneser_ney.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that stood before, or are one edit from one that did, go."""
+    """Lines that stood before, or are one edit from one that did, go.
+
+    Null texts stay null, lines without a word stay; of rows alike each line stays in one place, and a row that is there twice is
+    one document. Documents with words that have none left go. An empty table stays empty."""
     return _with_text(docs.columns, line_dedup.dedup_lines(docs, carry=_row(docs)))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: of those that are 0.8 alike or more. 37 bands of 5 rows miss a pair at 0.8 as seldom as 25 miss one at 0.85."""
+    """One document of each group of near duplicates stays: of those that are 0.8 alike or more. 37 bands of 5 rows miss a pair at 0.8 as seldom as 25 miss one at 0.85.
+
+    The smallest doc_id of a group stays, with all its rows. Null and wordless texts and rows without a doc_id are alone and
+    stay; an empty table stays empty."""
     return minhash.drop_near_duplicates(docs, minhash.Params(numerator=80, bands=37))
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that are anywhere else too go; a code point that loses a byte goes with it."""
-    got = suffix_dedup.remove_repeats(docs, carry=_row(docs))
-    return _with_text(docs.columns, got.select("carried", F.expr("try_validate_utf8(cast(kept as string))").alias("text"), "kept").withColumn("text", F.coalesce("text", F.expr("regexp_replace(make_valid_utf8(cast(kept as string)), '�', '')"))).drop("kept"))
+    """Passages that are anywhere else too go, from 256 bytes on: with over 50 words that is nearly every one. A code point that
+    loses a byte goes whole.
+
+    Null and shorter texts stay as they are, an empty table stays empty; a row that is there twice repeats itself, and goes
+    whole where it is long enough. Documents with words that have none left go."""
+    got = suffix_dedup.remove_repeats(docs, length=256, gram=96, carry=_row(docs), characters=True)
+    return _with_text(docs.columns, got.select("carried", F.col("kept").cast("string").alias("text")))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each document goes: bucket, batch and slot."""
+    """Where each document goes: bucket, batch and slot. Null texts have no words; repeated rows are packed like others; an empty table gives an empty table."""
     return packing.pack(docs)
 
 
