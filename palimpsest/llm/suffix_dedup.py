@@ -97,7 +97,7 @@ class _Surroundings:
     def stretch(self, i: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.hashes[i, end] - self.hashes[i, start]) * powers("down", self.width + 1)[start]
 
-    def common(self, i: np.ndarray, j: np.ndarray, after: bool) -> np.ndarray:
+    def common(self, i: np.ndarray, j: np.ndarray, after: bool, verify: bool = True) -> np.ndarray:
         """Lengths of the common extensions of pairs: binary search over prefix hashes, verified on the bytes."""
         have = self.right if after else self.left
         lo, hi, x, y = np.zeros(len(i), np.int64), np.minimum(have[i], have[j]), self.left[i], self.left[j]
@@ -105,103 +105,125 @@ class _Surroundings:
             mid = (lo + hi + 1) >> 1
             same = self.stretch(i, x, x + mid) == self.stretch(j, y, y + mid) if after else self.stretch(i, x - mid, x) == self.stretch(j, y - mid, y)
             lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
-        for k, (a, b, p, q, n) in enumerate(zip(i.tolist(), j.tolist(), x.tolist(), y.tolist(), lo.tolist(), strict=True)):
+        for k, (a, b, p, q, n) in enumerate(zip(i.tolist(), j.tolist(), x.tolist(), y.tolist(), lo.tolist(), strict=True)) if verify else ():
             s, t = (self.texts[a][p : p + n], self.texts[b][q : q + n]) if after else (self.texts[a][p - n : p], self.texts[b][q - n : q])
             if s != t:  # two strings with one hash
                 at = range(n) if after else range(n - 1, -1, -1)
                 lo[k] = next(m for m, c in enumerate(at) if s[c] != t[c])
         return lo
 
-    def before(self, i: np.ndarray, j: np.ndarray, after: bool) -> np.ndarray:
-        """Whether i's extension sorts before j's, or like it."""
-        have, n = self.right if after else self.left, self.common(i, j, after)
+    def before(self, i: np.ndarray, j: np.ndarray, n: np.ndarray, after: bool) -> np.ndarray:
+        """Whether i's extension sorts before j's, or like it; ``n`` is their common length."""
+        have = self.right if after else self.left
         x, y = (self.left[i] + n, self.left[j] + n) if after else (self.left[i] - n - 1, self.left[j] - n - 1)
-        ended = n == have[i]
-        return ended | (n < have[j]) & (self.data[i, np.maximum(x, 0)] < self.data[j, np.maximum(y, 0)])
-
-    def order(self, after: bool) -> np.ndarray:
-        """Each anchor's surroundings in the order of their extensions: a merge sort, all anchors at once."""
-        order, run, most = np.arange(self.n), 1, int(self.sizes.max(initial=0))
-        while run < most:
-            parts = [(f + k, min(f + k + run, f + n), min(f + k + 2 * run, f + n)) for f, n in zip(self.first.tolist(), self.sizes.tolist(), strict=True) if n > run for k in range(0, n - run, 2 * run)]
-            i, mid, end = (np.array(x) for x in zip(*parts, strict=True))
-            j, out, new, open_ = mid.copy(), i.copy(), order.copy(), np.arange(len(i))
+        return (n == have[i]) | (n < have[j]) & (self.data[i, np.maximum(x, 0)] < self.data[j, np.maximum(y, 0)])
+
+    def order(self, who: np.ndarray, after: bool, verify: bool) -> np.ndarray:
+        """``who``, by anchor, in the order of their extensions: a merge sort of all anchors at once.
+
+        Two runs are merged by the place of each of their members in the other run, found by binary search."""
+        order, run, sizes = who, 1, np.bincount(self.group[who], minlength=len(self.sizes))
+        size, first = sizes[self.group[who]], (np.cumsum(sizes) - sizes)[self.group[who]]
+        place = np.arange(len(who)) - first
+        while run < sizes.max(initial=0):
+            second = (place // run) % 2 == 1
+            begin = place // run * run
+            # the other run of each place, [lo, hi) from the anchor's first
+            lo = np.where(second, begin - run, np.minimum(begin + run, size))
+            other, hi = lo.copy(), np.where(second, begin, np.minimum(begin + 2 * run, size))
+            open_ = np.flatnonzero(lo < hi)
             while len(open_):
-                one, two = i[open_], j[open_]
-                take = self.before(order[one], order[two], after)
-                new[out[open_]] = order[np.where(take, one, two)]
-                i[open_] += take
-                j[open_] += ~take
-                out[open_] += 1
-                open_ = open_[(i[open_] < mid[open_]) & (j[open_] < end[open_])]
-            for a, m, b, e, o in zip(i.tolist(), mid.tolist(), j.tolist(), end.tolist(), out.tolist(), strict=True):
-                new[o:e] = order[a:m] if a < m else order[b:e]
+                mid = (lo[open_] + hi[open_]) >> 1
+                two = second[open_]
+                own, met = order[open_], order[first[open_] + mid]
+                # equal ones of the first run come first
+                i, j = np.where(two, met, own), np.where(two, own, met)
+                ahead = self.before(i, j, self.common(i, j, after, verify), after) == two
+                lo[open_] = np.where(ahead, mid + 1, lo[open_])
+                hi[open_] = np.where(ahead, hi[open_], mid)
+                open_ = open_[lo[open_] < hi[open_]]
+            new = np.empty_like(order)
+            new[first + np.where(second, begin - run, begin) + (place - begin) + (lo - other)] = order
             order, run = new, 2 * run
         return order
 
-    def longest(self, after: bool) -> np.ndarray:
-        """The longest common extension of each with another of its anchor: that with a neighbour in the order."""
-        order, best = self.order(after), np.zeros(self.n, np.int64)
+    def longest(self, after: bool, verify: bool = False) -> np.ndarray:
+        """The longest common extension of each with another of its anchor: that with a neighbour in the order.
+
+        Equal extensions are sorted once. Comparisons of the sort are by hashes alone; neighbours are verified on the
+        bytes, and where two aren't in order all is done again with each comparison verified."""
+        ends = (self.left, self.left + self.right) if after else (np.zeros_like(self.left), self.left)
+        everyone = np.arange(self.n)
+        h = mix(self.stretch(everyone, *ends) + mix((self.group.astype(np.uint64) << np.uint64(16)) + (ends[1] - ends[0]).astype(np.uint64)))
+        _, who, of, times = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+        if verify:
+            who, of, times = everyone, everyone, np.ones(self.n, np.int64)
+        best = np.zeros(len(who), np.int64)
+        rank = np.empty(self.n, np.int64)
+        rank[who] = np.arange(len(who))
+        order = self.order(np.sort(who), after, verify)
         i, j = order[:-1], order[1:]
         same = self.group[i] == self.group[j]
         i, j = i[same], j[same]
         n = self.common(i, j, after)
-        np.maximum.at(best, i, n)
-        np.maximum.at(best, j, n)
-        return best
-
-    def repeated(self, length: int, slab: int = 4_000_000) -> list[np.ndarray]:
-        """For each of them, the starts (from its own start) of the strings that stand in another place too.
+        if not verify and not self.before(i, j, n, after).all():
+            return self.longest(after, True)
+        np.maximum.at(best, rank[i], n)
+        np.maximum.at(best, rank[j], n)
+        out = best[of]
+        again = np.flatnonzero((times > 1)[of])
+        n = self.common(again, who[of[again]], after)
+        if not verify and (n < (ends[1] - ends[0])[again]).any():
+            return self.longest(after, True)
+        out[again] = n
+        return out
+
+    def repeated(self, length: int, slab: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
+        """Strings that stand in another place too: whose they are, and their starts (from its own start), in order.
 
         Strings are compared at one distance from the anchor, so that a place counts once from each anchor in it."""
         low, high = np.maximum(length - self.longest(True), 0), np.minimum(self.longest(False), self.left)
-        out: list[list[np.ndarray]] = [[] for _ in range(self.n)]
+        out = [np.zeros(0, np.int64)]
         pair = (self.sizes == 2)[self.group]
-        for k in np.flatnonzero(pair & (low <= high)).tolist():  # of two, the bounds are the answer
-            out[k].append(self.left[k] - np.arange(high[k], low[k] - 1, -1))
-        many = np.flatnonzero(~pair & (low <= high))
+        every = np.flatnonzero(low <= high)
+
+        def strings(who: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            n = np.maximum(hi - lo + 1, 0)
+            i = np.repeat(who, n)
+            return i, np.repeat(lo, n) + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+
+        two = every[pair[every]]  # of two, the bounds are the answer
+        i, a = strings(two, low[two], high[two])
+        out.append(i << 32 | self.left[i] - a)
+        many = every[~pair[every]]
         if len(many):
             step = max(1, slab // len(many))
             for at in range(int(low[many].min()), int(high[many].max()) + 1, step):
-                lo, hi = np.maximum(low[many], at), np.minimum(high[many], at + step - 1)
-                n = np.maximum(hi - lo + 1, 0)
-                i = np.repeat(many, n)
-                a = np.repeat(lo, n) + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
-                for k, start in self._matched(i, a, length):
-                    out[k].append(start)
-        return [np.sort(np.concatenate(x)) if x else np.zeros(0, np.int64) for x in out]
-
-    def _matched(self, i: np.ndarray, a: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray]]:
+                i, a = strings(many, np.maximum(low[many], at), np.minimum(high[many], at + step - 1))
+                out += [k << 32 | self.left[k] - z for k, z in self._matched(i, a, length)]
+        all_ = np.unique(np.concatenate(out))
+        return all_ >> 32, all_ & 0xFFFFFFFF
+
+    def _matched(self, i: np.ndarray, a: np.ndarray, length: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """Of strings of ``i`` that begin ``a`` bytes before the anchor: those that another of the anchor has too."""
         start = self.left[i] - a
         h = mix(self.stretch(i, start, start + length) + mix((self.group[i].astype(np.uint64) << np.uint64(20)) + a.astype(np.uint64)))
         o = np.argsort(h, kind="stable")
         new = np.concatenate(([True], h[o][1:] != h[o][:-1])) if len(o) else np.zeros(0, bool)
         rep = o[np.flatnonzero(new)][np.cumsum(new) - 1]  # the first of the strings with one hash
-        more = ~new
-        x, y, s = i[o[more]], i[rep[more]], a[o[more]]
-        by = np.lexsort((s, y, x))
-        x, y, s = x[by], y[by], s[by]
-        cut = np.concatenate(([0], np.flatnonzero((np.diff(x) != 0) | (np.diff(y) != 0) | (np.diff(s) != 1)) + 1, [len(x)])) if len(x) else np.zeros(1, int)
-        found: dict[int, list[np.ndarray]] = {}
-        for b, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            k, m, lo, hi = int(x[b]), int(y[b]), int(s[b]), int(s[e - 1])
-            p, q = int(self.left[k]), int(self.left[m])
-            ok = s[b:e]
-            if self.group[k] != self.group[m] or self.texts[k][p - hi : p - lo + length] != self.texts[m][q - hi : q - lo + length]:  # one hash for two strings
-                ok = np.array([z for z in ok.tolist() if self.group[k] == self.group[m] and self.texts[k][p - z : p - z + length] == self.texts[m][q - z : q - z + length]], np.int64)
-            found.setdefault(k, []).append(p - ok)
-            found.setdefault(m, []).append(q - ok)
-        for k, parts in found.items():
-            yield k, np.unique(np.concatenate(parts))
-
-
-def _spans(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
-    """Covered stretches of sorted starts."""
-    if not len(starts):
-        return []
-    cut = np.flatnonzero(np.diff(starts) > length) + 1
-    return [(int(x[0]), int(x[-1]) + length) for x in np.split(starts, cut)]
+        x, y, z = i[o[~new]], i[rep[~new]], a[o[~new]]
+        by = np.lexsort((z, y, x))
+        x, y, z = x[by], y[by], z[by]
+        # runs of neighbouring strings of two surroundings are verified on the bytes at once
+        edge = np.concatenate(([0], np.flatnonzero((np.diff(x) != 0) | (np.diff(y) != 0) | (np.diff(z) != 1)) + 1, [len(x)])) if len(x) else np.zeros(1, np.int64)
+        b, e = edge[:-1], edge[1:] - 1
+        true = np.repeat(self.group[x[b]] == self.group[y[b]], e - b + 1)
+        texts = self.texts
+        for first, last, k, m, p, q, lo, hi in zip(b.tolist(), e.tolist(), x[b].tolist(), y[b].tolist(), self.left[x[b]].tolist(), self.left[y[b]].tolist(), z[b].tolist(), z[e].tolist(), strict=True):
+            if texts[k][p - hi : p - lo + length] != texts[m][q - hi : q - lo + length]:  # one hash for two strings
+                for n in range(first, last + 1):
+                    true[n] &= texts[k][p - z[n] : p - z[n] + length] == texts[m][q - z[n] : q - z[n] + length]
+        return [(x[true], z[true]), (y[true], z[true])]
 
 
 _RANGES = pa.schema([("doc_id", pa.int64()), ("rid", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
@@ -211,14 +233,18 @@ def _settle_ends(length: int, at_once: int = 2_000_000):
     """``at_once``: bytes of surroundings that are sorted together; those of one anchor always are."""
 
     def settle(groups: list[list[dict]]) -> pa.RecordBatch:
-        rows, cols = [r for g in groups for r in g], ([], [], [], [])
+        rows = [r for g in groups for r in g]
+        cols: list = [[], [], [], []]
         if rows:
-            found = _Surroundings([r["ctx"] for r in rows], [r["pos"] - r["start"] for r in rows], [len(g) for g in groups]).repeated(length)
-            for r, starts in zip(rows, found, strict=True):
-                if r["c"] == 1:
-                    for b, e in _spans(starts, length):
-                        for col, x in zip(cols, (r["doc_id"], r["rid"], r["start"] + b, r["start"] + e), strict=True):
-                            col.append(x)
+            who, at = _Surroundings([r["ctx"] for r in rows], [r["pos"] - r["start"] for r in rows], [len(g) for g in groups]).repeated(length)
+            alone = np.array([r["c"] == 1 for r in rows])[who]  # the others go whole
+            who, at = who[alone], at[alone]
+            if len(who):
+                cut = np.flatnonzero((np.diff(who) != 0) | (np.diff(at) > length)) + 1
+                first, last = np.concatenate(([0], cut)), np.concatenate((cut, [len(who)])) - 1
+                own = [rows[k] for k in who[first].tolist()]
+                base = np.array([r["start"] for r in own])
+                cols = [[r["doc_id"] for r in own], [r["rid"] for r in own], base + at[first], base + at[last] + length]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _RANGES, strict=True)], schema=_RANGES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

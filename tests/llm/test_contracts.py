@@ -154,9 +154,9 @@ def test_surroundings_against_plain_search(slab):
                 own.add((bytes(full[8 - n : 8]) + core + bytes(full[8 : 8 + r.randint(8, 18)]), n))
             groups.append(sorted(own))
         flat = [x for g in groups for x in g]
-        got = suffix_dedup._Surroundings([t for t, _ in flat], [n for _, n in flat], [len(g) for g in groups]).repeated(12, slab)
+        who, at = suffix_dedup._Surroundings([t for t, _ in flat], [n for _, n in flat], [len(g) for g in groups]).repeated(12, slab)
         want = [[n - a for a in range(n, -1, -1) if len(t) >= n - a + 12 and any(o is not x and o[1] >= a and o[0][o[1] - a : o[1] - a + 12] == t[n - a : n - a + 12] for o in g)] for g in groups for x in g for t, n in [x]]
-        assert [x.tolist() for x in got] == want
+        assert list(zip(who.tolist(), at.tolist(), strict=True)) == [(k, x) for k, own in enumerate(want) for x in own]
 
 
 def test_bpe_matches_the_library(spark, corpus):
