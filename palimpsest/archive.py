@@ -3,29 +3,37 @@
 from __future__ import annotations
 
 import json
+import os
 import uuid
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .errors import NoArchives, ScopeError
+from .errors import ArchiveError, BrokenInputs, NoArchives, ScopeError, SourceError
 from .functions.text import path_key
-from .operators.merge import ITEM, merge_conversations
-from .operators.search import MAX_COUNT, report
+from .operators.merge import ITEM, merge_assets, merge_conversations
+from .operators.search import MAX_COUNT, duplicate_omitted, hits, report, suppressed_clause, unique_hits
 from .operators.spans import spans
 from .operators.stats import export_labels, span_stats
 from .plans.query import Flags, compile_query
-from .sources.discover import check_part, infer_scope, scoped_path
-from .sources.readers import read_files
+from .sources.discover import by_scope, check_part, discover, discover_home, infer_scope, scoped_path, without_copies, without_unpacked
+from .sources.readers import TAGGED, read_files
+from .sources.readers import assets as read_assets
 
-TABLES = ("items", "exports", "spans")
+TABLES = ("items", "exports", "conversations", "spans", "tagged", "assets")
+#: Fixed value: archives of another version aren't read.
+VERSION = 1
+TAGGED_ROW = "service string, account string, export_index int, kind string, path string, value string"
+ASSET_ROW = "digest string, uuid string, relative_path string, size long, mtime timestamp, export_index int, seq long"
 
 
 class Archives:
-    """All archives below a folder."""
+    """All archives below a folder. An archive is a folder of versions; a file names the one that holds."""
 
-    def __init__(self, spark: SparkSession, root: str, codec: str = "zstd", level: int = 3):
-        self.spark, self.root, self.codec, self.level = spark, root.rstrip("/"), codec, level
+    def __init__(self, spark: SparkSession, root: str, codec: str = "zstd", level: int = 3, skips: tuple[str, ...] = ()):
+        self.spark, self.root, self.codec, self.level, self.skips = spark, root.rstrip("/"), codec, level, skips
 
     # ------------------------------------------------ files
 
@@ -37,64 +45,163 @@ class Archives:
         fs, p = self._fs(path)
         return fs.exists(p)
 
-    def _replace(self, df: DataFrame, path: str) -> None:
-        """Written beside the target, then renamed; what was half written goes."""
-        aside = f"{path}.{uuid.uuid4().hex}"
-        fs, new = self._fs(aside)
+    def _write(self, df: DataFrame, path: str) -> DataFrame:
+        df.write.option("compression", self.codec).option("parquet.compression.codec.zstd.level", str(self.level)).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def _text(self, path: str, text: str | None = None) -> str:
+        """Reads a small file, or writes it."""
+        fs, p = self._fs(path)
+        if text is None:
+            stream = fs.open(p)
+            try:
+                return bytes(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+            finally:
+                stream.close()
+        stream = fs.create(p, True)
         try:
-            df.write.option("compression", self.codec).option("parquet.compression.codec.zstd.level", str(self.level)).parquet(aside)
-            _, old = self._fs(path)
-            fs.mkdirs(old.getParent())
-            if fs.exists(old):
-                fs.delete(old, True)
-            fs.rename(new, old)
+            stream.write(bytearray(text.encode()))
         finally:
-            if fs.exists(new):
-                fs.delete(new, True)
+            stream.close()
+        return text
+
+    def _switch(self, at: str, version: str) -> None:
+        """Readers see the old version or the new one: a file beside is renamed over the pointer. Then older versions go."""
+        jvm = self.spark.sparkContext._jvm
+        self._text(f"{at}/CURRENT.{version}", version)
+        fs, new = self._fs(f"{at}/CURRENT.{version}")
+        _, old = self._fs(f"{at}/CURRENT")
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        files.rename(new, old, options)
+        for s in fs.listStatus(self._fs(f"{at}/versions")[1]):
+            if s.getPath().getName() != version:
+                fs.delete(s.getPath(), True)
+
+    def table(self, at: str, name: str) -> DataFrame:
+        """A table of the version that holds; its manifest is checked first."""
+        return self.spark.read.parquet(f"{self._open(at)}/{name}")
+
+    def _open(self, at: str) -> str:
+        if not self.exists(f"{at}/CURRENT"):
+            raise ArchiveError(f"{at}: not an archive")
+        folder = f"{at}/versions/{self._text(f'{at}/CURRENT').strip()}"
+        try:
+            manifest = json.loads(self._text(f"{folder}/manifest.json"))
+        except Exception as e:
+            raise ArchiveError(f"{at}: no manifest: {str(e).splitlines()[0]}") from None
+        if manifest.get("version") != VERSION:
+            raise ArchiveError(f"{at}: version {manifest.get('version')}, not {VERSION}")
+        if missing := [t for t in TABLES if not self.exists(f"{folder}/{t}")]:
+            raise ArchiveError(f"{at}: without {', '.join(missing)}")
+        return folder
 
     # ------------------------------------------------ ingest
 
-    def ingest(self, *paths: str, service: str | None = None, account: str | None = None, kind: str | None = None) -> dict:
-        """Adds exports to an archive: what is there, and the new dumps in order, are merged and indexed again."""
+    def ingest(self, *paths: str, service: str | None = None, account: str | None = None, kind: str | None = None, skip_broken: bool = False) -> dict:
+        """Adds exports to an archive: what is there, and the new dumps in order, are merged and indexed again.
+
+        Local paths are discovered first (a folder is taken for one kind of export), and copies of one export are read once.
+        A broken input is an error and nothing is written, unless ``skip_broken``: then the report lists it.
+        """
         if (service is None) != (account is None):
             raise ScopeError("service and account are given together or not at all")
+        if not paths:
+            raise SourceError("no inputs")
+        local = all(os.path.exists(p.removeprefix("file://")) for p in paths)
+        if local and kind is None:
+            own = [p.removeprefix("file://") for p in paths]
+            files = set(without_copies([p for p in own if os.path.isfile(p)]))
+            paths = tuple(without_unpacked([p for p in own if not os.path.isfile(p) or p in files]))
         if service is None:
-            service, account = infer_scope(paths[0])
+            scopes = {infer_scope(p) for p in paths}
+            if len(scopes) != 1:
+                raise ScopeError("inputs of several archives: " + ", ".join("/".join(s) for s in sorted(scopes)))
+            service, account = scopes.pop()
         at = scoped_path(self.root, check_part(service), check_part(account))
-        have = self.spark.read.parquet(f"{at}/exports") if self.exists(f"{at}/exports") else None
-        first = 0 if have is None else have.agg(F.coalesce(F.max("export_index"), F.lit(-1))).first()[0] + 1
-        base = 0 if first == 0 else self.spark.read.parquet(f"{at}/items").agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0] + 1
-        rows = None
-        for k, path in enumerate(paths):
-            own = read_files(self.spark, path, kind=kind).where("item is not null").withColumn("export_index", F.lit(first + k))
-            rows = own if rows is None else rows.union(own)
-        # a number for each item, in the order of dumps, files and places: two levels, no single task
-        order = "export_index, path, place"
-        counts = rows.groupBy("export_index", "path").agg(F.count("*").alias("c"))
-        starts = counts.selectExpr("export_index", "path", "coalesce(sum(c) over (order by export_index, path rows between unbounded preceding and 1 preceding), 0) as off")
-        numbered = rows.selectExpr("*", f"row_number() over (partition by export_index, path order by {order}) - 1 as n").join(starts, ["export_index", "path"])
-        items = numbered.select(F.lit(service).alias("service"), F.lit(account).alias("account"), (F.col("off") + F.col("n") + base).cast("long").alias("seq"), "export_index", "item")
-        exports = self.spark.createDataFrame([(service, account, first + k, p, None) for k, p in enumerate(paths)], "service string, account string, export_index int, source_path string, id string")
-        if have is not None:
-            items, exports = self.spark.read.parquet(f"{at}/items").unionByName(items), have.unionByName(exports)
-        self._replace(items.select(*[c.split()[0] for c in ITEM.split(", ")]), f"{at}/items")
-        self._replace(exports, f"{at}/exports")
-        merged = merge_conversations(self.spark.read.parquet(f"{at}/items"))
-        self._replace(merged, f"{at}/conversations")
-        self._replace(spans(self.spark.read.parquet(f"{at}/conversations")), f"{at}/spans")
-        return {"output": at, "exports": first + len(paths), "conversations": self.spark.read.parquet(f"{at}/conversations").count()}
+        old = self._open(at) if self.exists(f"{at}/CURRENT") else None
+        have = {t: self.spark.read.parquet(f"{old}/{t}") for t in TABLES} if old else {}
+        first = have["exports"].agg(F.coalesce(F.max("export_index"), F.lit(-1))).first()[0] + 1 if old else 0
+        base = have["items"].agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0] + 1 if old else 0
+        version = uuid.uuid4().hex
+        new = f"{at}/versions/{version}"
+        try:
+            rows, assets = None, None
+            for k, path in enumerate(paths):
+                files = [str(p) for p in discover(path, self.skips)[1]] + self._summaries(path) if local and kind is None and not os.path.isfile(path) else [path]
+                own = read_files(self.spark, *files, kind=kind).withColumn("export_index", F.lit(first + k))
+                rows = own if rows is None else rows.union(own)
+                if local and os.path.isdir(path):
+                    found = read_assets(self.spark, path).withColumn("export_index", F.lit(first + k)).withColumn("seq", F.lit(first + k).cast("long"))
+                    assets = found if assets is None else assets.union(found)
+            rows = self._write(rows, f"{new}/staged")  # inputs are parsed once
+            problems = [f"{r['path']}: {r['problem']}" for r in rows.where("problem is not null").select("path", "problem").orderBy("path").limit(100).collect()]
+            if problems and not skip_broken:
+                raise BrokenInputs(problems)
+            read = rows.where("item is not null")
+            tagged = read.where(F.col("kind").isin(*TAGGED)).select(F.lit(service).alias("service"), F.lit(account).alias("account"), "export_index", "kind", "path", F.col("item").alias("value"))
+            read = read.where(~F.col("kind").isin(*TAGGED))
+            # a number for each item, in the order of dumps, files and places: two levels, no single task
+            counts = read.groupBy("export_index", "path").agg(F.count("*").alias("c"))
+            starts = counts.selectExpr("export_index", "path", "coalesce(sum(c) over (partition by export_index order by path rows between unbounded preceding and 1 preceding), 0) as off")
+            dumps = counts.groupBy("export_index").agg(F.sum("c").alias("c")).selectExpr("export_index", "coalesce(sum(c) over (order by export_index rows between unbounded preceding and 1 preceding), 0) as before")
+            numbered = read.selectExpr("*", "row_number() over (partition by export_index, path order by place) - 1 as n").join(starts, ["export_index", "path"]).join(F.broadcast(dumps), "export_index")
+            items = numbered.select(F.lit(service).alias("service"), F.lit(account).alias("account"), (F.col("before") + F.col("off") + F.col("n") + base).cast("long").alias("seq"), "export_index", "item")
+            exports = self.spark.createDataFrame([(service, account, first + k, p, None) for k, p in enumerate(paths)], "service string, account string, export_index int, source_path string, id string")
+            assets = self.spark.createDataFrame([], ASSET_ROW) if assets is None else assets.select(*[f.split()[0] for f in ASSET_ROW.split(", ")])
+            if old:
+                items, exports, tagged, assets = have["items"].unionByName(items), have["exports"].unionByName(exports), have["tagged"].unionByName(tagged), have["assets"].unionByName(assets)
+            kept = self._write(items.select(*[c.split()[0] for c in ITEM.split(", ")]), f"{new}/items")
+            self._write(exports, f"{new}/exports")
+            self._write(tagged, f"{new}/tagged")
+            self._write(assets, f"{new}/assets")
+            merged = self._write(merge_conversations(kept), f"{new}/conversations")
+            self._write(spans(merged), f"{new}/spans")
+            n, digest = merged.agg(F.count("*"), _manifest_digest()).first()
+            self._text(f"{new}/manifest.json", json.dumps({"version": VERSION, "conversations": n, "digest": digest}))
+            fs, staged = self._fs(f"{new}/staged")
+            fs.delete(staged, True)
+            self._switch(at, version)
+        except BaseException:
+            fs, p = self._fs(new)
+            if fs.exists(p):
+                fs.delete(p, True)
+            raise
+        return {"output": at, "exports": first + len(paths), "conversations": n} | ({"problems": problems} if problems else {})
+
+    @staticmethod
+    def _summaries(path: str) -> list[str]:
+        return [str(p) for p in sorted(Path(path).rglob("summary.json"))]
+
+    def ingest_home(self, home: str, depth: int = 8) -> list[dict]:
+        """Every export below a folder, one ingest for each (service, account)."""
+        return [self.ingest(*paths, service=s, account=a) for (s, a), paths in by_scope(discover_home(home, depth, self.skips)).items()]
+
+    def verify(self, service: str, account: str) -> bool:
+        """Whether the conversations are those that the manifest was written for."""
+        at = scoped_path(self.root, service, account)
+        folder = self._open(at)
+        n, digest = self.spark.read.parquet(f"{folder}/conversations").agg(F.count("*"), _manifest_digest()).first()
+        manifest = json.loads(self._text(f"{folder}/manifest.json"))
+        return (n, digest) == (manifest["conversations"], manifest["digest"])
+
+    def assets(self, service: str, account: str) -> DataFrame:
+        """digest, uuid, relative_path, size, mtime, export_indices: a row for each content."""
+        return merge_assets(self.table(scoped_path(self.root, service, account), "assets"))
 
     # ------------------------------------------------ queries
 
     def list(self) -> list[str]:
         """service/account of each archive, in the order of their parts."""
         fs, p = self._fs(self.root)
-        found = fs.globStatus(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/service=*/account=*/spans")) if fs.exists(p) else []
+        found = fs.globStatus(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/service=*/account=*/CURRENT")) if fs.exists(p) else []
         names = [s.getPath().toString().split("/")[-3:-1] for s in found or []]
         return sorted((f"{a.removeprefix('service=')}/{b.removeprefix('account=')}" for a, b in names), key=lambda x: x.split("/"))
 
     def spans(self, service: str | None = None, account: str | None = None) -> DataFrame:
-        """Spans of one archive, or of all that can be read."""
+        """Spans of one archive, or of all that can be read; ``unreadable`` tells of the others."""
+        self.unreadable: list[str] = []
         if (service is None) != (account is None):
             raise ScopeError("service and account are given together or not at all")
         names = [f"{service}/{account}"] if service else self.list()
@@ -104,54 +211,75 @@ class Archives:
         for n in names:
             at = scoped_path(self.root, *n.split("/"))
             try:
-                own = self.spark.read.parquet(f"{at}/spans")
-                if "text" not in own.columns:
-                    continue
-            except Exception as e:
+                own = self.table(at, "spans")
+            except ArchiveError as e:
                 if service:
                     raise
-                print(f"{at}: {str(e).splitlines()[0]}")
+                self.unreadable.append(str(e))
                 continue
             out = own if out is None else out.unionByName(own)
         if out is None:
             raise NoArchives(f"no readable archives in {self.root}")
         return out
 
-    def search(self, pattern: str, flags: Flags | None = None, max_count: int = MAX_COUNT, service: str | None = None, account: str | None = None) -> DataFrame:
+    def search(self, pattern: str, flags: Flags | None = None, max_count: int = MAX_COUNT, service: str | None = None, account: str | None = None, status: Callable[[dict], None] | None = None) -> DataFrame:
+        """``status`` is told how many archives there are, and of each, in order, how many unique hits there are so far."""
         q = compile_query(pattern, flags)  # a bad pattern fails before anything is read
-        return report(self.spans(service, account), q, max_count)
+        found = self.spans(service, account)
+        if status:
+            names = [f"{service}/{account}"] if service else self.list()
+            status({"event": "starting", "archives": len(names)})
+            counts, so_far = {r["archive"]: r["n"] for r in unique_hits(hits(found, q)).groupBy("archive").agg(F.count("*").alias("n")).collect()}, 0
+            for k, name in enumerate(names, 1):
+                so_far += counts.get(name, 0)
+                status({"event": "archive", "archive": name, "done": k, "of": len(names), "unique_hits": so_far})
+        return report(found, q, max_count)
+
+    def omitted(self, pattern: str, flags: Flags | None = None, service: str | None = None, account: str | None = None) -> int:
+        """How many matches a report leaves out as duplicates."""
+        return duplicate_omitted(self.spans(service, account), compile_query(pattern, flags)).agg(F.coalesce(F.sum("duplicate_omitted"), F.lit(0))).first()[0]
 
     def stats(self, service: str | None = None, account: str | None = None) -> DataFrame:
         names = [f"{service}/{account}"] if service else self.list()
         exports = None
         for n in names:
-            own = self.spark.read.parquet(f"{scoped_path(self.root, *n.split('/'))}/exports")
+            own = self.table(scoped_path(self.root, *n.split("/")), "exports")
             exports = own if exports is None else exports.unionByName(own)
         return span_stats(self.spans(service, account)).join(export_labels(exports), "archive", "left").orderBy(path_key(F.col("archive")))
 
 
+def _manifest_digest():
+    """One digest of all conversations, in any order: the sum of 60 bits of each one's digest, and how many there are."""
+    own = F.conv(F.substring(F.sha2(F.concat_ws("\x1f", "id", "item"), 256), 1, 15), 16, 10).cast("decimal(20,0)")
+    return F.sha2(F.concat_ws(" ", F.count("*"), F.coalesce(F.sum(own), F.lit(0))).cast("string"), 256)
+
+
+def totals(reports: list[dict]) -> dict:
+    """Sums over the reports of several ingests."""
+    return {"archives": len(reports), "exports": sum(r["exports"] for r in reports), "conversations": sum(r["conversations"] for r in reports)}
+
+
+def stats_text(rows: list[dict]) -> str:
+    """Counts for people: a line for each figure, archives apart."""
+    out = []
+    for r in rows:
+        out.append(str(r["archive"]))
+        out += [f"  {k}: {', '.join(v) if isinstance(v, list) else v}" for k, v in r.items() if k != "archive"]
+    return "\n".join(out)
+
+
 def hits_json(groups: DataFrame) -> str:
     """{"hits": [{snippet, field, occurrences}]} of a capped report."""
     rows = [r.asDict(recursive=True) for r in groups.select("snippet", "field", "occurrences").collect()]
     return json.dumps({"hits": rows}, ensure_ascii=False)
 
 
-def hits_text(groups: DataFrame) -> str:
-    """The report for people."""
-    out = []
+def hits_text(groups: DataFrame, archive: str | None = None, not_shown: int = 0, omitted: int = 0) -> str:
+    """The report for people. Of one archive, its name stands above and not in the rows; below, what is left out."""
+    out = [archive] if archive else []
     for r in groups.collect():
         out.append(f"{r['field']}: {r['snippet']}\n  present in:")
-        out += [f"    {o['archive']}  {o['conversation_id'] or '-'}  {o['field']}" for o in r["occurrences"]]
+        out += ["    " + "  ".join([*([] if archive else [o["archive"]]), o["conversation_id"] or "-", o["field"]]) for o in r["occurrences"]]
+    if clause := suppressed_clause(not_shown, omitted):
+        out.append(clause)
     return "\n".join(out)
-
-
-def to_toon(rows: list[dict]) -> str:
-    """Rows with the same scalar keys as a table: a header with count and keys, then a line for each row."""
-
-    def cell(x) -> str:
-        if isinstance(x, str):
-            return json.dumps(x, ensure_ascii=False) if x == "" or x != x.strip() or any(c in x for c in ',:"\\\n\r\t[]{}') or x in ("true", "false", "null") or x.lstrip("-").replace(".", "", 1).isdigit() else x
-        return json.dumps(x)
-
-    keys = list(rows[0]) if rows else []
-    return "\n".join([f"hits[{len(rows)}]{{{','.join(keys)}}}:", *("  " + ",".join(cell(r[k]) for k in keys) for r in rows)])

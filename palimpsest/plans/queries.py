@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import atexit
+import shutil
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import looks_like_uuid, path_key, richer_text, snippet, tokens
+from ..archive import Archives
+from ..functions.text import content_digest, field_name, looks_like_uuid, snippet, tokens
 from ..operators import index, search, stats
+from ..operators.merge import merge_assets, merge_conversations
+from ..operators.spans import spans
+from ..sources.readers import parse_files
+from ..streaming.ingest import upsert
 from .query import Flags, compile_query, first_match, match_count, matches
 
 QUERIES: dict = {}
@@ -117,12 +127,11 @@ def snippets_any_text(spark, sf_dir):
     return rows.select("doc_id", snippet(F.col("text"), F.col("m.pos"), F.col("m.len")).alias("snippet"))
 
 
-@query("""
-with h as (select 'crawl/' || source as archive, cast(doc_id as varchar) as conversation_id, 'message' as field, doc_id as span_index, strlen(substr(text, 1, strpos(text, 'stor') - 1)) as pos from documents where contains(text, 'stor'))
-select * from h
-""")
+@query("select source as conversation_id, min(doc_id) as span_index, strlen(substr(text, 1, strpos(text, 'stor') - 1)) as pos from documents where contains(text, 'stor') group by source, text")
 def unique_hits(spark, sf_dir):
-    return search.unique_hits(search.hits(doc_spans(spark, sf_dir), compile_query("stor"))).select("archive", "conversation_id", "field", "span_index", "pos")
+    """Sources are conversations here, so that copies inside one are omitted: the first stays."""
+    rows = doc_spans(spark, sf_dir).withColumn("conversation_id", F.col("archive").substr(7, 100)).withColumn("archive", F.lit("crawl"))
+    return search.unique_hits(search.hits(rows, compile_query("stor"))).select("conversation_id", "span_index", "pos")
 
 
 _GROUPS = """
@@ -165,15 +174,168 @@ def archive_stats(spark, sf_dir):
     return stats.span_stats(chat_spans(spark, sf_dir))
 
 
-@query("select distinct 'crawl/' || source as archive from documents")
+# ---------------------------------------------------------------- archives made from the tables
+
+
+def _folder(spark: SparkSession) -> str:
+    """A folder of a query's own in the shared one, or in the temporary one where none is set."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return f"{shared.rstrip('/')}/palimpsest-archives/{uuid.uuid4().hex}"
+    own = tempfile.mkdtemp(prefix="palimpsest-")
+    atexit.register(shutil.rmtree, own, True)
+    return f"file://{own}"
+
+
+def _session_archives(spark: SparkSession, sf_dir: str) -> Archives:
+    """The turns of each role as session logs, ingested in two dumps that overlap, one archive for a role."""
+    folder = _folder(spark)
+    archives = Archives(spark, f"{folder}/archives")
+    chats = _read(spark, sf_dir, "conversations")
+    for role in ("user", "assistant"):
+        for dump, keep in (("a", "conv_id % 3 < 2"), ("b", "conv_id % 3 > 0")):
+            line = F.to_json(F.struct(F.concat_ws("-", "conv_id", "turn").alias("_id"), F.lit(role).alias("type"), F.col("text").alias("content")))
+            chats.where(F.col("role") == role).where(keep).select(line.alias("value")).write.text(f"{folder}/{role}/{dump}")
+        archives.ingest(f"{folder}/{role}/a", f"{folder}/{role}/b", service="sessions", account=role, kind="session")
+    return archives
+
+
+@query("select distinct 'sessions/' || role as archive from conversations where role in ('user', 'assistant')")
 def list_archives(spark, sf_dir):
-    return doc_spans(spark, sf_dir).select("archive").distinct().orderBy(path_key(F.col("archive")))
+    """Archives that were ingested, as they are listed."""
+    return spark.createDataFrame([(n,) for n in _session_archives(spark, sf_dir).list()], "archive string")
 
 
-@query("select doc_id from documents where source = 'src3' and contains(text, 'of')")
+@query("select text, count(*) as places from conversations where role = 'assistant' and contains(text, 'tion') group by text")
 def search_scoped(spark, sf_dir):
-    rows = doc_spans(spark, sf_dir).where(F.col("archive") == "crawl/src3").where(matches(F.col("text"), compile_query("of")))
-    return rows.select(F.col("span_index").alias("doc_id"))
+    """A search of one archive of two, its dumps written to part files and ingested: a turn may be in two parts, once each."""
+    found = _session_archives(spark, sf_dir).search("tion", Flags(fixed=True), 0, "sessions", "assistant")
+    return found.select("text", F.lit(1).cast("long").alias("places"))
+
+
+def _dump(spark, files: DataFrame, kind: str, service: str = "s") -> DataFrame:
+    """(path, content string) -> merged conversations of what the parser of the kind takes from the files."""
+    rows = parse_files(files.select("path", F.col("content").cast("binary").alias("content")), kind).where("problem is null")
+    return rows.where(F.col("kind") == kind).select(F.lit(service).alias("service"), F.lit("a").alias("account"), F.pmod(F.xxhash64("path", "place"), F.lit(1 << 38)).alias("seq"), F.lit(0).alias("export_index"), "item")
+
+
+def _messages(merged: DataFrame) -> DataFrame:
+    """conversation_id, n (place of the message in it, from 1), text"""
+    rows = spans(merged).where("field = 'message'")
+    return rows.selectExpr("conversation_id", "row_number() over (partition by conversation_id order by span_index) as n", "text").withColumn("n", F.col("n").cast("long"))
+
+
+_TURNS = "select cast(conv_id as varchar) as conversation_id, row_number() over (partition by conv_id order by turn) as n, text from conversations"
+
+
+@query(_TURNS)
+def session_log(spark, sf_dir):
+    """Session logs, a file for each conversation with blank lines and unknown keys, read line by line."""
+    line = F.to_json(F.struct(F.col("turn").cast("string").alias("_id"), F.col("role").alias("type"), F.col("text").alias("content"), F.lit(1).alias("odd")))
+    files = _read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("t"))
+    files = files.select(F.concat(F.lit("/x/"), "conv_id", F.lit("/chat_history.jsonl")).alias("path"), F.array_join("t.line", "\n\n").alias("content"))
+    return _messages(merge_conversations(_dump(spark, files, "session")))
+
+
+@query(_TURNS)
+def message_order(spark, sf_dir):
+    """Trees of messages with keys in no order, walked from the current node to the root."""
+    key = lambda turn: F.substring(F.sha2(F.concat_ws("-", "conv_id", turn), 256), 1, 12)
+    c = _read(spark, sf_dir, "conversations")
+    c = c.selectExpr("*", "lag(turn) over (partition by conv_id order by turn) as before", "lead(turn) over (partition by conv_id order by turn) as after")
+    part = F.struct(F.lit("text").alias("content_type"), F.array("text").alias("parts"))
+    node = F.struct(F.when(F.col("before").isNotNull(), key("before")).alias("parent"), F.when(F.col("after").isNotNull(), F.array(key("after"))).otherwise(F.array().cast("array<string>")).alias("children"), F.struct(F.col("turn").cast("string").alias("id"), F.struct(F.col("role").alias("role")).alias("author"), part.alias("content")).alias("message"))
+    nodes = c.select("conv_id", key("turn").alias("key"), node.alias("node"), "after")
+    trees = nodes.groupBy("conv_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "node")))).alias("mapping"), F.max(F.when(F.col("after").isNull(), F.col("key"))).alias("current_node"))
+    files = trees.select(F.concat(F.lit("/x/conversations-"), "conv_id", F.lit(".json")).alias("path"), F.to_json(F.array(F.struct(F.col("conv_id").cast("string").alias("conversation_id"), "mapping", "current_node"))).alias("content"))
+    return _messages(merge_conversations(_dump(spark, files, "mapping")))
+
+
+@query(_TURNS)
+def messenger_chats(spark, sf_dir):
+    """An account's chats with texts of strings and entities."""
+    half = F.expr("cast(length(text) div 2 as int)")
+    text = F.concat(F.lit("["), F.to_json(F.struct(F.lit("bold").alias("type"), F.expr("substring(text, 1, cast(length(text) div 2 as int))").alias("text"))), F.lit(","), F.regexp_replace(F.to_json(F.struct(F.expr("substring(text, cast(length(text) div 2 as int) + 1)").alias("x"))), r'^\{"x":|\}$', ""), F.lit("]"))
+    message = F.concat(F.lit('{"id":'), "turn", F.lit(',"type":"message","from":"'), "role", F.lit('","text":'), F.when(half > 0, text).otherwise(F.lit('""')), F.lit("}"))
+    chats = _read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", message.alias("m")))).alias("t"))
+    chat = F.concat(F.lit('{"id":'), "conv_id", F.lit(',"name":"n","messages":['), F.array_join("t.m", ","), F.lit("]}"))
+    files = chats.select(F.concat(F.lit("/x/"), "conv_id", F.lit("/result.json")).alias("path"), F.concat(F.lit('{"chats":{"list":['), chat, F.lit("]}}")).alias("content"))
+    return _messages(merge_conversations(_dump(spark, files, "messenger")))
+
+
+@query("select cast(doc_id as varchar) as conversation_id, 1 as n, text from documents where text <> '' union all select 'd' || conv_id, row_number() over (partition by conv_id order by turn), text from conversations")
+def microblog_posts(spark, sf_dir):
+    """Assigned arrays of posts, and of direct messages."""
+    post = F.to_json(F.struct(F.struct(F.col("doc_id").cast("string").alias("id_str"), F.col("text").alias("full_text"), "lang").alias("tweet")))
+    posts = _read(spark, sf_dir, "documents").select(F.concat(F.lit("/x/"), "doc_id", F.lit("/tweets.js")).alias("path"), F.concat(F.lit("window.YTD.tweets.part0 = ["), post, F.lit("]")).alias("content"))
+    message = F.struct(F.struct(F.col("turn").cast("string").alias("id"), F.col("turn").cast("string").alias("createdAt"), "text", F.col("role").alias("senderId")).alias("messageCreate"))
+    talks = _read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", message.alias("m")))).alias("t"))
+    talk = F.to_json(F.array(F.struct(F.struct(F.concat(F.lit("d"), "conv_id").alias("conversationId"), F.col("t.m").alias("messages")).alias("dmConversation"))))
+    talks = talks.select(F.concat(F.lit("/x/"), "conv_id", F.lit("/dm.js")).alias("path"), F.concat(F.lit("window.YTD.direct_messages.part0 = "), talk).alias("content"))
+    return _messages(merge_conversations(_dump(spark, posts.union(talks), "assigned")))
+
+
+@query("select conv_id || '.json#' || conv_id as conversation_id, sha256(string_agg(text, chr(10) order by turn)) as digest from conversations group by conv_id")
+def activity_posts(spark, sf_dir):
+    """Posts of a download: all strings below their data, joined."""
+    posts = _read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.struct(F.col("text").alias("post")).alias("p")))).alias("t"))
+    files = posts.select(F.concat("conv_id", F.lit(".json")).alias("path"), F.to_json(F.array(F.struct(F.col("conv_id").alias("timestamp"), F.col("t.p").alias("data")))).alias("content"))
+    return _messages(merge_conversations(_dump(spark, files, "activity"))).select("conversation_id", F.sha2("text", 256).alias("digest"))
+
+
+@query("select doc_id || '.md' as conversation_id, source || ' ' || lang as title, text || chr(10) as body from documents")
+def markdown_notes(spark, sf_dir):
+    """Notes with front matter, which isn't shown, and a heading, which is the title."""
+    text = F.concat(F.lit("---\ntitle: no\nrank: 3\n---\n# "), "source", F.lit(" "), "lang", F.lit("\n"), F.coalesce("text", F.lit("")), F.lit("\n"))
+    files = _read(spark, sf_dir, "documents").select(F.concat("doc_id", F.lit(".md")).alias("path"), text.alias("content"))
+    got = spans(merge_conversations(_dump(spark, files, "markdown"))).groupBy("conversation_id").agg(F.max(F.when(F.col("field") == "title", F.col("text"))).alias("title"), F.max(F.when(F.col("field") == "message", F.col("text"))).alias("body"))
+    return got.select("conversation_id", "title", F.expr("substring(body, length(title) + 4)").alias("body"))
+
+
+@query("select 'card ' || item_id as conversation_id, 'one, two, ' || item_id as summary, trim(text) as body from benchmark")
+def story_cards(spark, sf_dir):
+    """Cards with a list of keys; those without a title are left out."""
+    card = F.struct(F.concat(F.lit("card "), "item_id").alias("title"), F.array(F.lit("one"), F.lit(" two "), F.col("item_id").cast("string")).alias("keys"), F.col("text").alias("value"))
+    files = _read(spark, sf_dir, "benchmark").select(F.concat("item_id", F.lit(".json")).alias("path"), F.to_json(F.array(card, card.withField("title", F.lit("")))).alias("content"))
+    return _card_columns(merge_conversations(_dump(spark, files, "cards")))
+
+
+@query("select 'c' || item_id as conversation_id, 'one' as summary, trim(text) as body from benchmark")
+def characters(spark, sf_dir):
+    """Character files: id before title, keys as summary."""
+    quoted = F.regexp_replace(F.to_json(F.struct(F.col("text").alias("x"))), r'^\{"x":|\}$', "")
+    files = _read(spark, sf_dir, "benchmark").select(F.concat("item_id", F.lit(".toml")).alias("path"), F.concat(F.lit('id = "c'), "item_id", F.lit('"\nname = "n"\ntitle = "t"\nkeys = "one"\nvalue = '), quoted, F.lit("\n")).alias("content"))
+    return _card_columns(merge_conversations(_dump(spark, files, "character")))
+
+
+def _card_columns(merged: DataFrame) -> DataFrame:
+    return spans(merged).groupBy("conversation_id").agg(F.max(F.when(F.col("field") == "summary", F.col("text"))).alias("summary"), F.max(F.when(F.col("field") == "message", F.col("text"))).alias("body"))
+
+
+@query("""
+select cast(conv_id as varchar) as conversation_id, field, text from (
+  select conv_id, 'title' as field, 'chat ' || conv_id as text from conversations group by conv_id
+  union all select conv_id, 'message', text from conversations union all select conv_id, 'message', 'part ' || turn from conversations)
+""")
+def assistant_export(spark, sf_dir):
+    """A dump with titles and messages of parts: strings, text parts, and others, which give nothing."""
+    parts = lambda x: F.concat(F.lit("["), F.regexp_replace(F.to_json(F.struct(x.alias("x"))), r'^\{"x":|\}$', ""), F.lit(',{"type":"text","text":"part '), "turn", F.lit('"},{"type":"image","text":"no"},7]'))
+    response = F.concat(F.lit('{"response":{"_id":"'), "turn", F.lit('","message":'), parts(F.col("text")), F.lit("}}"))
+    c = _read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", response.alias("r")))).alias("t"))
+    item = F.concat(F.lit('{"conversation":{"id":"'), "conv_id", F.lit('","title":"chat '), "conv_id", F.lit('","odd":{"a":null}},"responses":['), F.array_join("t.r", ","), F.lit("]}"))
+    files = c.select(F.concat("conv_id", F.lit(".json")).alias("path"), F.concat(F.lit('{"conversations":['), item, F.lit('],"media_posts":[],"odd":1}')).alias("content"))
+    return spans(merge_conversations(_dump(spark, files, "assistant"))).select("conversation_id", "field", "text")
+
+
+@query("select event_id, cast(len(json_keys(props)) as bigint) as n_keys, array_to_string(list_sort(json_keys(props)), ',') as names from events")
+def json_leftover(spark, sf_dir):
+    """Keys of a dump's conversation that the reader doesn't know stay on it."""
+    props = F.regexp_replace("props", r"^\s*\{|\}\s*$", "")
+    item = F.concat(F.lit('{"conversations":[{"conversation":{"id":"'), "event_id", F.lit('"'), F.when(F.trim(props) != "", F.concat(F.lit(","), props)).otherwise(""), F.lit("}}]}"))
+    files = _read(spark, sf_dir, "events").select(F.concat("event_id", F.lit(".json")).alias("path"), item.alias("content"))
+    keys = F.array_sort(F.array_except(F.json_object_keys(F.get_json_object("item", "$.conversation")), F.array(F.lit("id"))))
+    got = _dump(spark, files, "assistant").select(F.get_json_object("item", "$.conversation.id").cast("long").alias("event_id"), keys.alias("k"))
+    return got.select("event_id", F.size("k").cast("long").alias("n_keys"), F.array_join("k", ",").alias("names"))
 
 
 @query("""
@@ -183,17 +345,39 @@ def token_df(spark, sf_dir):
     return index.document_frequency(doc_spans(spark, sf_dir))
 
 
-@query("""
-with t as (select doc_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}]+')) as term from documents) select term, lower(term) as term_lower, count(*) as places, count(distinct doc_id) as spans, min(doc_id) as first_span from t group by term
-""")
+_PLACES = """
+with t as (select doc_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}]+')) as term, generate_subscripts(regexp_extract_all(text, '[\\p{L}\\p{N}]+'), 1) as k from documents),
+g as (select doc_id, unnest(regexp_split_to_array(text, '[\\p{L}\\p{N}]+')) as gap, generate_subscripts(regexp_split_to_array(text, '[\\p{L}\\p{N}]+'), 1) as k from documents),
+p as (select t.doc_id, t.term, sum(strlen(g.gap) + strlen(t.term)) over (partition by t.doc_id order by t.k) - strlen(t.term) as byte_off from t join g on t.doc_id = g.doc_id and t.k = g.k)
+"""
+
+
+@query(_PLACES + "select term, lower(term) as term_lower, count(*) as places, count(distinct doc_id) as spans, min(doc_id) as first_span, cast(sum(byte_off) as bigint) as sum_off, cast(max(byte_off) as bigint) as last_off from p group by term")
 def token_postings(spark, sf_dir):
     p = index.postings(doc_spans(spark, sf_dir))
-    return p.groupBy("term", "term_lower").agg(F.count("*").alias("places"), F.countDistinct("span_index").alias("spans"), F.min("span_index").alias("first_span"))
+    return p.groupBy("term", "term_lower").agg(F.count("*").alias("places"), F.countDistinct("span_index").alias("spans"), F.min("span_index").alias("first_span"), F.sum("byte_off").alias("sum_off"), F.max("byte_off").alias("last_off"))
+
+
+@query(_PLACES + "select term, string_agg(doc_id || ':' || cast(byte_off as bigint), ' ' order by doc_id, byte_off) as places from p where length(term) > 6 group by term")
+def posting_lists(spark, sf_dir):
+    """Whole lists, in order, of the terms of more than six letters."""
+    rows = doc_spans(spark, sf_dir).withColumn("archive", F.lit("crawl"))
+    got = index.posting_lists(rows).where(F.length("term") > 6)
+    return got.select("term", F.array_join(F.transform("places", lambda x: F.concat_ws(":", x["span_index"], x["byte_off"])), " ").alias("places"))
 
 
-@query("select sha256(text) as digest, count(*) as copies, min(doc_id) as first_doc from documents group by text")
+def _items(rows: DataFrame, conversation, seq, export, responses=None) -> DataFrame:
+    """Items of one archive, from columns."""
+    item = F.to_json(F.struct(conversation.alias("conversation"), *([responses.alias("responses")] if responses is not None else [])))
+    return rows.select(F.lit("s").alias("service"), F.lit("a").alias("account"), seq.cast("long").alias("seq"), export.cast("int").alias("export_index"), item.alias("item"))
+
+
+@query("select sha256(text) as digest, count(*) as copies, min(doc_id) as first_doc from documents where text is not null group by text")
 def identity_dedup(spark, sf_dir):
-    return _read(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("digest")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc"))
+    """Documents as items whose identity is their text: the very same again only counts."""
+    d = _read(spark, sf_dir, "documents").where("text is not null")
+    got = merge_conversations(_items(d, F.struct(content_digest(F.col("text")).alias("id"), F.col("text").alias("title")), F.col("doc_id"), F.lit(0)))
+    return got.select(F.col("id").alias("digest"), F.col("n_dumps").cast("long").alias("copies"), F.col("seq").alias("first_doc"))
 
 
 @query("""
@@ -203,35 +387,68 @@ select coalesce(a.conv_id, b.conv_id) as conv_id, case when strlen(coalesce(b.te
 def merge_two_dumps(spark, sf_dir):
     """Two dumps of a title, none newer: the richer one stays."""
     c = _read(spark, sf_dir, "conversations").where("turn in (0, 2)")
-    both = c.groupBy("conv_id").agg(F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("a"), F.max(F.when(F.col("turn") == 2, F.col("text"))).alias("b"), F.count("*").cast("int").alias("dumps"))
-    return both.select("conv_id", richer_text(F.col("a"), F.col("b")).alias("title"), "dumps")
+    got = merge_conversations(_items(c, F.struct(F.col("conv_id").cast("string").alias("id"), F.col("text").alias("title")), F.col("turn"), F.col("turn")))
+    return got.select(F.col("id").cast("long").alias("conv_id"), F.get_json_object("item", "$.conversation.title").alias("title"), F.col("n_dumps").alias("dumps"))
 
 
-@query("select sha256(text) as digest, string_agg(distinct source, ',' order by source) as sources from documents group by text having count(*) > 1")
-def provenance_list(spark, sf_dir):
-    g = _read(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("digest")).agg(F.count("*").alias("c"), F.array_sort(F.array_distinct(F.collect_list("source"))).alias("s"))
-    return g.where("c > 1").select("digest", F.array_join("s", ",").alias("sources"))
+@query("select conv_id, arg_max(text, length(role) * 100000 - turn) as title from conversations where text <> '' and strlen(text) = length(text) and length(text) <= 4000 group by conv_id")
+def merge_newest(spark, sf_dir):
+    """A dump for each turn, in order of turn: a title stays until one comes that was modified later (longer role names are later here)."""
+    # earlier turns are ingested first; equal times aren't newer, but a longer text would win: they are padded to one length
+    c = _read(spark, sf_dir, "conversations").where("text <> '' and octet_length(text) = length(text) and length(text) <= 4000")
+    conv = F.struct(F.col("conv_id").cast("string").alias("id"), F.rpad("text", 4000, "\u0001").alias("title"), F.lpad(F.length("role").cast("string"), 4, "0").alias("modify_time"))
+    got = merge_conversations(_items(c, conv, F.col("turn"), F.col("turn")))
+    return got.select(F.col("id").cast("long").alias("conv_id"), F.regexp_replace(F.get_json_object("item", "$.conversation.title"), "\u0001+$", "").alias("title"))
 
 
-@query("""
-select conv_id, turn, row_number() over (partition by conv_id order by turn) as place, lag(turn) over (partition by conv_id order by turn) as parent from conversations
-""")
-def message_order(spark, sf_dir):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.row_number().over(w).cast("long").alias("place"), F.lag("turn").over(w).alias("parent"))
+@query("select conv_id, count(*) as kept, cast(sum(strlen(text)) as bigint) as bytes from (select conv_id, role, arg_max(text, strlen(text) * 100000 - turn) as text from conversations group by conv_id, role) group by conv_id")
+def response_merge(spark, sf_dir):
+    """A dump for each turn whose response has the role as its id: the longest message of each id stays in its place."""
+    c = _read(spark, sf_dir, "conversations")
+    got = merge_conversations(_items(c, F.struct(F.col("conv_id").cast("string").alias("id")), F.col("turn"), F.col("turn"), F.array(F.struct(F.struct(F.col("role").alias("_id"), F.col("text").alias("message")).alias("response")))))
+    first = F.from_json(F.get_json_object("item", "$.responses"), "array<struct<response: struct<_id: string, message: string>>>")
+    rows = got.select(F.col("id").cast("long").alias("conv_id"), F.posexplode(first).alias("k", "r")).groupBy("conv_id", "r.response._id").agg(F.min_by(F.octet_length("r.response.message"), "k").alias("n"))
+    return rows.groupBy("conv_id").agg(F.count("*").alias("kept"), F.sum("n").alias("bytes"))
 
 
-@query("select event_id, cast(len(json_keys(props)) as bigint) as n_keys, array_to_string(list_sort(json_keys(props)), ',') as names from events")
-def json_leftover(spark, sf_dir):
-    """Keys of a JSON object that is kept as a map of raw values."""
-    rows = _read(spark, sf_dir, "events").select("event_id", F.from_json("props", "map<string,string>").alias("m"))
-    return rows.select("event_id", F.size("m").cast("long").alias("n_keys"), F.array_join(F.array_sort(F.map_keys("m")), ",").alias("names"))
+@query("with f as (select text, source, min(doc_id) as m from documents where text is not null group by text, source) select sha256(text) as digest, string_agg(substr(source, 4), ',' order by m) as exports from f group by text")
+def provenance_list(spark, sf_dir):
+    """Where each text comes from, each source once, in the order of ingest."""
+    d = _read(spark, sf_dir, "documents").where("text is not null")
+    got = merge_conversations(_items(d, F.struct(content_digest(F.col("text")).alias("id")), F.col("doc_id"), F.substring("source", 4, 9)))
+    return got.select(F.col("id").alias("digest"), F.array_join("export_indices", ",").alias("exports"))
+
+
+@query("with f as (select sha256(text) as digest, source, min(doc_id) as m from documents where text is not null group by text, source) select digest, arg_min(source, m) as uuid, string_agg(substr(source, 4), ',' order by m) as exports from f group by digest")
+def asset_dedup(spark, sf_dir):
+    """Texts as assets: one row for each content, with the names of the first and all its places."""
+    d = _read(spark, sf_dir, "documents").where("text is not null")
+    rows = d.select(F.sha2("text", 256).alias("digest"), F.col("source").alias("uuid"), F.lit("p").alias("relative_path"), F.lit(1).alias("size"), F.lit(0).alias("mtime"), F.substring("source", 4, 9).cast("int").alias("export_index"), F.col("doc_id").alias("seq"))
+    return merge_assets(rows).select("digest", "uuid", F.array_join("export_indices", ",").alias("exports"))
 
 
-@query("select event_type, count(*) as events, cast(max(ts) as varchar) as last_ts from events group by event_type")
+@query("select conv_id, count(*) as n_dumps, sha256(string_agg(text, '|' order by turn % 3, turn)) as digest from conversations where text <> '' group by conv_id")
 def incremental_equals_batch(spark, sf_dir):
-    e = _read(spark, sf_dir, "events")
-    return e.groupBy("event_type").agg(F.count("*").alias("events"), F.max("ts").cast("string").alias("last_ts"))
+    """Three batches of dumps folded into the state one after the other: what one fold over all of them in this order gives."""
+    c = _read(spark, sf_dir, "conversations").where("text <> ''")
+    state = None
+    for k in range(3):
+        own = c.where(F.col("turn") % 3 == k)
+        state = upsert(state, _items(own, F.struct(F.col("conv_id").cast("string").alias("id")), F.lit(10_000 * k) + F.col("turn"), F.lit(k), F.array(F.struct(F.struct(F.col("turn").cast("string").alias("_id"), F.col("text").alias("message")).alias("response")))))
+    got = F.from_json(F.get_json_object("item", "$.responses"), "array<struct<response: struct<message: string>>>")
+    return state.select(F.col("id").cast("long").alias("conv_id"), F.col("n_dumps").cast("long").alias("n_dumps"), F.sha2(F.array_join(F.transform(got, lambda x: x["response"]["message"]), "|"), 256).alias("digest"))
+
+
+@query("select 'chat/' || role as archive, count(distinct conv_id % 4) as exports, string_agg(distinct 'dump' || conv_id % 4 || case when conv_id % 4 = 1 then ' (id=one)' else '' end, ',' order by 'dump' || conv_id % 4 || case when conv_id % 4 = 1 then ' (id=one)' else '' end) as labels from conversations group by role")
+def export_labels(spark, sf_dir):
+    rows = _read(spark, sf_dir, "conversations").select(F.lit("chat").alias("service"), F.col("role").alias("account"), (F.col("conv_id") % 4).cast("int").alias("export_index")).distinct()
+    rows = rows.withColumn("source_path", F.concat(F.lit("dump"), "export_index")).withColumn("id", F.when(F.col("export_index") == 1, "one"))
+    return stats.export_labels(rows).select("archive", "exports", F.array_join("labels", ",").alias("labels"))
+
+
+@query("select p_partkey, case p_size % 5 when 1 then 'title' when 2 then 'summary' when 3 then 'message' else 'unknown' end as field from part")
+def field_names(spark, sf_dir):
+    return _read(spark, sf_dir, "part").select("p_partkey", field_name(F.col("p_size") % 5).alias("field"))
 
 
 @query("select conv_id, turn, cast(len(regexp_extract_all(text, 'th|he')) as bigint) as n from conversations where regexp_matches(text, 'th|he')")

@@ -6,14 +6,16 @@ Two dialects share the functions: 'tools' (initialize, tools/list, tools/call) a
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Callable
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from typing import IO
 
-from .archive import Archives
+from .archive import Archives, totals
 from .errors import PalimpsestError
 from .plans.query import Flags
 from .sources.discover import infer_scope, scoped_path
+from .wire import JSON, TOON, accepted, to_toon
 
 # Error codes of JSON-RPC 2.0.
 PARSE_ERROR, INVALID_REQUEST, NO_METHOD, INVALID_PARAMS, FAILED = -32700, -32600, -32601, -32602, -32000
@@ -66,7 +68,10 @@ def _stats(a: Archives, p: dict) -> dict:
 def _ingest(a: Archives, p: dict) -> dict:
     p = _taken(p, {"inputs": list, "service": str, "account": str})
     if not p.get("inputs"):
-        raise RpcError(INVALID_PARAMS, "inputs is required")
+        if p.get("service") or p.get("account"):
+            raise RpcError(INVALID_PARAMS, "a service or account needs inputs")
+        reports = a.ingest_home(os.path.expanduser("~"))
+        return {"reports": reports} | totals(reports)
     return a.ingest(*p["inputs"], service=p.get("service"), account=p.get("account"))
 
 
@@ -141,11 +146,11 @@ def answer(archives: Archives, line: str | bytes, dialect: str = "tools") -> dic
     return {"jsonrpc": "2.0", "id": own, "error": {"code": code, "message": text}}
 
 
-def serve_lines(archives: Archives, source: IO[str], sink: IO[str], dialect: str = "tools") -> None:
-    """A request a line until the source ends; blank lines are passed over."""
+def serve_lines(archives: Archives, source: IO[str], sink: IO[str], dialect: str = "tools", toon: bool = False) -> None:
+    """A request a line until the source ends; blank lines are passed over. With ``toon``, replies are TOON, each followed by an empty line."""
     for line in source:
         if line.strip() and (got := answer(archives, line, dialect)) is not None:
-            sink.write(json.dumps(got, ensure_ascii=False) + "\n")
+            sink.write(to_toon(got) + "\n\n" if toon else json.dumps(got, ensure_ascii=False) + "\n")
             sink.flush()
 
 
@@ -169,7 +174,12 @@ def http_server(archives: Archives, bind: str = "127.0.0.1:8741") -> ThreadingHT
                 self._send(404)
                 return
             got = answer(archives, self.rfile.read(int(self.headers.get("Content-Length") or 0)))
-            self._send(204) if got is None else self._send(200, json.dumps(got, ensure_ascii=False).encode())
+            if got is None:
+                self._send(204)
+            elif accepted(self.headers.get("Accept")) == TOON:
+                self._send(200, to_toon(got).encode(), TOON)
+            else:
+                self._send(200, json.dumps(got, ensure_ascii=False).encode(), JSON)
 
         def log_message(self, *args) -> None:
             pass

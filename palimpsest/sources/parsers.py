@@ -60,6 +60,15 @@ def dump_tables(path: str, data: bytes) -> dict[str, list]:
     return known | {"extra": [{k: v for k, v in root.items() if k not in (*known, "conversations")}]}
 
 
+#: Kinds that are kept as they are beside the conversations: never shown by a report.
+OPAQUE = ("auth", "billing")
+
+
+def opaque(path: str, data: bytes) -> Iterator[Item]:
+    """A file of accounts or payments, whole."""
+    yield _load(path, data)
+
+
 def session_lines(path: str, data: bytes) -> Iterator[Item]:
     """One JSON object a line: type is the sender, content the message."""
     responses = []
@@ -87,7 +96,7 @@ def _flat(x: Any) -> str:
         return x
     if isinstance(x, list):
         return "".join(map(_flat, x))
-    return x.get("text", "") if isinstance(x, dict) and isinstance(x.get("text"), str) else ""
+    return _flat(x.get("text")) if isinstance(x, dict) else ""
 
 
 def messenger(path: str, data: bytes) -> Iterator[Item]:
@@ -282,6 +291,8 @@ PARSERS = {
     "cards": story_cards,
     "character": character,
     "index": session_index,
+    "auth": opaque,
+    "billing": opaque,
 }
 
 
@@ -301,6 +312,10 @@ def sniff(path: str, head: bytes) -> str | None:
     if not name.endswith(".json"):
         return None
     text = head.decode("utf-8", "ignore")
+    if re.search(r"auth[\w-]*\.json$", name):
+        return "auth"
+    if re.search(r"billing[\w-]*\.json$", name):
+        return "billing"
     if re.fullmatch(r"conversations.*\.json", name) and '"mapping"' in text:
         return "mapping"
     if "your_facebook_activity/" in path or "your_instagram_activity/" in path:

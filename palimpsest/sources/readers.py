@@ -13,8 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import SourceError
-from .parsers import PARSERS, overlay_summary, sniff
+from .parsers import OPAQUE, PARSERS, dump_tables, overlay_summary, sniff
 
+#: Rows of these kinds aren't conversations: tables of a dump, sibling files, lines of a session's other files.
+TAGGED = ("media_posts", "projects", "tasks", "extra", "leftover", *OPAQUE)
 ITEMS = "path string, kind string, place int, item string, problem string"
 _ARROW = pa.schema([("path", pa.string()), ("kind", pa.string()), ("place", pa.int32()), ("item", pa.string()), ("problem", pa.string())])
 #: Largest zip entry that is read; parts of paths that are skipped.
@@ -49,6 +51,10 @@ def _of_file(path: str, data: bytes, kind: str | None) -> Iterator[dict]:
     try:
         for k, item in enumerate(PARSERS[kind](path, data)):
             yield {"path": path, "kind": kind, "place": k, "item": json.dumps(item, ensure_ascii=False), "problem": None}
+        if kind == "assistant":
+            for name, values in dump_tables(path, data).items():
+                for k, value in enumerate(v for v in values if v != {}):
+                    yield {"path": path, "kind": name, "place": k, "item": json.dumps(value, ensure_ascii=False), "problem": None}
     except (SourceError, AttributeError, TypeError, KeyError) as e:
         yield {"path": path, "kind": kind, "place": None, "item": None, "problem": str(e)}
 
@@ -80,6 +86,11 @@ def read_files(spark: SparkSession, *paths: str, kind: str | None = None) -> Dat
     files = files.where(keep)
     items = parse_files(files, kind)
     summaries = files.where(F.col("path").endswith("/summary.json")).select(F.regexp_replace("path", "/[^/]*$", "").alias("dir"), F.col("content").cast("string").alias("summary"))
+    # other line files beside a session's log are kept with the export, not as conversations
+    folder = F.regexp_replace("path", "/[^/]*$", "")
+    logs = items.where(F.col("path").endswith("/chat_history.jsonl")).select(folder.alias("log_dir")).distinct()
+    items = items.withColumn("own_dir", F.when((F.col("kind") == "session") & ~F.col("path").endswith("/chat_history.jsonl"), folder))
+    items = items.join(logs, F.col("own_dir") == F.col("log_dir"), "left").withColumn("kind", F.when(F.col("log_dir").isNotNull(), "leftover").otherwise(F.col("kind"))).drop("own_dir", "log_dir")
     joined = items.withColumn("dir", F.when(F.col("path").endswith("/chat_history.jsonl"), F.regexp_replace("path", "/[^/]*$", ""))).join(summaries, "dir", "left")
 
     def overlay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
