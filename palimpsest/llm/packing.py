@@ -8,45 +8,51 @@ from pyspark.sql import functions as F
 
 from ._shared import materialize
 
-_EXACT, _STEPS = 1024, 128
 
-
-def bin_of(length):
-    """Lengths to 1024 are bins of their own; above, each doubling has 128 bins. So bins grow with log(longest) only."""
-    shift = F.greatest(F.lit(0), F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double"))).cast("int") - F.lit(7))
-    step = F.pow(F.lit(2.0), shift).cast("long")
-    return F.when(length <= _EXACT, length).otherwise(F.ceil(length / step).cast("long") * step)
-
-
-def best_bounds(lengths: np.ndarray, counts: np.ndarray, totals: np.ndarray, buckets: int) -> list[int]:
+def best_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
     """Upper bounds of at most ``buckets`` buckets over sorted distinct lengths, with the least padding in all.
 
-    ``lengths`` are the bins' longest members, ``totals`` their summed lengths. Dynamic programming over the last bin
-    of each bucket; a bucket's padding is (rows * bound - tokens), from prefix sums. O(buckets * bins**2) in numpy.
+    Dynamic programming over the last length of each bucket. With R and T, the rows and tokens up to a length, the padding of
+    a bucket from after j to i is length(i) * (R(i) - R(j)) - (T(i) - T(j)): for each i the lowest of lines in length(i), one for
+    each j, whose slopes -R(j) fall as j grows. So each layer keeps the lines' lower hull and walks it once: O(buckets * lengths),
+    in whole numbers.
     """
-    n = len(lengths)
-    rows, tokens = np.concatenate(([0], np.cumsum(counts))).astype(float), np.concatenate(([0], np.cumsum(totals))).astype(float)
-    best = lengths.astype(float) * rows[1:] - tokens[1:]
-    back = [np.zeros(n, np.int64)]
+    length, n = [int(x) for x in lengths], len(lengths)
+    rows, tokens = [0], [0]
+    for size, c in zip(length, counts, strict=True):
+        rows.append(rows[-1] + int(c))
+        tokens.append(tokens[-1] + size * int(c))
+    best = [x * r - t for x, r, t in zip(length, rows[1:], tokens[1:], strict=True)]
+    back: list[list[int]] = []
     for _ in range(min(buckets, n) - 1):
-        # bins j+1..i in the last bucket, the best of the bins to j before it
-        new, arg = best.copy(), np.full(n, -1)
-        for i in range(1, n):
-            cost = best[:i] + lengths[i] * (rows[i + 1] - rows[1 : i + 1]) - (tokens[i + 1] - tokens[1 : i + 1])
-            j = int(cost.argmin())
-            if cost[j] < new[i]:
-                new[i], arg[i] = cost[j], j
+        new, arg = best.copy(), [-1] * n
+        hull: list[tuple[int, int, int]] = []  # slope, height, j
+        at = 0
+        for i in range(n):
+            # the line of j = i - 1, the last length of the bucket before
+            if i:
+                k, m = -rows[i], best[i - 1] + tokens[i]
+                while len(hull) > 1 and (m - hull[-2][1]) * (hull[-2][0] - hull[-1][0]) <= (hull[-1][1] - hull[-2][1]) * (hull[-2][0] - k):
+                    hull.pop()
+                hull.append((k, m, i - 1))
+                at = min(at, len(hull) - 1)
+                x = length[i]
+                while at + 1 < len(hull) and hull[at + 1][0] * x + hull[at + 1][1] <= hull[at][0] * x + hull[at][1]:
+                    at += 1
+                cost = x * rows[i + 1] - tokens[i + 1] + hull[at][0] * x + hull[at][1]
+                if cost < new[i]:
+                    new[i], arg[i] = cost, hull[at][2]
         best = new
         back.append(arg)
-    # walk back level by level
+    # walk back, layer by layer
     bounds, i, k = [], n - 1, len(back) - 1
     while True:
-        while k > 0 and back[k][i] < 0:
+        while k >= 0 and back[k][i] < 0:
             k -= 1
-        bounds.append(int(lengths[i]))
-        if k == 0:
+        bounds.append(length[i])
+        if k < 0:
             break
-        i, k = int(back[k][i]), k - 1
+        i, k = back[k][i], k - 1
     return sorted(bounds)
 
 
@@ -55,8 +61,8 @@ def pack(docs: DataFrame, buckets: int = 16, token_budget: int = 65_536, length=
 
     ``length``: a column with the token count; words between white space if none is given. Null texts have no tokens
     and go to the first bucket. A batch holds ``token_budget // bucket_len`` rows of one bucket, one at least, each
-    padded to ``bucket_len``; all batches of a bucket are full but the last. Bucket bounds come from the histogram
-    of all rows: lengths to 1024 exactly, longer ones within a 128th. Rows are dealt to batches in the order of a hash, in
+    padded to ``bucket_len``; all batches of a bucket are full but the last. Bucket bounds come from the exact
+    histogram of all rows, which the driver holds: it has no more lengths than the square root of twice the tokens. Rows are dealt to batches in the order of a hash, in
     groups of about ``group`` rows whose sizes are counted first, so a bucket may hold any share of the rows. Ties
     and repeated rows are rows like others; an empty table gives an empty table. Lengths are counted once and written,
     so the texts are read a single time.
@@ -64,11 +70,11 @@ def pack(docs: DataFrame, buckets: int = 16, token_budget: int = 65_536, length=
     tokens = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)) if length is None else F.coalesce(length, F.lit(0))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tokens.cast("long").alias("n_tokens"), F.xxhash64("doc_id", "text").alias("h"), *keep)
     rows = materialize(rows, "lengths")
-    bins = rows.groupBy(bin_of(F.col("n_tokens")).alias("bin")).agg(F.max("n_tokens").alias("longest"), F.count("*").alias("c"), F.sum("n_tokens").alias("t")).orderBy("bin").collect()
+    bins = rows.groupBy(F.col("n_tokens").alias("longest")).agg(F.count("*").alias("c")).orderBy("longest").collect()
     if not bins:
         empty = rows.select("doc_id", "n_tokens", F.lit(0).cast("long").alias("bucket_len"), F.lit(0).cast("long").alias("batch_size"), F.lit("").alias("batch_id"), F.lit(0).cast("long").alias("slot"), *keep)
         return empty
-    bounds = best_bounds(*(np.array([b[k] for b in bins], np.int64) for k in ("longest", "c", "t")), buckets)
+    bounds = best_bounds(*(np.array([b[k] for b in bins], np.int64) for k in ("longest", "c")), buckets)
     sizes = {bound: max(1, token_budget // max(1, bound)) for bound in bounds}
     counts, below = {}, -1
     for bound in bounds:
