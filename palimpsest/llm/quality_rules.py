@@ -19,7 +19,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words.
 
     Repeated 3-word windows are found by sorting the windows' hashes, with each window's place in the low bits: equal
-    neighbours are windows found twice. The places of all of them, sorted, give the words that they cover.
+    neighbours are windows found twice, if their words are equal too. The places of all of them, sorted, give the words that they cover.
     """
     words = F.array_remove(F.split("text", SPACE + "+"), "")
     rows = docs.select("doc_id", "text", words.alias("w"))
@@ -34,7 +34,11 @@ def statistics(docs: DataFrame) -> DataFrame:
     ).withColumn("bits", F.ceil(F.log2(F.col("n") + 2.0)).cast("int"))
     window = F.expr("sort_array(transform(sequence(0, n - 3), i -> shiftleft(xxhash64(get(w, i), get(w, i + 1), get(w, i + 2)), bits) | cast(i as bigint)))")
     base = base.withColumn("s", F.when(F.col("n") >= 4, window))
-    twice = F.expr(f"sort_array(transform(filter(s, (x, i) -> coalesce(shiftright(x, bits) = shiftright(get(s, i - 1), bits), false) or coalesce(shiftright(x, bits) = shiftright(get(s, i + 1), bits), false)), x -> x & (shiftleft(1L, bits) - 1)))")
+    # equal hashes first, then equal words; a window with another's hash may stand between two equal ones
+    close = F.expr("filter(s, (x, i) -> coalesce(shiftright(x, bits) = shiftright(get(s, i - 1), bits), false) or coalesce(shiftright(x, bits) = shiftright(get(s, i + 1), bits), false))")
+    base = base.withColumn("near", close).withColumn("mask", F.expr("shiftleft(1L, bits) - 1"))
+    words = " and ".join(f"get(w, cast(x & mask as int) + {k}) = get(w, cast(y & mask as int) + {k})" for k in range(3))
+    twice = F.expr(f"sort_array(transform(filter(near, (x, i) -> exists(array(get(near, i - 2), get(near, i - 1), get(near, i + 1), get(near, i + 2)), y -> coalesce(shiftright(x, bits) = shiftright(y, bits) and {words}, false))), x -> x & mask))")
     base = base.withColumn("p", twice)
     covered = F.expr("case when coalesce(size(p), 0) <= 0 then 0L else aggregate(transform(p, (x, i) -> least(3L, coalesce(get(p, i + 1), x + 3) - x)), 0L, (a, x) -> a + x) end")
     return base.select("doc_id", F.col("n").cast("long").alias("n_words"), F.col("word_chars").cast("long").alias("word_chars"), F.col("n_symbols").cast("long").alias("n_symbols"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), covered.alias("n_repeat_words"))
