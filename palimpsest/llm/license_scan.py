@@ -177,18 +177,18 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def scan(docs: DataFrame, max_sample_docs: int = 200, max_sample_chars: int = 2_000_000, least_probability: float = 0.5, least_likeness: float = 0.6) -> DataFrame:
+def scan(docs: DataFrame, max_sample_docs: int = 200, max_sample_paragraphs: int = 4000, max_sample_chars: int = 2_000_000, least_probability: float = 0.5, least_likeness: float = 0.6) -> DataFrame:
     """(doc_id, text, ...) -> doc_id, paragraph, family, probability, likeness, confirmed: a row for each paragraph with a licence.
 
     Paragraphs are lines, numbered from 0. A row is there where a family is likelier than ``least_probability``, after calibration; ``confirmed``
     where the paragraph holds ``least_likeness`` of the two-grams of one of the family's templates. The unknown class is trained on
-    the paragraphs of ``max_sample_docs`` documents (first by a hash; ``max_sample_chars`` in all). Null and empty texts have no paragraphs with a licence.
+    ``max_sample_paragraphs`` paragraphs of ``max_sample_docs`` documents (both first by a hash; about ``max_sample_chars`` in all). Null and empty texts have no paragraphs with a licence.
     Repeated rows give repeated rows; other columns are ignored, whatever their names; an empty table gives an empty table.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ids = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_sample_docs)
-    sample = docs.join(F.broadcast(ids), "doc_id").select(F.explode(F.split("text", "\n")).alias("p")).where(F.length("p") <= 5000).orderBy(F.xxhash64("p")).limit(4000).collect()
+    sample = docs.join(F.broadcast(ids), "doc_id").select(F.explode(F.split("text", "\n")).alias("p")).select(F.substring("p", 1, max_sample_chars).alias("p")).orderBy(F.xxhash64("p")).limit(max_sample_paragraphs).collect()
     background, size = [], 0
     named = re.compile(r"licen[sc]e|copyright|rights reserved|\bcc by\b|public domain", re.IGNORECASE)
     for r in sample:
