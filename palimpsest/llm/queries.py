@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, imatch, kneser_ney, license_scan, line_dedup, minhash, packing, quality_rules, suffix_dedup
+from .oracles import ORACLE_SQL  # noqa: F401
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +67,3 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_packing, op3_imatch, op4_bpe, op5_suffix_dedup, op6_chat_format, op7_line_dedup, op8_quality_rules, op9_minhash, op10_kneser_ney)}
-
-#: Trained, tokenized and hashed results have no SQL; tests/llm holds them against brute force.
-ORACLE_SQL: dict[str, str] = {}
