@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import materialize
+
 # The marks of the chat template.
 START, END = "<|im_start|>", "<|im_end|>"
 
@@ -29,9 +31,8 @@ def _ranked(turns: DataFrame, block: int) -> DataFrame:
     return inner.join(before, ["conv_id", "blk"]).select("conv_id", "turn", "role", "text", "n", F.expr("ra ^ oa").alias("p"), F.expr("rb ^ ob").alias("q"))
 
 
-def maximal_conversations(turns: DataFrame, block: int = 1024) -> DataFrame:
-    """(conv_id, turn, role, text) -> conv_id, n_turns of the conversations that stay; see :func:`format_chats`."""
-    ranked = _ranked(turns, block)
+def maximal_conversations(ranked: DataFrame) -> DataFrame:
+    """(conv_id, n, p, q) -> conv_id, n_turns of the conversations that stay; see :func:`format_chats`."""
     ends = ranked.groupBy("conv_id").agg(F.max("n").alias("n"))
     whole = ranked.join(ends, ["conv_id", "n"]).groupBy("n", "p", "q").agg(F.min("conv_id").alias("conv_id"))
     inner = ranked.join(ends.withColumnRenamed("n", "last"), "conv_id").where("n < last").select("n", "p", "q").distinct()
@@ -48,8 +49,9 @@ def format_chats(turns: DataFrame, block: int = 1024, segment: int = 256) -> Dat
     without a conv_id belong to no conversation and are left out. Other columns are ignored.
     """
     turns = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).where("conv_id is not null")
-    stay = maximal_conversations(turns, block)
-    ranked = _ranked(turns, block).select("conv_id", "role", "text", "n")
+    # read four times, so places and hashes are worked out once and written
+    ranked = materialize(_ranked(turns, block).drop("turn"), "ranked-turns")
+    stay = maximal_conversations(ranked)
     body = F.regexp_replace(F.coalesce("text", F.lit("")), r"<\|(im_start|im_end)\|>", "< |$1| >")
     line = F.concat(F.lit(START), F.coalesce("role", F.lit("user")), F.lit("\n"), body, F.lit(END + "\n"))
     rows = ranked.join(stay, "conv_id").select("conv_id", F.floor((F.col("n") - 1) / segment).cast("long").alias("segment"), "n", line.alias("line"))
