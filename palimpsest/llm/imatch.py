@@ -120,7 +120,19 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).otherwise(let(kinds, of))
 
 
-def with_next(docs: DataFrame, per_bucket: int = 2000, max_buckets: int = 4096) -> DataFrame:
+def _below(splits: Column, x: Column, n: int) -> Column:
+    """How many of the n sorted splits are below x, by binary search."""
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        above = F.coalesce(F.get(splits, mid) < x, F.lit(False))
+        return F.struct(F.when(above, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(above, s["hi"]).otherwise(mid).alias("hi"))
+
+    start = F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(max(1, n.bit_length()))), start, halve)["lo"]
+
+
+def with_next(docs: DataFrame, per_bucket: int = 2000, max_buckets: int = 65_536) -> DataFrame:
     """(doc_id, text) -> bucket, own, doc_id, text, next_text: next in descending order, after the last the first.
 
     Rows are dealt to buckets of the id's order; the largest of a bucket is also sent, as a lender (own 0), to the
@@ -131,11 +143,11 @@ def with_next(docs: DataFrame, per_bucket: int = 2000, max_buckets: int = 4096)
     splits = docs.agg(F.percentile_approx("doc_id", [i / k for i in range(1, k)], max(10_000, 20 * k))).first()[0] if k > 1 else []
     splits = sorted({s for s in splits or [] if s < top})
     array = F.split(F.lit(",".join(map(str, splits))), ",").cast("array<bigint>") if splits else F.array().cast("array<bigint>")
-    bucket = F.coalesce(F.size(F.filter(array, lambda s: s < F.col("doc_id"))), F.lit(0))
+    bucket = _below(array, F.col("doc_id"), len(splits))
     to = lambda b, own: F.array(F.struct(b.cast("int").alias("bucket"), F.lit(own).alias("own")))
     none = F.expr("cast(array() as array<struct<bucket: int, own: int>>)")
     rows = docs.withColumn("bucket", F.when(F.col("doc_id").isNull(), 0).otherwise(bucket))
-    lend = F.when(F.array_contains(array, F.col("doc_id")), to(F.col("bucket") + 1, 0)).otherwise(none)
+    lend = F.when(F.get(array, F.col("bucket")) == F.col("doc_id"), to(F.col("bucket") + 1, 0)).otherwise(none)
     around = F.when(F.col("doc_id") == F.lit(top).cast("long"), to(F.lit(0), 0)).otherwise(none)
     dealt = rows.withColumn("to", F.explode(F.concat(to(F.col("bucket"), 1), lend, around))).select("doc_id", "text", "to.bucket", "to.own")
     return dealt.selectExpr("*", "lag(text) over (partition by bucket order by own, doc_id, text) as next_text")
