@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, imatch, kneser_ney, license_scan, line_dedup, minhash, packing, quality_rules, suffix_dedup
+from . import bpe, chat, divergence, imatch, kneser_ney, license_scan, line_dedup, manifest, minhash, packing, quality_rules, simhash, suffix_dedup
 from .oracles import ORACLE_SQL  # noqa: F401
 
 
@@ -66,4 +66,16 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_packing, op3_imatch, op4_bpe, op5_suffix_dedup, op6_chat_format, op7_line_dedup, op8_quality_rules, op9_minhash, op10_kneser_ney)}
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(_read(spark, sf_dir, "documents"), seen=manifest.tampered_text())
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_read(spark, sf_dir, "documents"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_packing, op3_imatch, op4_bpe, op5_suffix_dedup, op6_chat_format, op7_line_dedup, op8_quality_rules, op9_minhash, op10_kneser_ney, op11_merkle, op12_divergence, op13_simhash)}
