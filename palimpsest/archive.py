@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 from .errors import ArchiveError, BrokenInputs, NoArchives, ScopeError, SourceError
 from .functions.text import path_key
+from .operators import index
 from .operators.merge import ITEM, merge_assets, merge_conversations
 from .operators.search import MAX_COUNT, duplicate_omitted, hits, report, suppressed_clause, unique_hits
 from .operators.spans import spans
 from .operators.stats import export_labels, span_stats
-from .plans.query import Flags, compile_query
+from .plans.query import Flags, Query, compile_query
 from .sources.discover import by_scope, check_part, discover, discover_home, infer_scope, scoped_path, without_copies, without_unpacked
 from .sources.readers import TAGGED, read_files
 from .sources.readers import assets as read_assets
@@ -157,7 +158,9 @@ class Archives:
             self._write(tagged, f"{new}/tagged")
             self._write(assets, f"{new}/assets")
             merged = self._write(merge_conversations(kept), f"{new}/conversations")
-            self._write(spans(merged), f"{new}/spans")
+            # in order of conversations, so that a search by index can leave out most of the file
+            own = self._write(spans(merged.repartitionByRange("seq").sortWithinPartitions("seq")), f"{new}/spans")
+            index.build(own, f"{new}/index", options={"compression": self.codec, "parquet.compression.codec.zstd.level": str(self.level)})
             n, digest = merged.agg(F.count("*"), _manifest_digest()).first()
             self._text(f"{new}/manifest.json", json.dumps({"version": VERSION, "conversations": n, "digest": digest}))
             fs, staged = self._fs(f"{new}/staged")
@@ -199,8 +202,9 @@ class Archives:
         names = [s.getPath().toString().split("/")[-3:-1] for s in found or []]
         return sorted((f"{a.removeprefix('service=')}/{b.removeprefix('account=')}" for a, b in names), key=lambda x: x.split("/"))
 
-    def spans(self, service: str | None = None, account: str | None = None) -> DataFrame:
-        """Spans of one archive, or of all that can be read; ``unreadable`` tells of the others."""
+    def spans(self, service: str | None = None, account: str | None = None, q: Query | None = None) -> DataFrame:
+        """Spans of one archive, or of all that can be read; ``unreadable`` tells of the others. With a query, only those that
+        the archives' indexes leave over: all that match are among them."""
         self.unreadable: list[str] = []
         if (service is None) != (account is None):
             raise ScopeError("service and account are given together or not at all")
@@ -211,7 +215,10 @@ class Archives:
         for n in names:
             at = scoped_path(self.root, *n.split("/"))
             try:
-                own = self.table(at, "spans")
+                folder = self._open(at)
+                own = self.spark.read.parquet(f"{folder}/spans")
+                if q and self.exists(f"{folder}/index/totals"):
+                    own = index.TermIndex(self.spark, f"{folder}/index").narrowed(own, q)
             except ArchiveError as e:
                 if service:
                     raise
@@ -225,7 +232,7 @@ class Archives:
     def search(self, pattern: str, flags: Flags | None = None, max_count: int = MAX_COUNT, service: str | None = None, account: str | None = None, status: Callable[[dict], None] | None = None) -> DataFrame:
         """``status`` is told how many archives there are, and of each, in order, how many unique hits there are so far."""
         q = compile_query(pattern, flags)  # a bad pattern fails before anything is read
-        found = self.spans(service, account)
+        found = self.spans(service, account, q)
         if status:
             names = [f"{service}/{account}"] if service else self.list()
             status({"event": "starting", "archives": len(names)})
@@ -237,7 +244,8 @@ class Archives:
 
     def omitted(self, pattern: str, flags: Flags | None = None, service: str | None = None, account: str | None = None) -> int:
         """How many matches a report leaves out as duplicates."""
-        return duplicate_omitted(self.spans(service, account), compile_query(pattern, flags)).agg(F.coalesce(F.sum("duplicate_omitted"), F.lit(0))).first()[0]
+        q = compile_query(pattern, flags)
+        return duplicate_omitted(self.spans(service, account, q), q).agg(F.coalesce(F.sum("duplicate_omitted"), F.lit(0))).first()[0]
 
     def stats(self, service: str | None = None, account: str | None = None) -> DataFrame:
         names = [f"{service}/{account}"] if service else self.list()

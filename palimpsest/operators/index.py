@@ -1,28 +1,94 @@
-"""Tokens and posting lists of spans."""
+"""Tokens of spans, and a persistent index of them that searches use.
+
+The index of an archive is three Parquet tables. ``postings``: blocks of places, sorted by folded term, so that the reader's
+statistics leave out most of the file for a term. A block has up to ``BLOCK`` spans of one term of one archive; a frequent
+term has many blocks, dealt to tasks by range. The spans of a block and the byte offsets in them are two columns of
+delta-coded variable-length numbers, so a search that wants spans reads no offsets. ``terms``: each term with its totals.
+``totals``: spans of each archive.
+
+A search asks the terms table which tokens hold the pieces of its words, takes the spans of the rarest pieces, and runs the
+exact filter over these only. Words match inside words, so an outer piece of a word may be the end or the start of a token,
+or inside one. What the index can't narrow down (regular expressions, words without letters, pieces in most spans)
+is searched as without one.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import unicodedata
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import regex
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..plans.query import Query
+
+TOKEN = regex.compile(r"[\p{Alphabetic}\p{N}]+")
+#: Spans in a block; offsets in a block before it is closed.
+BLOCK, PLACES = 4096, 1 << 16
+PLACED = "archive string, span_index long, term string, offsets array<long>"
+BLOCKS = "fold string, term string, odd boolean, archive string, first_span long, last_span long, n_spans long, n_places long, spans binary, places binary"
+_BLOCKS_ARROW = pa.schema([("fold", pa.string()), ("term", pa.string()), ("odd", pa.bool_()), ("archive", pa.string()), ("first_span", pa.int64()), ("last_span", pa.int64()), ("n_spans", pa.int64()), ("n_places", pa.int64()), ("spans", pa.binary()), ("places", pa.binary())])
+
+
+def fold(text: str) -> str:
+    """What texts are compared by when case is ignored: each character by itself to upper and to lower case."""
+
+    def one(c: str) -> str:
+        up = c.upper()
+        return (up if len(up) == 1 else c).lower()[0]
+
+    return text.lower() if text.isascii() else "".join(map(one, text))
+
+
+def token_places(text: str) -> tuple[list[str], np.ndarray]:
+    """Tokens of a text and where they begin, in bytes."""
+    found = list(TOKEN.finditer(text))
+    starts = np.array([m.start() for m in found], np.int64)
+    if not text.isascii():
+        data = np.frombuffer(text.encode(), np.uint8)
+        starts = np.flatnonzero((data & 0xC0) != 0x80)[starts] if len(starts) else starts
+    return [m.group() for m in found], starts
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each term of each span, with all its offsets. One pass over a text; offsets cost no more than tokens."""
+    for batch in batches:
+        archives, spans, texts = (batch.column(c).to_pylist() for c in ("archive", "span_index", "text"))
+        for lo in range(0, len(texts), 256):
+            names: dict[str, int] = {}
+            rows, ids, offs = [], [], []
+            for k in range(lo, min(lo + 256, len(texts))):
+                if not texts[k]:
+                    continue
+                found, at = token_places(texts[k])
+                ids.append(np.array([names.setdefault(t, len(names)) for t in found], np.int64))
+                offs.append(at)
+                rows.append(np.full(len(found), k, np.int64))
+            if not ids or not names:
+                continue
+            row, term, off = np.concatenate(rows), np.concatenate(ids), np.concatenate(offs)
+            order = np.lexsort((off, term, row))
+            row, term, off = row[order], term[order], off[order]
+            edge = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (term[1:] != term[:-1])]))
+            of, words = row[edge].tolist(), list(names)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(edge, len(row)), pa.int32()), pa.array(off))
+            yield pa.RecordBatch.from_arrays([pa.array([archives[k] for k in of], pa.string()), pa.array([spans[k] for k in of], pa.int64()), pa.array([words[k] for k in term[edge].tolist()], pa.string()), lists], names=["archive", "span_index", "term", "offsets"])
+
+
+def placed(spans: DataFrame) -> DataFrame:
+    """archive, span_index, term, offsets: nothing is shuffled. Null and empty texts have none."""
+    return spans.where("text <> ''").select("archive", "span_index", "text").mapInArrow(_placed, PLACED)
 
 
 def postings(spans: DataFrame) -> DataFrame:
-    """term, term_lower, archive, span_index, byte_off: a row for each place of a token. Null and empty texts have none.
-
-    A place is the sum of the lengths of what stands before it. Tokens are dealt to blocks of about the cube root of
-    their number: a row carries its block only, and sums go over blocks, then inside one. Nothing is shuffled.
-    """
-    pattern = r"[\p{IsAlphabetic}\p{N}]+"
-    rows = spans.where("text <> ''").select("archive", "span_index", tokens(F.col("text")).alias("t"), F.split("text", pattern).alias("gap")).where("size(t) > 0")
-    rows = rows.selectExpr("archive", "span_index", "t", "transform(t, (x, i) -> octet_length(get(gap, i))) as before", "transform(t, x -> octet_length(x)) as own", "cast(greatest(16, ceil(cbrt(size(t)))) as int) as b")
-    rows = rows.selectExpr("archive", "span_index", "transform(sequence(0, cast((size(t) - 1) div b as int)), k -> struct(slice(t, k * b + 1, b) as t, slice(before, k * b + 1, b) as before, slice(own, k * b + 1, b) as own)) as blocks")
-    rows = rows.selectExpr("*", "transform(blocks, x -> aggregate(x.before, 0L, (a, y) -> a + y) + aggregate(x.own, 0L, (a, y) -> a + y)) as sums")
-    rows = rows.selectExpr("archive", "span_index", "inline(transform(blocks, (x, k) -> struct(x as block, case when k = 0 then 0L else aggregate(slice(sums, 1, k), 0L, (a, y) -> a + y) end as start)))")
-    off = "start + aggregate(slice(block.before, 1, i + 1), 0L, (a, y) -> a + y) + case when i = 0 then 0L else aggregate(slice(block.own, 1, i), 0L, (a, y) -> a + y) end"
-    placed = rows.selectExpr("archive", "span_index", f"inline(transform(block.t, (x, i) -> struct(x as term, {off} as byte_off)))")
-    return placed.select("term", F.lower("term").alias("term_lower"), "archive", "span_index", "byte_off")
+    """term, term_lower, archive, span_index, byte_off: a row for each place of a token."""
+    rows = placed(spans).select("term", "archive", "span_index", F.explode("offsets").alias("byte_off"))
+    return rows.select("term", F.lower("term").alias("term_lower"), "archive", "span_index", "byte_off")
 
 
 def document_frequency(spans: DataFrame, lower: bool = False) -> DataFrame:
@@ -31,6 +97,239 @@ def document_frequency(spans: DataFrame, lower: bool = False) -> DataFrame:
     return spans.select(F.explode(F.array_distinct(own)).alias("term")).groupBy("term").agg(F.count("*").alias("spans"))
 
 
-def posting_lists(spans: DataFrame) -> DataFrame:
-    """term, places: sorted distinct (archive, span_index, byte_off) of each term."""
-    return postings(spans).groupBy("term").agg(F.array_sort(F.collect_set(F.struct("archive", "span_index", "byte_off"))).alias("places"))
+# ---------------------------------------------------------------- blocks
+
+
+def to_varints(values: np.ndarray) -> bytes:
+    """Numbers from 0 on, seven bits a byte, the lowest first; the top bit says that more follow."""
+    v = values.astype(np.uint64)
+    size = np.ones(len(v), np.int64)
+    for k in range(1, 10):
+        size += (v >> np.uint64(7 * k)) > 0
+    at = np.concatenate([[0], np.cumsum(size)])
+    out = np.zeros(int(at[-1]), np.uint8)
+    for k in range(int(size.max(initial=0))):
+        has = size > k
+        out[at[:-1][has] + k] = ((v[has] >> np.uint64(7 * k)) & np.uint64(127)).astype(np.uint8) | np.where(size[has] > k + 1, 128, 0).astype(np.uint8)
+    return out.tobytes()
+
+
+def from_varints(data: bytes) -> np.ndarray:
+    b = np.frombuffer(data, np.uint8)
+    ends = np.flatnonzero(b < 128)
+    starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
+    out = np.zeros(len(ends), np.uint64)
+    for k in range(int((ends - starts).max(initial=-1)) + 1):
+        has = starts + k <= ends
+        out[has] |= (b[starts[has] + k] & np.uint8(127)).astype(np.uint64) << np.uint64(7 * k)
+    return out.astype(np.int64)
+
+
+def _deltas(values: np.ndarray, firsts: np.ndarray | None = None) -> np.ndarray:
+    """Differences to the value before; at ``firsts`` (and at the start) the value itself."""
+    out = np.diff(values, prepend=0)
+    if firsts is not None:
+        out[firsts] = values[firsts]
+    return out
+
+
+def encode(spans: list[int], offsets: list[np.ndarray]) -> tuple[bytes, bytes]:
+    """A block's two columns: spans as deltas; then how many offsets each has, and these as deltas span by span."""
+    sizes = np.array([len(x) for x in offsets], np.int64)
+    flat = np.concatenate(offsets) if offsets else np.zeros(0, np.int64)
+    firsts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+    return to_varints(_deltas(np.array(spans, np.int64))), to_varints(np.concatenate([sizes, _deltas(flat, firsts)]))
+
+
+def decode_spans(data: bytes) -> np.ndarray:
+    return np.cumsum(from_varints(data))
+
+
+def decode_places(data: bytes, n: int) -> list[np.ndarray]:
+    """Offsets of each of the block's ``n`` spans."""
+    values = from_varints(data)
+    sizes, flat = values[:n], values[n:]
+    ends = np.cumsum(sizes)
+    return [np.cumsum(flat[a:b]) for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+
+
+def _blocks(size: int, most: int):
+    """Rows in order of term, archive and span -> blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, spans, offsets, held, out = None, [], [], 0, []
+
+        def close() -> None:
+            nonlocal spans, offsets, held
+            if spans:
+                folded, term, archive = key
+                own, places = encode(spans, offsets)
+                out.append((folded, term, any(unicodedata.category(c) == "No" for c in term), archive, spans[0], spans[-1], len(spans), held, own, places))
+            spans, offsets, held = [], [], 0
+
+        def table() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(_BLOCKS_ARROW)], schema=_BLOCKS_ARROW)
+
+        for batch in batches:
+            lists = batch.column("offsets")
+            flat, cut = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int64)
+            numbers = batch.column("span_index").to_pylist()
+            for k, now in enumerate(zip(*(batch.column(c).to_pylist() for c in ("fold", "term", "archive")), strict=True)):
+                if now != key or len(spans) >= size or held >= most:
+                    close()
+                    key = now
+                spans.append(numbers[k])
+                offsets.append(flat[cut[k] : cut[k + 1]])
+                held += int(cut[k + 1] - cut[k])
+            offsets = [np.array(x) for x in offsets]  # let the batch go
+            if len(out) >= 1000:
+                yield table()
+                out = []
+        close()
+        if out:
+            yield table()
+
+    return run
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _placed(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([fold(t) for t in batch.column("term").to_pylist()], pa.string()), *batch.columns], names=["fold", *batch.schema.names])
+
+
+def build(spans: DataFrame, path: str, block: int = BLOCK, places: int = PLACES, options: dict | None = None) -> TermIndex:
+    """Writes the index of ``spans`` (archive, span_index, text; span_index from 0 on, one of its own for each span of an archive)."""
+    spark, options = spans.sparkSession, options or {}
+    spans.where("text <> ''").select("archive", "span_index", "text").mapInArrow(_folded, "fold string, " + PLACED).write.options(**options).parquet(f"{path}/staged")  # texts are read once; ranges are sampled from this
+    rows = spark.read.parquet(f"{path}/staged")
+    by = ["fold", "term", "archive", "span_index"]
+    rows.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(_blocks(block, places), BLOCKS).write.options(**options).parquet(f"{path}/postings")
+    whole = spark.read.parquet(f"{path}/postings").groupBy("fold", "term", "odd").agg(F.sum("n_spans").alias("n_spans"), F.sum("n_places").alias("n_places"))
+    whole.repartitionByRange("fold", "term").sortWithinPartitions("fold", "term").write.options(**options).parquet(f"{path}/terms")
+    spans.groupBy("archive").agg(F.count("*").alias("spans")).coalesce(1).write.options(**options).parquet(f"{path}/totals")
+    jvm = spark.sparkContext._jvm
+    staged = jvm.org.apache.hadoop.fs.Path(f"{path}/staged")
+    staged.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(staged, True)
+    return TermIndex(spark, path)
+
+
+def _span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for archive, data in zip(batch.column("archive").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            own = decode_spans(data)
+            yield pa.RecordBatch.from_arrays([pa.array([archive] * len(own), pa.string()), pa.array(own, pa.int64())], names=["archive", "span_index"])
+
+
+def _place_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for r in batch.to_pylist():
+            own = decode_spans(r["spans"])
+            lists = decode_places(r["places"], len(own))
+            yield pa.RecordBatch.from_arrays([pa.array([r["term"]] * len(own), pa.string()), pa.array([r["archive"]] * len(own), pa.string()), pa.array(own, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], names=["term", "archive", "span_index", "offsets"])
+
+
+# ---------------------------------------------------------------- lookup
+
+
+@dataclass(frozen=True)
+class Piece:
+    """A token of a searched word: which of its ends a token may go on beyond, and whether case is ignored. ``loose``: an
+    end is a word's boundary, which isn't quite a token's; tokens with characters such as superscripts may go on."""
+
+    text: str
+    left: bool
+    right: bool
+    folded: bool
+    loose: bool
+
+    def condition(self) -> Column:
+        column = F.col("fold" if self.folded else "term")
+        within = column.contains(self.text)
+        exact = within if self.left and self.right else column.endswith(self.text) if self.left else column.startswith(self.text) if self.right else column == self.text
+        if not self.folded and not self.left:  # blocks are in order of fold: it narrows the file down
+            start = F.col("fold") == fold(self.text) if not self.right else F.col("fold").startswith(fold(self.text))
+            exact = start & exact
+        return exact | (F.col("odd") & within) if self.loose else exact
+
+
+def pieces(term: str, q: Query) -> list[Piece]:
+    """Tokens that any text with the term has; none if the term has no letter or digit."""
+    out = []
+    for m in TOKEN.finditer(term):
+        first, last = m.start() == 0, m.end() == len(term)
+        text = fold(m.group()) if q.flags.ignore_case else m.group()
+        out.append(Piece(text, first and not q.flags.word, last and not q.flags.word, q.flags.ignore_case, q.flags.word and (first or last)))
+    return out
+
+
+class TermIndex:
+    """``share``: an alternative whose rarest piece is in a larger part of all spans isn't narrowed down. ``most``: candidates up to which
+    their places become ranges that the scan of the spans can leave files and row groups out by; more are joined."""
+
+    def __init__(self, spark: SparkSession, path: str, share: float = 0.25, most: int = 20_000, ranges: int = 64):
+        self.spark, self.path, self.share, self.most, self.ranges = spark, path, share, most, ranges
+
+    def _table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{name}")
+
+    def places(self) -> DataFrame:
+        """term, archive, span_index, offsets: all of it, decoded."""
+        return self._table("postings").select("term", "archive", "spans", "places").mapInArrow(_place_rows, "term string, archive string, span_index long, offsets array<long>")
+
+    def plan(self, q: Query) -> list[list[Piece]] | None:
+        """For each alternative the pieces to look up (two at most, the rarest), or None for a scan; sets ``estimate``."""
+        self.estimate = None
+        if q.kind == "regex":
+            return None
+        of = [[p for t in alt for p in pieces(t, q)] for alt in q.alternatives]
+        if not all(of):
+            return None
+        flat = list(dict.fromkeys(p for alt in of for p in alt))
+        sums = [F.coalesce(F.sum(F.when(p.condition(), F.col("n_spans"))), F.lit(0)).alias(f"c{k}") for k, p in enumerate(flat)]
+        costs = dict(zip(flat, self._table("terms").agg(*sums).first(), strict=True))
+        total = self._table("totals").agg(F.sum("spans")).first()[0] or 0
+        chosen = [sorted(dict.fromkeys(alt), key=costs.get)[:2] for alt in of]
+        estimate = sum(costs[alt[0]] for alt in chosen)
+        if estimate > self.share * total:
+            return None
+        self.estimate = estimate
+        # a second piece pays if it isn't much more to read than it can take away
+        return [[p for p in alt if p is alt[0] or costs[p] <= 16 * costs[alt[0]]] for alt in chosen]
+
+    def candidates(self, q: Query) -> DataFrame | None:
+        """(archive, span_index), each once: all spans with a match are among them. None if the index doesn't narrow the query down."""
+        plan = self.plan(q)
+        if plan is None:
+            return None
+        out = None
+        for alt in plan:
+            both = None
+            for p in alt:
+                own = self._table("postings").where(p.condition()).select("archive", "spans").mapInArrow(_span_rows, "archive string, span_index long")
+                both = own if both is None else both.join(own, ["archive", "span_index"], "left_semi")
+            out = both if out is None else out.union(both)
+        return out.distinct()
+
+    def narrowed(self, spans: DataFrame, q: Query) -> DataFrame:
+        """The spans that may match: those of the candidates, or all."""
+        found = self.candidates(q)
+        if found is None:
+            return spans
+        if self.estimate > self.most:
+            return spans.join(found, ["archive", "span_index"], "left_semi").select(*spans.columns)
+        rows = found.collect()  # as many as the estimate at most
+        if not rows:
+            return spans.where(F.lit(False))
+        here = None
+        for lo, hi in ranges(sorted({r["span_index"] for r in rows}), self.ranges):
+            own = F.col("span_index").between(lo, hi)
+            here = own if here is None else here | own
+        few = self.spark.createDataFrame([tuple(r) for r in rows], "archive string, span_index long")
+        return spans.where(here).join(F.broadcast(few), ["archive", "span_index"], "left_semi").select(*spans.columns)
+
+
+def ranges(values: list[int], most: int) -> list[tuple[int, int]]:
+    """Sorted values as at most ``most`` ranges: those with the widest gaps between them."""
+    gaps = sorted(range(1, len(values)), key=lambda k: values[k - 1] - values[k])[: most - 1]
+    cuts = [0, *sorted(gaps), len(values)]
+    return [(values[a], values[b - 1]) for a, b in zip(cuts, cuts[1:], strict=False)]

@@ -36,18 +36,53 @@ def in_order(unique: DataFrame) -> DataFrame:
     return joined.select("u.*", F.struct(path_key(F.col("u.archive")).alias("path"), F.col("rank"), F.col("span_index").alias("span")).alias("ord"))
 
 
-def groups(unique: DataFrame) -> DataFrame:
-    """snippet, field, occurrences, ord: a row for each text, over all archives, with snippet and field of its first hit."""
-    ordered = in_order(unique)
-    place = F.struct("ord", "archive", "conversation_id", "field")
-    by = ordered.groupBy("text").agg(F.min_by("snippet", "ord").alias("snippet"), F.min_by("field", "ord").alias("field"), F.min("ord").alias("ord"), F.array_sort(F.collect_list(place)).alias("o"))
-    return by.select("snippet", "field", F.transform("o", lambda x: F.struct(x["archive"].alias("archive"), x["conversation_id"].alias("conversation_id"), x["field"].alias("field"))).alias("occurrences"), "ord", "text")
+def keys(found: DataFrame) -> DataFrame:
+    """archive, conversation_id, field, digest, span_index: the first hit of each (archive, conversation, field, text), without the text."""
+    own = found.select("archive", "conversation_id", "field", F.sha2("text", 256).alias("digest"), "span_index")
+    return own.groupBy("archive", "conversation_id", "field", "digest").agg(F.min("span_index").alias("span_index"))
+
+
+def first_groups(ordered: DataFrame, max_count: int) -> DataFrame:
+    """digest, ord, archive, span_index of the first ``max_count`` groups (0: all), each at its first hit. Only order keys and digests are sorted."""
+    by = ordered.groupBy("digest").agg(F.min(F.struct("ord", "archive", "span_index")).alias("f")).select("digest", "f.*")
+    return by.orderBy("ord").limit(max_count) if max_count else by
+
+
+def _shown(spans: DataFrame, q: Query, max_count: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(places of the groups that are shown; these groups; their texts and snippets, taken from their first hits only)"""
+    ordered = in_order(keys(hits(spans, q)))
+    first = first_groups(ordered, max_count)
+    few = F.broadcast(first) if 0 < max_count <= FEW else first
+    places = ordered.join(few.select("digest"), "digest", "left_semi").select("digest", "ord", "archive", "conversation_id", "field") if max_count else ordered.select("digest", "ord", "archive", "conversation_id", "field")
+    own = spans.join(few.select("archive", "span_index"), ["archive", "span_index"], "left_semi").select(*spans.columns)
+    texts = hits(own, q).select(F.sha2("text", 256).alias("digest"), "text", "snippet", "field", "archive", "span_index")
+    return places, few, texts
+
+
+#: Groups up to which a cap is small enough for them to be sent to all tasks.
+FEW = 10_000
 
 
 def report(spans: DataFrame, q: Query, max_count: int = MAX_COUNT) -> DataFrame:
-    """The first ``max_count`` groups, in order; 0 is all."""
-    out = groups(unique_hits(hits(spans, q))).orderBy("ord")
-    return out.limit(max_count) if max_count else out
+    """snippet, field, occurrences, ord, text: a row for each text, over all archives, with snippet and field of its first hit.
+
+    The first ``max_count`` groups, in order; 0 is all. Groups are told apart by digests and capped before texts, snippets and
+    occurrences are fetched, and these of the shown groups only. Each occurrence list is one value here; ``report_segments`` cuts them.
+    """
+    places, first, texts = _shown(spans, q, max_count)
+    lists = places.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("ord", "archive", "conversation_id", "field"))).alias("o"))
+    out = first.join(texts, ["digest", "archive", "span_index"]).join(lists, "digest")
+    return out.select("snippet", "field", F.transform("o", lambda x: F.struct(x["archive"].alias("archive"), x["conversation_id"].alias("conversation_id"), x["field"].alias("field"))).alias("occurrences"), "ord", "text").orderBy("ord")
+
+
+def report_segments(spans: DataFrame, q: Query, max_count: int = MAX_COUNT, size: int = 1000) -> DataFrame:
+    """As ``report``, with each list in rows of ``size`` occurrences at most, numbered by ``segment``; snippet, field and text are on the first."""
+    places, first, texts = _shown(spans, q, max_count)
+    numbered = places.withColumn("segment", F.expr(f"(row_number() over (partition by digest order by ord) - 1) div {size}"))
+    lists = numbered.groupBy("digest", "segment").agg(F.array_sort(F.collect_list(F.struct("ord", "archive", "conversation_id", "field"))).alias("o"))
+    named = first.join(texts, ["digest", "archive", "span_index"]).select("digest", F.lit(0).cast("long").alias("segment"), "snippet", "field", "text")
+    out = lists.join(first.select("digest", F.col("ord").alias("first")), "digest").join(named, ["digest", "segment"], "left")
+    return out.select("snippet", "field", F.transform("o", lambda x: F.struct(x["archive"].alias("archive"), x["conversation_id"].alias("conversation_id"), x["field"].alias("field"))).alias("occurrences"), F.col("first").alias("ord"), "segment", "text").orderBy("ord", "segment")
 
 
 def duplicate_omitted(spans: DataFrame, q: Query) -> DataFrame:

@@ -358,12 +358,44 @@ def token_postings(spark, sf_dir):
     return p.groupBy("term", "term_lower").agg(F.count("*").alias("places"), F.countDistinct("span_index").alias("spans"), F.min("span_index").alias("first_span"), F.sum("byte_off").alias("sum_off"), F.max("byte_off").alias("last_off"))
 
 
-@query(_PLACES + "select term, string_agg(doc_id || ':' || cast(byte_off as bigint), ' ' order by doc_id, byte_off) as places from p where length(term) > 6 group by term")
-def posting_lists(spark, sf_dir):
-    """Whole lists, in order, of the terms of more than six letters."""
+def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, index.TermIndex]:
+    """Documents as spans of one archive, and their index in a folder of its own."""
     rows = doc_spans(spark, sf_dir).withColumn("archive", F.lit("crawl"))
-    got = index.posting_lists(rows).where(F.length("term") > 6)
-    return got.select("term", F.array_join(F.transform("places", lambda x: F.concat_ws(":", x["span_index"], x["byte_off"])), " ").alias("places"))
+    return rows, index.build(rows, f"{_folder(spark)}/index")
+
+
+@query(_PLACES + "select term, doc_id as span_index, string_agg(cast(byte_off as bigint), ' ' order by byte_off) as places from p group by term, doc_id")
+def posting_lists(spark, sf_dir):
+    """All lists, read back from the compressed blocks of the written index."""
+    _, got = _index(spark, sf_dir)
+    return got.places().select("term", "span_index", F.array_join("offsets", " ").alias("places"))
+
+
+def _indexed(spark, sf_dir, pattern: str, flags: Flags | None = None) -> DataFrame:
+    rows, terms = _index(spark, sf_dir)
+    q = compile_query(pattern, flags)
+    return search.hits(terms.narrowed(rows, q), q).select("span_index", "pos", "len")
+
+
+@query("select doc_id as span_index, strlen(substr(text, 1, strpos(text, 'heshti') - 1)) as pos, 6 as len from documents where contains(text, 'heshti')")
+def indexed_literal(spark, sf_dir):
+    """Letters anywhere in words: the terms table is looked through, then only the spans of the terms found."""
+    return _indexed(spark, sf_dir, "heshti").withColumn("len", F.col("len").cast("int"))
+
+
+@query("""
+with l as (select doc_id, unnest(string_split(text, chr(10))) as line from documents)
+select distinct doc_id as span_index from l where (contains(line, 'blere') and contains(line, 'ingly')) or contains(line, 'of heshti')
+""")
+def indexed_alternatives(spark, sf_dir):
+    """Two terms on one line, or a phrase: spans of the rarest pieces of each alternative."""
+    return _indexed(spark, sf_dir, 'blere ingly OR "of heshti"').select("span_index")
+
+
+@query("select doc_id as span_index from documents where regexp_matches(text, '(^|[^A-Za-z0-9_])(MIT|Apache)($|[^A-Za-z0-9_])', 'ni')")
+def indexed_words(spark, sf_dir):
+    """Whole words in any case: looked up by equality."""
+    return _indexed(spark, sf_dir, "MIT OR apache", Flags(ignore_case=True, word=True)).select("span_index")
 
 
 def _items(rows: DataFrame, conversation, seq, export, responses=None) -> DataFrame:
