@@ -28,8 +28,8 @@ from ..functions.text import tokens
 from ..plans.query import Query
 
 TOKEN = regex.compile(r"[\p{Alphabetic}\p{N}]+")
-#: Spans in a block; offsets in a block before it is closed.
-BLOCK, PLACES = 4096, 1 << 16
+#: Spans in a block, at most.
+BLOCK = 4096
 PLACED = "archive string, span_index long, term string, offsets array<long>"
 BLOCKS = "fold string, term string, odd boolean, archive string, first_span long, last_span long, n_spans long, n_places long, spans binary, places binary"
 _BLOCKS_ARROW = pa.schema([("fold", pa.string()), ("term", pa.string()), ("odd", pa.bool_()), ("archive", pa.string()), ("first_span", pa.int64()), ("last_span", pa.int64()), ("n_spans", pa.int64()), ("n_places", pa.int64()), ("spans", pa.binary()), ("places", pa.binary())])
@@ -100,18 +100,21 @@ def document_frequency(spans: DataFrame, lower: bool = False) -> DataFrame:
 # ---------------------------------------------------------------- blocks
 
 
-def to_varints(values: np.ndarray) -> bytes:
-    """Numbers from 0 on, seven bits a byte, the lowest first; the top bit says that more follow."""
+def to_varints(values: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Numbers from 0 on, seven bits a byte, the lowest first; the top bit says that more follow. And where each ends, from 0 on."""
     v = values.astype(np.uint64)
     size = np.ones(len(v), np.int64)
     for k in range(1, 10):
-        size += (v >> np.uint64(7 * k)) > 0
+        more = (v >> np.uint64(7 * k)) > 0
+        if not more.any():
+            break
+        size += more
     at = np.concatenate([[0], np.cumsum(size)])
     out = np.zeros(int(at[-1]), np.uint8)
     for k in range(int(size.max(initial=0))):
         has = size > k
         out[at[:-1][has] + k] = ((v[has] >> np.uint64(7 * k)) & np.uint64(127)).astype(np.uint8) | np.where(size[has] > k + 1, 128, 0).astype(np.uint8)
-    return out.tobytes()
+    return out.tobytes(), at
 
 
 def from_varints(data: bytes) -> np.ndarray:
@@ -125,20 +128,25 @@ def from_varints(data: bytes) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _deltas(values: np.ndarray, firsts: np.ndarray | None = None) -> np.ndarray:
-    """Differences to the value before; at ``firsts`` (and at the start) the value itself."""
+def _deltas(values: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """Differences to the value before; at ``firsts`` the value itself."""
     out = np.diff(values, prepend=0)
-    if firsts is not None:
-        out[firsts] = values[firsts]
+    out[firsts] = values[firsts]
     return out
 
 
-def encode(spans: list[int], offsets: list[np.ndarray]) -> tuple[bytes, bytes]:
-    """A block's two columns: spans as deltas; then how many offsets each has, and these as deltas span by span."""
-    sizes = np.array([len(x) for x in offsets], np.int64)
-    flat = np.concatenate(offsets) if offsets else np.zeros(0, np.int64)
-    firsts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-    return to_varints(_deltas(np.array(spans, np.int64))), to_varints(np.concatenate([sizes, _deltas(flat, firsts)]))
+def encode(spans: np.ndarray, sizes: np.ndarray, offsets: np.ndarray, firsts: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """The two columns of blocks that begin at the rows ``firsts``: spans as deltas; and how many offsets each span has, followed
+    by these as deltas, span by span. All blocks are coded in one go."""
+    rows = np.append(firsts, len(spans))
+    cut = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    own, own_at = to_varints(_deltas(spans, firsts))
+    counts, counts_at = to_varints(sizes)
+    starts = cut[:-1][sizes > 0]
+    places, places_at = to_varints(_deltas(offsets, starts))
+    cuts = [x[rows].tolist() for x in (own_at, counts_at, places_at[cut])]
+    bounds = [list(zip(c, c[1:], strict=False)) for c in cuts]
+    return [own[a:b] for a, b in bounds[0]], [counts[a:b] + places[c:d] for (a, b), (c, d) in zip(bounds[1], bounds[2], strict=True)]
 
 
 def decode_spans(data: bytes) -> np.ndarray:
@@ -153,41 +161,27 @@ def decode_places(data: bytes, n: int) -> list[np.ndarray]:
     return [np.cumsum(flat[a:b]) for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
 
 
-def _blocks(size: int, most: int):
-    """Rows in order of term, archive and span -> blocks."""
+def _blocks(size: int):
+    """Rows in order of term, archive and span -> blocks. A block ends with its batch at the latest, so none is held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, spans, offsets, held, out = None, [], [], 0, []
-
-        def close() -> None:
-            nonlocal spans, offsets, held
-            if spans:
-                folded, term, archive = key
-                own, places = encode(spans, offsets)
-                out.append((folded, term, any(unicodedata.category(c) == "No" for c in term), archive, spans[0], spans[-1], len(spans), held, own, places))
-            spans, offsets, held = [], [], 0
-
-        def table() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(_BLOCKS_ARROW)], schema=_BLOCKS_ARROW)
-
         for batch in batches:
-            lists = batch.column("offsets")
-            flat, cut = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int64)
-            numbers = batch.column("span_index").to_pylist()
-            for k, now in enumerate(zip(*(batch.column(c).to_pylist() for c in ("fold", "term", "archive")), strict=True)):
-                if now != key or len(spans) >= size or held >= most:
-                    close()
-                    key = now
-                spans.append(numbers[k])
-                offsets.append(flat[cut[k] : cut[k + 1]])
-                held += int(cut[k + 1] - cut[k])
-            offsets = [np.array(x) for x in offsets]  # let the batch go
-            if len(out) >= 1000:
-                yield table()
-                out = []
-        close()
-        if out:
-            yield table()
+            if not batch.num_rows:
+                continue
+            folds, terms, archives = (np.array(batch.column(c).to_pylist(), object) for c in ("fold", "term", "archive"))
+            spans, lists = batch.column("span_index").to_numpy(), batch.column("offsets")
+            sizes, offsets = lists.value_lengths().to_numpy().astype(np.int64), lists.flatten().to_numpy()
+            new = np.concatenate([[True], (terms[1:] != terms[:-1]) | (archives[1:] != archives[:-1])])
+            run_start = np.flatnonzero(new)
+            inside = np.arange(len(spans)) - np.repeat(run_start, np.diff(np.append(run_start, len(spans))))
+            firsts = np.flatnonzero(inside % size == 0)
+            lasts = np.append(firsts[1:], len(spans)) - 1
+            own, places = encode(spans, sizes, offsets, firsts)
+            sums = np.add.reduceat(sizes, firsts)
+            names = terms[firsts].tolist()
+            odd = [any(unicodedata.category(c) == "No" for c in t) if not t.isascii() else False for t in names]
+            columns = [folds[firsts].tolist(), names, odd, archives[firsts].tolist(), spans[firsts], spans[lasts], lasts - firsts + 1, sums, own, places]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _BLOCKS_ARROW, strict=True)], schema=_BLOCKS_ARROW)
 
     return run
 
@@ -197,13 +191,13 @@ def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([fold(t) for t in batch.column("term").to_pylist()], pa.string()), *batch.columns], names=["fold", *batch.schema.names])
 
 
-def build(spans: DataFrame, path: str, block: int = BLOCK, places: int = PLACES, options: dict | None = None) -> TermIndex:
+def build(spans: DataFrame, path: str, block: int = BLOCK, options: dict | None = None) -> TermIndex:
     """Writes the index of ``spans`` (archive, span_index, text; span_index from 0 on, one of its own for each span of an archive)."""
     spark, options = spans.sparkSession, options or {}
     spans.where("text <> ''").select("archive", "span_index", "text").mapInArrow(_folded, "fold string, " + PLACED).write.options(**options).parquet(f"{path}/staged")  # texts are read once; ranges are sampled from this
     rows = spark.read.parquet(f"{path}/staged")
     by = ["fold", "term", "archive", "span_index"]
-    rows.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(_blocks(block, places), BLOCKS).write.options(**options).parquet(f"{path}/postings")
+    rows.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(_blocks(block), BLOCKS).write.options(**options).parquet(f"{path}/postings")
     whole = spark.read.parquet(f"{path}/postings").groupBy("fold", "term", "odd").agg(F.sum("n_spans").alias("n_spans"), F.sum("n_places").alias("n_places"))
     whole.repartitionByRange("fold", "term").sortWithinPartitions("fold", "term").write.options(**options).parquet(f"{path}/terms")
     spans.groupBy("archive").agg(F.count("*").alias("spans")).coalesce(1).write.options(**options).parquet(f"{path}/totals")
@@ -215,17 +209,20 @@ def build(spans: DataFrame, path: str, block: int = BLOCK, places: int = PLACES,
 
 def _span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for archive, data in zip(batch.column("archive").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-            own = decode_spans(data)
-            yield pa.RecordBatch.from_arrays([pa.array([archive] * len(own), pa.string()), pa.array(own, pa.int64())], names=["archive", "span_index"])
+        own = [decode_spans(x) for x in batch.column("spans").to_pylist()]
+        if own:
+            archives = np.repeat(np.array(batch.column("archive").to_pylist(), object), [len(x) for x in own])
+            yield pa.RecordBatch.from_arrays([pa.array(archives, pa.string()), pa.array(np.concatenate(own))], names=["archive", "span_index"])
 
 
 def _place_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for r in batch.to_pylist():
-            own = decode_spans(r["spans"])
-            lists = decode_places(r["places"], len(own))
-            yield pa.RecordBatch.from_arrays([pa.array([r["term"]] * len(own), pa.string()), pa.array([r["archive"]] * len(own), pa.string()), pa.array(own, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], names=["term", "archive", "span_index", "offsets"])
+        out: tuple[list, list, list, list] = ([], [], [], [])
+        for term, archive, spans, places in zip(*(batch.column(c).to_pylist() for c in ("term", "archive", "spans", "places")), strict=True):
+            own = decode_spans(spans)
+            for x, more in zip(out, ([term] * len(own), [archive] * len(own), own.tolist(), decode_places(places, len(own))), strict=True):
+                x += more
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.list_(pa.int64()))], names=["term", "archive", "span_index", "offsets"])
 
 
 # ---------------------------------------------------------------- lookup

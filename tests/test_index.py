@@ -16,15 +16,16 @@ SPANS = "archive string, conversation_id string, span_index long, field string,
 
 @pytest.mark.parametrize("values", [[], [0], [127, 128, 0, 2**14, 2**35, 2**62, 1], list(range(300))])
 def test_varints(values):
-    assert index.from_varints(index.to_varints(np.array(values, np.int64))).tolist() == values
+    assert index.from_varints(index.to_varints(np.array(values, np.int64))[0]).tolist() == values
 
 
 def test_blocks_round_trip():
-    spans, offsets = [3, 4, 900, 2**40], [np.array(x, np.int64) for x in ([0, 5], [7], [1, 2, 10**9], [0])]
-    own, places = index.encode(spans, offsets)
-    assert index.decode_spans(own).tolist() == spans
-    assert [x.tolist() for x in index.decode_places(places, 4)] == [x.tolist() for x in offsets]
-    assert len(own) < 12 and len(places) < 20
+    """Two blocks, of three spans and of one."""
+    spans, lists = [3, 4, 900, 2**40], [[0, 5], [7], [1, 2, 10**9], [0]]
+    own, places = index.encode(np.array(spans), np.array([len(x) for x in lists]), np.array(sum(lists, [])), np.array([0, 3]))
+    assert [index.decode_spans(x).tolist() for x in own] == [spans[:3], spans[3:]]
+    assert [x.tolist() for k, n in ((0, 3), (1, 1)) for x in index.decode_places(places[k], n)] == lists
+    assert len(own[0]) == 4 and len(places[0]) < 14
 
 
 def test_places_are_bytes():
@@ -49,7 +50,7 @@ def made(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("index"))
     spans = spark.createDataFrame(rows, SPANS).repartition(3)
     spans.sort("span_index").coalesce(1).write.option("parquet.block.size", "2048").parquet(f"{path}/spans")
-    return spark.read.parquet(f"{path}/spans"), index.build(spans, f"{path}/index", block=64, places=128), rows
+    return spark.read.parquet(f"{path}/spans"), index.build(spans, f"{path}/index", block=64), rows
 
 
 QUERIES = [
