@@ -131,7 +131,7 @@ class Archives:
             rows, assets = None, None
             for k, path in enumerate(paths):
                 files = [str(p) for p in discover(path, self.skips)[1]] + self._summaries(path) if local and kind is None and not os.path.isfile(path) else [path]
-                own = read_files(self.spark, *files, kind=kind).withColumn("export_index", F.lit(first + k))
+                own = read_files(self.spark, *files, kind=kind, work=f"{new}/work/{k}", roots=(path,)).withColumn("export_index", F.lit(first + k))
                 rows = own if rows is None else rows.union(own)
                 if local and os.path.isdir(path):
                     found = read_assets(self.spark, path).withColumn("export_index", F.lit(first + k)).withColumn("seq", F.lit(first + k).cast("long"))
@@ -163,8 +163,9 @@ class Archives:
             index.build(own, f"{new}/index", options={"compression": self.codec, "parquet.compression.codec.zstd.level": str(self.level)})
             n, digest = merged.agg(F.count("*"), _manifest_digest()).first()
             self._text(f"{new}/manifest.json", json.dumps({"version": VERSION, "conversations": n, "digest": digest}))
-            fs, staged = self._fs(f"{new}/staged")
-            fs.delete(staged, True)
+            for name in ("staged", "work"):
+                fs, staged = self._fs(f"{new}/{name}")
+                fs.delete(staged, True)
             self._switch(at, version)
         except BaseException:
             fs, p = self._fs(new)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections import Counter
 from collections.abc import Iterator
 from typing import Any
 
@@ -65,24 +66,39 @@ def _digest(x: Any) -> str:
 
 
 def _merge_responses(have: list, more: list) -> list:
+    """A new id is added; the same content completes the first of its id, a longer message takes its place, and a shorter one is kept beside it, once."""
     out = list(have)
+    digests = [_digest(x) for x in out]
+    there = Counter(digests)
     first: dict[Any, int] = {}
     for k, r in enumerate(out):
         if (i := (r.get("response") or {}).get("_id")) is not None:
             first.setdefault(i, k)
+
+    def put(k: int, r: dict) -> None:
+        d = _digest(r)
+        if k < len(out):
+            there[digests[k]] -= 1
+            out[k], digests[k] = r, d
+        else:
+            out.append(r)
+            digests.append(d)
+        there[d] += 1
+
     for r in more:
         own = r.get("response") or {}
         k = first.get(own.get("_id")) if own.get("_id") is not None else None
+        d = _digest(r)
         if k is None:
-            if own.get("_id") is not None or _digest(r) not in {_digest(x) for x in out}:
+            if own.get("_id") is not None or not there[d]:
                 first.setdefault(own.get("_id"), len(out))
-                out.append(r)
-        elif _digest(out[k]) == _digest(r) or _digest((out[k].get("response"))) == _digest(own):
-            out[k] = r | out[k]
+                put(len(out), r)
+        elif digests[k] == d or _digest(out[k].get("response")) == _digest(own):
+            put(k, r | out[k])
         elif _size(own.get("message")) > _size((out[k].get("response") or {}).get("message")):
-            out[k] = out[k] | r
-        elif not any(_digest(x) == _digest(r) for x in out):  # a shorter version is kept beside the first, once
-            out.append(r)
+            put(k, out[k] | r)
+        elif not there[d]:
+            put(len(out), r)
     return out
 
 
@@ -102,31 +118,58 @@ def merge_items(have: dict, more: dict) -> dict:
     return {"conversation": conv, "responses": _merge_responses(have.get("responses") or [], more.get("responses") or []), **rest}
 
 
-def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: What a fold goes on from: a merged conversation, and the digests of the dumps that are in it.
+STATE = MERGED + ", seen array<string>"
+_KINDS = {"service": pa.string(), "account": pa.string(), "seq": pa.int64(), "id": pa.string(), "export_indices": pa.list_(pa.int32()), "n_dumps": pa.int32(), "item": pa.string(), "seen": pa.list_(pa.string())}
+
+
+def fold(have: dict | None, dumps: list[dict]) -> dict:
+    """A state (None: none yet) and further dumps (seq, export_index, item), in order -> the state after them. A dump that is the very
+    same as one before, however long ago, only adds where it is from; so it is of no account how dumps are cut into batches."""
+    item = json.loads(have["item"]) if have else None
+    seen, indices = set(have["seen"]) if have else set(), list(have["export_indices"]) if have else []
+    for x in dumps:
+        if x["export_index"] not in indices:
+            indices.append(x["export_index"])
+        own = json.loads(x["item"])
+        d = _digest(own)
+        if item is None:
+            item = own
+        elif d not in seen:
+            item = merge_items(item, own)
+        seen.add(d)
+    return {"seq": have["seq"] if have else dumps[0]["seq"], "export_indices": indices, "n_dumps": (have["n_dumps"] if have else 0) + len(dumps), "item": json.dumps(item, ensure_ascii=False), "seen": sorted(seen)}
+
+
+def _folds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = []
-        for row in batch.to_pylist():
-            item, seen, indices = None, set(), []
-            for x in row["items"]:
-                if x["export_index"] not in indices:
-                    indices.append(x["export_index"])
-                own = json.loads(x["item"])
-                d = _digest(own)
-                if item is None:
-                    item = own
-                elif d not in seen:  # the very same again only adds where it is from
-                    item = merge_items(item, own)
-                seen.add(d)
-            out.append({"service": row["service"], "account": row["account"], "seq": row["items"][0]["seq"], "id": row["id"], "export_indices": indices, "n_dumps": len(row["items"]), "item": json.dumps(item, ensure_ascii=False)})
-        yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("service", pa.string()), ("account", pa.string()), ("seq", pa.int64()), ("id", pa.string()), ("export_indices", pa.list_(pa.int32())), ("n_dumps", pa.int32()), ("item", pa.string())]))
+        out = [{"service": r["service"], "account": r["account"], "id": r["id"]} | fold(r["have"], r["items"]) for r in batch.to_pylist()]
+        yield pa.RecordBatch.from_pylist(out, schema=pa.schema(list(_KINDS.items())))
 
 
-def merge_conversations(items: DataFrame) -> DataFrame:
-    """ITEM rows -> MERGED rows. Conversations without an id are merged with nothing."""
+def _grouped(items: DataFrame) -> DataFrame:
     own = F.get_json_object("item", "$.conversation.id")
     keyed = items.withColumn("id", own).withColumn("_alone", F.when(own.isNull(), F.col("seq")))
-    grouped = keyed.groupBy("service", "account", "id", "_alone").agg(F.array_sort(F.collect_list(F.struct("seq", "export_index", "item"))).alias("items"))
-    return grouped.select("service", "account", "id", "items").mapInArrow(_fold, MERGED)
+    return keyed.groupBy("service", "account", "id", "_alone").agg(F.array_sort(F.collect_list(F.struct("seq", "export_index", "item"))).alias("items"))
+
+
+_HAVE = "struct<seq: bigint, export_indices: array<int>, n_dumps: int, item: string, seen: array<string>>"
+
+
+def merge_states(items: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    """ITEM rows (and the STATE of their conversations so far) -> STATE rows of the conversations in ``items``. Conversations without an id are merged with nothing."""
+    grouped = _grouped(items)
+    if state is None:
+        rows = grouped.withColumn("have", F.lit(None).cast(_HAVE))
+    else:
+        have = state.where("id is not null").select("service", "account", "id", F.struct("seq", "export_indices", "n_dumps", "item", "seen").alias("have"))
+        rows = grouped.join(have, ["service", "account", "id"], "left")
+    return rows.select("service", "account", "id", "items", "have").mapInArrow(_folds, STATE)
+
+
+def merge_conversations(items: DataFrame) -> DataFrame:
+    """ITEM rows -> MERGED rows. Conversations without an id are merged with nothing."""
+    return merge_states(items).drop("seen")
 
 
 def merge_assets(assets: DataFrame) -> DataFrame:

@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..archive import Archives
 from ..functions.text import content_digest, field_name, looks_like_uuid, snippet, tokens
-from ..operators import index, search, stats
+from ..operators import index, search, stats, trees
 from ..operators.merge import merge_assets, merge_conversations
 from ..operators.spans import spans
-from ..sources.readers import parse_files
+from ..sources.readers import parse_files, read_files
 from ..streaming.ingest import upsert
 from .query import Flags, compile_query, first_match, match_count, matches
 
@@ -251,6 +255,25 @@ def message_order(spark, sf_dir):
     return _messages(merge_conversations(_dump(spark, files, "mapping")))
 
 
+@query("""
+with recursive k as (select conv_id, turn, substr(sha256(conv_id || '-' || turn), 1, 12) as key from conversations),
+nodes as (select conv_id, key, lag(key) over (partition by conv_id order by turn) as parent from k
+  union all select conv_id, 'z' || key, key from k where turn % 2 = 0),
+ends as (select conv_id, arg_max(key, turn) as key from k group by conv_id),
+walk as (select e.conv_id, e.key, 0 as dist from ends e union all select w.conv_id, n.parent, w.dist + 1 from walk w join nodes n on n.conv_id = w.conv_id and n.key = w.key where n.parent is not null)
+select n.conv_id, n.key, row_number() over (partition by n.conv_id order by w.dist desc nulls last, n.key) - 1 as place from nodes n left join walk w on w.conv_id = n.conv_id and w.key = n.key
+""")
+def message_ways(spark, sf_dir):
+    """Trees of messages as parent links, with a branch at every other turn: the way to the last turn by pointer doubling, then what is beside it."""
+    key = F.substring(F.sha2(F.concat_ws("-", "conv_id", "turn"), 256), 1, 12)
+    c = _read(spark, sf_dir, "conversations").select("conv_id", "turn", key.alias("key"))
+    on = c.selectExpr("conv_id as tree", "turn", "key", "lag(key) over (partition by conv_id order by turn) as parent")
+    beside = c.where("turn % 2 = 0").select(F.col("conv_id").alias("tree"), F.concat(F.lit("z"), "key").alias("key"), F.col("key").alias("parent"))
+    nodes = on.select("tree", "key", "parent").union(beside)
+    current = c.groupBy(F.col("conv_id").alias("tree")).agg(F.max_by("key", "turn").alias("key"))
+    return trees.message_order(nodes, current, f"{_folder(spark)}/rounds").select(F.col("tree").alias("conv_id"), "key", "place")
+
+
 @query(_TURNS)
 def messenger_chats(spark, sf_dir):
     """An account's chats with texts of strings and entities."""
@@ -292,6 +315,61 @@ def markdown_notes(spark, sf_dir):
     return got.select("conversation_id", "title", F.expr("substring(body, length(title) + 4)").alias("body"))
 
 
+def _zipped(spark: SparkSession, entries: DataFrame) -> list[str]:
+    """(zip, entry, body): a zip for each name in the shared folder, written by the tasks row by row, and their paths."""
+    folder = _folder(spark)
+    place = folder.removeprefix("file://")
+
+    def run(batches):
+        out = None
+        for batch in batches:
+            for r in batch.to_pylist():
+                if out is None or out[0] != r["zip"]:
+                    if out:
+                        yield close(*out)
+                    os.makedirs(place, exist_ok=True)
+                    own = f"{place}/.{r['zip']}-{uuid.uuid4().hex}"
+                    out = r["zip"], own, zipfile.ZipFile(own, "w", zipfile.ZIP_DEFLATED)
+                out[2].writestr(r["entry"], r["body"])
+        if out:
+            yield close(*out)
+
+    def close(name, own, z):
+        z.close()
+        os.replace(own, f"{place}/{name}.zip")  # a task that runs again leaves one zip
+        return pa.RecordBatch.from_pydict({"path": [f"{place}/{name}.zip"]})
+
+    dealt = entries.repartition("zip").sortWithinPartitions("zip", "entry")
+    return sorted(r["path"] for r in dealt.mapInArrow(run, "path string").collect())
+
+
+@query("select source || '.zip' as zip, doc_id || '.md' as conversation_id, source as title, text || chr(10) as body from documents")
+def zipped_notes(spark, sf_dir):
+    """Notes in a zip for each source, large ones over many blocks: entries are dealt to tasks, ids are paths inside the zip."""
+    text = F.concat(F.lit("# "), "source", F.lit("\n"), F.coalesce("text", F.lit("")), F.lit("\n"))
+    zips = _zipped(spark, _read(spark, sf_dir, "documents").select(F.col("source").alias("zip"), F.concat("doc_id", F.lit(".md")).alias("entry"), text.alias("body")))
+    rows = read_files(spark, *zips, work=f"{_folder(spark)}/work", block=4096)
+    part = rows.select(F.regexp_extract("path", r"([^/]*)!/", 1).alias("zip"), F.get_json_object("item", "$.conversation.id").alias("conversation_id"), F.get_json_object("item", "$.conversation.title").alias("title"), F.get_json_object("item", "$.responses[0].response.message").alias("message"))
+    return part.select("zip", "conversation_id", "title", F.expr("substring(message, length(title) + 4)").alias("body"))
+
+
+@query("select cast(conv_id as varchar) as conversation_id, row_number() over (partition by conv_id order by turn) as n, text from conversations where text <> ''")
+def split_dump(spark, sf_dir):
+    """One dump of all conversations, a single JSON object in a zip, cut into its items by many tasks."""
+    message = F.concat(F.lit('{"response":'), F.to_json(F.struct(F.col("turn").cast("string").alias("_id"), F.col("text").alias("message"))), F.lit("}"))
+    c = _read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", message.alias("m")))).alias("t"))
+    item = F.concat(F.lit('{"conversation":{"id":"'), "conv_id", F.lit('"},"responses":['), F.array_join("t.m", ","), F.lit("]}"))
+    ends = spark.createDataFrame([(0, '{"odd":1,"conversations":['), (2, '],"media_posts":[],"settings":{"a":1}}')], "part int, value string")
+    # one file, as exports come: one task writes its lines, one after the other
+    lines = ends.union(c.select(F.lit(1).alias("part"), item.alias("value"))).repartition(1).sortWithinPartitions("part").withColumn("no", F.monotonically_increasing_id())
+    folder = _folder(spark)
+    lines.select(F.concat(F.when((F.col("part") == 1) & (F.col("no") > 1), F.lit(",")).otherwise(F.lit("")), "value").alias("value")).write.text(f"{folder}/dump")
+    path = str(next(Path(f"{folder}/dump".removeprefix("file://")).glob("part-*")))
+    rows = read_files(spark, path, kind="assistant", work=f"{folder}/work", block=1 << 16, large=0).where("kind = 'assistant'")
+    items = rows.select(F.lit("s").alias("service"), F.lit("a").alias("account"), F.col("place").cast("long").alias("seq"), F.lit(0).alias("export_index"), "item")
+    return _messages(merge_conversations(items))
+
+
 @query("select 'card ' || item_id as conversation_id, 'one, two, ' || item_id as summary, trim(text) as body from benchmark")
 def story_cards(spark, sf_dir):
     """Cards with a list of keys; those without a title are left out."""
@@ -459,14 +537,15 @@ def asset_dedup(spark, sf_dir):
     return merge_assets(rows).select("digest", "uuid", F.array_join("export_indices", ",").alias("exports"))
 
 
-@query("select conv_id, count(*) as n_dumps, sha256(string_agg(text, '|' order by turn % 3, turn)) as digest from conversations where text <> '' group by conv_id")
+@query("select conv_id, count(*) + count(*) filter (turn % 3 = 0) as n_dumps, sha256(coalesce(string_agg(text, '|' order by turn % 3, turn), '')) as digest from conversations group by conv_id")
 def incremental_equals_batch(spark, sf_dir):
-    """Three batches of dumps folded into the state one after the other: what one fold over all of them in this order gives."""
-    c = _read(spark, sf_dir, "conversations").where("text <> ''")
+    """Four batches of dumps folded into the state one after the other, the last the first one's again: what one fold over all of them in this
+    order gives. A dump that was seen before adds nothing, however many came between."""
+    c = _read(spark, sf_dir, "conversations")
     state = None
-    for k in range(3):
-        own = c.where(F.col("turn") % 3 == k)
-        state = upsert(state, _items(own, F.struct(F.col("conv_id").cast("string").alias("id")), F.lit(10_000 * k) + F.col("turn"), F.lit(k), F.array(F.struct(F.struct(F.col("turn").cast("string").alias("_id"), F.col("text").alias("message")).alias("response")))))
+    for k in range(4):
+        own = c.where(F.col("turn") % 3 == k % 3)
+        state = upsert(state, _items(own, F.struct(F.col("conv_id").cast("string").alias("id")), F.lit(10_000 * k) + F.col("turn"), F.lit(k % 3), F.array(F.struct(F.struct(F.col("turn").cast("string").alias("_id"), F.col("text").alias("message")).alias("response")))))
     got = F.from_json(F.get_json_object("item", "$.responses"), "array<struct<response: struct<message: string>>>")
     return state.select(F.col("id").cast("long").alias("conv_id"), F.col("n_dumps").cast("long").alias("n_dumps"), F.sha2(F.array_join(F.transform(got, lambda x: x["response"]["message"]), "|"), 256).alias("digest"))
 

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: States, as they are numbered.
@@ -61,7 +61,7 @@ def summary(body: bytes) -> tuple[list[int], list[int], str | None]:
     return ends, deltas, first
 
 
-_STATES = "path string, block long, state int, depth int, at int"
+_STATES = "path string, block long, state int, depth int, at int, sound boolean"
 
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,14 +77,17 @@ def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in batch.to_pylist():
             state, depth = OUT, 0
             first = next((x["opens"] for x in r["x"] if x["opens"]), "[")
+            own = []
             for x in r["x"]:
-                out.append((r["path"], x["block"], state, depth, 1 if first == "[" else 2))
+                own.append((r["path"], x["block"], state, depth, 1 if first == "[" else 2))
                 state, depth = x["ends"][state], depth + x["deltas"][state]
-        yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names=["path", "block", "state", "depth", "at"])
+            out += [(*o, (state, depth) == (OUT, 0)) for o in own]
+        yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()))], names=["path", "block", "state", "depth", "at", "sound"])
 
 
 def states(blocks: DataFrame) -> DataFrame:
-    """path, block, state, depth, at: of each block's start; a file's items are at depth ``at``. A few numbers a block meet by file."""
+    """path, block, state, depth, at, sound: of each block's start; a file's items are at depth ``at``. A file is sound if all that
+    is opened in it is closed. A few numbers a block meet by file."""
     own = blocks.select("path", "block", "body").mapInArrow(_summaries, "path string, block long, ends array<int>, deltas array<int>, opens string")
     by = own.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("block", "ends", "deltas", "opens"))).alias("x"))
     return by.mapInArrow(_chained, _STATES)
@@ -129,13 +132,14 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def pieces(blocks: DataFrame, folder: str) -> DataFrame:
     """path, no, level, at, ended, key_no, body: whole pieces, numbered by file. ``key_no`` is the number of the last piece above the items' depth:
-    what stands before their array. ``folder`` takes the pieces as they are cut; the result reads them."""
+    what stands before their array. Files that aren't sound have none. ``folder`` takes the states and the pieces as they are cut; the
+    result reads them."""
     spark = blocks.sparkSession
     known = states(blocks)
     known.write.parquet(f"{folder}/states")
     known = spark.read.parquet(f"{folder}/states")
     known = F.broadcast(known) if known.count() <= FEW else known
-    blocks.join(known, ["path", "block"]).select("path", "block", "body", "state", "depth", "at").mapInArrow(_cut, _PIECES).write.parquet(f"{folder}/pieces")
+    blocks.join(known.where("sound"), ["path", "block"]).select("path", "block", "body", "state", "depth", "at").mapInArrow(_cut, _PIECES).write.parquet(f"{folder}/pieces")
     raw = spark.read.parquet(f"{folder}/pieces")
     sums = raw.groupBy("path", "block").agg(F.max("idx").alias("cuts"), F.max(F.when(F.col("level") < F.col("at"), F.col("idx"))).alias("key"))
     order = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -150,12 +154,29 @@ def pieces(blocks: DataFrame, folder: str) -> DataFrame:
     return placed.where("whole").select(*columns).union(parted.withColumn("body", joined).select(*columns))
 
 
+def _key(before: Column) -> Column:
+    """The name before a colon, from the text between a comma or brace and what the name is for."""
+    return F.element_at(F.json_object_keys(F.concat(F.lit("{"), F.regexp_replace(before, r'^[^"]*', ""), F.lit("0}"))), 1)
+
+
 def items(blocks: DataFrame, folder: str) -> DataFrame:
     """path, key, place, item: the items of a file's arrays as JSON texts. ``key`` is the array's key in the object around, null
     if the array is the file; what stands before a lone array is passed over. Objects and scalars under a key aren't items."""
-    rows = pieces(blocks, folder)
+    return items_of(pieces(blocks, folder))
+
+
+def items_of(rows: DataFrame) -> DataFrame:
     keys = rows.where((F.col("level") == F.col("at") - 1) & (F.col("ended") == "[")).select("path", F.col("no").alias("key_no"), F.col("body").cast("string").alias("before"))
     own = rows.where("level = at").select("path", "no", "at", "key_no", F.col("body").cast("string").alias("item")).where(r"item rlike '[^\\x00-\\x20]'")
     joined = own.join(keys, ["path", "key_no"])
-    key = F.when(F.col("at") == 2, F.element_at(F.json_object_keys(F.concat(F.lit("{"), F.regexp_replace("before", r'^[^"]*', ""), F.lit("0}"))), 1))
-    return joined.select("path", key.alias("key"), (F.col("no") - F.col("key_no") - 1).alias("place"), F.trim("item").alias("item"))
+    return joined.select("path", F.when(F.col("at") == 2, _key(F.col("before"))).alias("key"), (F.col("no") - F.col("key_no") - 1).alias("place"), F.trim("item").alias("item"))
+
+
+def others_of(rows: DataFrame) -> DataFrame:
+    """path, place, member: what an object of arrays has beside them, each as an object of one member: a scalar with its key, or a member of an
+    object with that object's key around it."""
+    above = rows.where("at = 2 and level = 1").select("path", "no", "ended", F.col("body").cast("string").alias("text"))
+    scalars = above.where("ended in (',', '}')").where(r"text rlike '\"[^\"]*\"\\s*:\\s*[^\\s]'").select("path", F.col("no").alias("place"), F.concat(F.lit("{"), F.trim("text"), F.lit("}")).alias("member"))
+    objects = above.where("ended = '{'").select("path", F.col("no").alias("key_no"), F.regexp_replace("text", r'^[^"]*', "").alias("before"))
+    inside = rows.where("level = at and at = 2").select("path", "no", "key_no", F.col("body").cast("string").alias("text")).join(objects, ["path", "key_no"])
+    return scalars.union(inside.select("path", F.col("no").alias("place"), F.concat(F.lit("{"), "before", F.lit("{"), F.trim("text"), F.lit("}}")).alias("member")))

@@ -164,10 +164,10 @@ def _strings(x: Any) -> Iterator[str]:
             yield from _strings(y)
 
 
-def activity_tree(path: str, data: bytes) -> Iterator[Item]:
-    """Posts and messages of a social network's download: an array of items, or one object."""
+def activity_tree(path: str, data: bytes, first: int = 0) -> Iterator[Item]:
+    """Posts and messages of a social network's download: an array of items, or one object. ``first`` is the place of the first item."""
     root = _load(path, data)
-    for k, x in enumerate(root if isinstance(root, list) else [root]):
+    for k, x in enumerate(root if isinstance(root, list) else [root], first):
         if not isinstance(x, dict):
             continue
         own = stringify_id(x.get("id")) or stringify_id(x.get("timestamp")) or str(k)

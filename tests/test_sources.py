@@ -6,7 +6,7 @@ import zipfile
 
 import pytest
 
-from palimpsest.sources import arrays, blocks
+from palimpsest.sources import arrays, blocks, readers
 
 
 def dump(n, seed=1):
@@ -116,3 +116,37 @@ def test_entries_beyond_two_gigabytes(spark, tmp_path):
         f.write(bytes(12345))
     read = blocks.read_blocks(spark, f"{tmp_path}/big.zip", block=32 << 20)
     assert read.selectExpr("sum(octet_length(body)) as n", "max(octet_length(body)) as m").first() == (size, 32 << 20)
+
+
+def test_files_in_blocks_are_parsed_as_whole_ones(spark, tmp_path):
+    """Every kind, by blocks of 300 bytes out of a zip, and each file whole: the same rows, in any order."""
+    own = dump(30)
+    trees = [{"conversation_id": f"t{k}", "title": "[x]", "mapping": {"a": {"parent": None, "children": ["b"]}, "b": {"parent": "a", "message": {"id": "m", "author": {"role": "user"}, "content": {"parts": [f"hello {k}"]}}}}, "current_node": "b"} for k in range(9)]
+    posts = [{"data": [{"post": f"post {k} {{"}]} if k % 2 else {"timestamp": k, "content": "c"} for k in range(12)]
+    files = {
+        "export.json": json.dumps({"conversations": own, "media_posts": [{"a": 1}, {}], "tasks": [], "odd": [1, 2], "n": 7, "o": {"p": 1, "q": [2]}}, ensure_ascii=False),
+        "conversations-1.json": json.dumps(trees),
+        "your_facebook_activity/posts.json": json.dumps(posts),
+        "tweets.js": "window.YTD.tweets.part0 = " + json.dumps([{"tweet": {"id_str": str(k), "full_text": "t" * 30}} for k in range(20)]),
+        "note.md": "# Head\n" + "text " * 200,
+        "s/chat_history.jsonl": "\n".join(json.dumps({"type": "user", "content": f"line {k}"}) for k in range(40)),
+        "broken-conversations.json": json.dumps({"conversations": own})[:-400] + '"conversation"',
+        "odd.txt": "x" * 900,
+    }
+    with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
+        for name, text in files.items():
+            z.writestr(name, text)
+    path = f"{tmp_path}/z.zip"
+    got = readers.read_files(spark, path, work=f"{tmp_path}/w", block=300).collect()
+    whole = readers.parse_files(spark.createDataFrame([(f"{path}!/{n}", t.encode()) for n, t in files.items()], "path string, content binary")).collect()
+    plain = lambda rows: sorted((r.path, r.kind, r.place, json.dumps(json.loads(r.item), sort_keys=True)) for r in rows if r.item and r.kind not in ("extra", "media_posts"))
+    assert plain(got) == plain(whole) and {r[1] for r in plain(got)} == {"assistant", "mapping", "activity", "assigned", "markdown", "session"}
+    assert [r.path for r in got if r.problem] == [f"{path}!/broken-conversations.json"] == [r.path for r in whole if r.problem]
+    assert sorted(r.item for r in got if r.kind == "media_posts") == ['{"a": 1}']
+    extra = [json.loads(r.item) for r in got if r.kind == "extra"]
+    assert sorted(map(json.dumps, extra)) == sorted(map(json.dumps, [{"odd": [1]}, {"odd": [2]}, {"n": 7}, {"o": {"p": 1}}, {"o": {"q": [2]}}]))
+
+
+def test_moved_exports_keep_their_ids():
+    assert readers.relative("file:/a/b/n/x.md", ("/a/b",)) == "n/x.md" == readers.relative("/z.zip!/n/x.md")
+    assert readers.relative("/a/b/x.md", ("/a/b/x.md", "/a")) == "x.md" and readers.relative("7.md") == "7.md"
