@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .errors import ArchiveError, BrokenInputs, NoArchives, ScopeError, SourceError
 from .functions.text import path_key
-from .operators import index
+from .operators import index, merkle
 from .operators.merge import ITEM, merge_assets, merge_conversations
 from .operators.search import MAX_COUNT, duplicate_omitted, hits, report, suppressed_clause, unique_hits
 from .operators.spans import spans
@@ -25,7 +25,7 @@ from .sources.readers import assets as read_assets
 
 TABLES = ("items", "exports", "conversations", "spans", "tagged", "assets")
 #: Fixed value: archives of another version aren't read.
-VERSION = 1
+VERSION = 2
 TAGGED_ROW = "service string, account string, export_index int, kind string, path string, value string"
 ASSET_ROW = "digest string, uuid string, relative_path string, size long, mtime timestamp, export_index int, seq long"
 
@@ -66,9 +66,13 @@ class Archives:
             stream.close()
         return text
 
-    def _switch(self, at: str, version: str) -> None:
-        """Readers see the old version or the new one: a file beside is renamed over the pointer. Then older versions go."""
+    def _switch(self, at: str, version: str, before: str | None) -> None:
+        """Readers see the old version or the new one: a file beside is renamed over the pointer, if that still is as it was when the ingest
+        began. The version before stays for those that are reading it; older ones go."""
         jvm = self.spark.sparkContext._jvm
+        now = self._text(f"{at}/CURRENT").strip() if self.exists(f"{at}/CURRENT") else None
+        if now != before:
+            raise ArchiveError(f"{at}: another ingest came between; this one wrote nothing")
         self._text(f"{at}/CURRENT.{version}", version)
         fs, new = self._fs(f"{at}/CURRENT.{version}")
         _, old = self._fs(f"{at}/CURRENT")
@@ -77,7 +81,9 @@ class Archives:
         options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         files.rename(new, old, options)
         for s in fs.listStatus(self._fs(f"{at}/versions")[1]):
-            if s.getPath().getName() != version:
+            name = s.getPath().getName()
+            manifest = jvm.org.apache.hadoop.fs.Path(s.getPath(), "manifest.json")
+            if name not in (version, before) and fs.exists(manifest):  # one without a manifest is being written
                 fs.delete(s.getPath(), True)
 
     def table(self, at: str, name: str) -> DataFrame:
@@ -161,12 +167,14 @@ class Archives:
             # in order of conversations, so that a search by index can leave out most of the file
             own = self._write(spans(merged.repartitionByRange("seq").sortWithinPartitions("seq")), f"{new}/spans")
             index.build(own, f"{new}/index", options={"compression": self.codec, "parquet.compression.codec.zstd.level": str(self.level)})
-            n, digest = merged.agg(F.count("*"), _manifest_digest()).first()
-            self._text(f"{new}/manifest.json", json.dumps({"version": VERSION, "conversations": n, "digest": digest}))
+            n = merged.count()
+            depth = merkle.depth_for(n)
+            tree = self._write(merkle.nodes(_leaves(merged), depth), f"{new}/merkle")
+            self._text(f"{new}/manifest.json", json.dumps({"version": VERSION, "conversations": n, "depth": depth, "digest": _root(tree)}))
             for name in ("staged", "work"):
                 fs, staged = self._fs(f"{new}/{name}")
                 fs.delete(staged, True)
-            self._switch(at, version)
+            self._switch(at, version, old.rsplit("/", 1)[-1] if old else None)
         except BaseException:
             fs, p = self._fs(new)
             if fs.exists(p):
@@ -182,13 +190,30 @@ class Archives:
         """Every export below a folder, one ingest for each (service, account)."""
         return [self.ingest(*paths, service=s, account=a) for (s, a), paths in by_scope(discover_home(home, depth, self.skips)).items()]
 
+    def _tree(self, service: str, account: str) -> tuple[str, dict, DataFrame]:
+        folder = self._open(scoped_path(self.root, service, account))
+        manifest = json.loads(self._text(f"{folder}/manifest.json"))
+        return folder, manifest, merkle.nodes(_leaves(self.spark.read.parquet(f"{folder}/conversations")), manifest["depth"])
+
     def verify(self, service: str, account: str) -> bool:
         """Whether the conversations are those that the manifest was written for."""
-        at = scoped_path(self.root, service, account)
-        folder = self._open(at)
-        n, digest = self.spark.read.parquet(f"{folder}/conversations").agg(F.count("*"), _manifest_digest()).first()
-        manifest = json.loads(self._text(f"{folder}/manifest.json"))
-        return (n, digest) == (manifest["conversations"], manifest["digest"])
+        _, manifest, tree = self._tree(service, account)
+        return _root(tree) == manifest["digest"]
+
+    def differing(self, service: str, account: str) -> DataFrame:
+        """prefix, have, want: the blocks of conversations that aren't as they were written; no rows in a sound archive."""
+        folder, _, tree = self._tree(service, account)
+        return merkle.differing(tree, self.spark.read.parquet(f"{folder}/merkle"))
+
+    def proof(self, service: str, account: str, conversation_id: str) -> tuple[str, str, list[dict], str]:
+        """(place, leaf, steps, root) for one conversation; see ``merkle.proves``."""
+        folder, manifest, _ = self._tree(service, account)
+        conversations = self.spark.read.parquet(f"{folder}/conversations")
+        own = _leaves(conversations.where(F.col("id") == conversation_id)).first()
+        if own is None:
+            raise ArchiveError(f"{service}/{account}: no conversation {conversation_id}")
+        steps = merkle.proof(_leaves(conversations), self.spark.read.parquet(f"{folder}/merkle"), manifest["depth"], own["place"])
+        return own["place"], own["leaf"], steps, manifest["digest"]
 
     def assets(self, service: str, account: str) -> DataFrame:
         """digest, uuid, relative_path, size, mtime, export_indices: a row for each content."""
@@ -257,10 +282,13 @@ class Archives:
         return span_stats(self.spans(service, account)).join(export_labels(exports), "archive", "left").orderBy(path_key(F.col("archive")))
 
 
-def _manifest_digest():
-    """One digest of all conversations, in any order: the sum of 60 bits of each one's digest, and how many there are."""
-    own = F.conv(F.substring(F.sha2(F.concat_ws("\x1f", "id", "item"), 256), 1, 15), 16, 10).cast("decimal(20,0)")
-    return F.sha2(F.concat_ws(" ", F.count("*"), F.coalesce(F.sum(own), F.lit(0))).cast("string"), 256)
+def _leaves(conversations: DataFrame) -> DataFrame:
+    return merkle.leaves(conversations, ["id", "seq"], ["export_indices", "item"])
+
+
+def _root(tree: DataFrame) -> str | None:
+    found = tree.where("prefix = ''").first()
+    return found["digest"] if found else None
 
 
 def totals(reports: list[dict]) -> dict:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..archive import Archives
 from ..functions.text import content_digest, field_name, looks_like_uuid, snippet, tokens
-from ..operators import index, search, stats, trees
+from ..operators import index, merkle, search, stats, trees
 from ..operators.merge import merge_assets, merge_conversations
 from ..operators.spans import spans
 from ..sources.readers import parse_files, read_files
@@ -182,15 +182,25 @@ def archive_stats(spark, sf_dir):
 
 
 def _folder(spark: SparkSession) -> str:
-    """A folder of a query's own in the shared one, or in the temporary one where none is set."""
+    """A folder of a query's own in the shared one, or in the temporary one where none is set (tests). It goes when the driver's Python ends."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if shared:
-        return f"{shared.rstrip('/')}/palimpsest-archives/{uuid.uuid4().hex}"
+        path = f"{shared.rstrip('/')}/palimpsest-archives/{uuid.uuid4().hex}"
+        atexit.register(_remove, spark, path)
+        return path
     own = tempfile.mkdtemp(prefix="palimpsest-")
     atexit.register(shutil.rmtree, own, True)
     return f"file://{own}"
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the session has ended already; the folder's owner clears it
+        pass
+
+
 def _session_archives(spark: SparkSession, sf_dir: str) -> Archives:
     """The turns of each role as session logs, ingested in two dumps that overlap, one archive for a role."""
     folder = _folder(spark)
@@ -476,6 +486,19 @@ def indexed_words(spark, sf_dir):
     return _indexed(spark, sf_dir, "MIT OR apache", Flags(ignore_case=True, word=True)).select("span_index")
 
 
+@query("""
+with l as (select sha256(strlen(doc_id::varchar) || ':' || doc_id) as place,
+  sha256('leaf' || strlen(doc_id::varchar) || ':' || doc_id || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(text) || ':' || text, '-')) as leaf from documents),
+b as (select left(place, 2) as prefix, count(*) as n, sha256('node' || string_agg(place || leaf, '' order by place || leaf)) as digest from l group by 1),
+m as (select left(prefix, 1) as prefix, sum(n) as n, sha256('node' || string_agg(prefix || ' ' || digest, '' order by prefix)) as digest from b group by 1),
+r as (select '' as prefix, sum(n) as n, sha256('node' || string_agg(prefix || ' ' || digest, '' order by prefix)) as digest from m)
+select prefix, n::bigint as n, digest from b union all select prefix, n::bigint, digest from m union all select prefix, n::bigint, digest from r
+""")
+def merkle_nodes(spark, sf_dir):
+    """The tree over documents as an archive has it over conversations, with two levels above its blocks."""
+    return merkle.nodes(merkle.leaves(_read(spark, sf_dir, "documents"), ["doc_id"], ["source", "text"]), 2)
+
+
 def _items(rows: DataFrame, conversation, seq, export, responses=None) -> DataFrame:
     """Items of one archive, from columns."""
     item = F.to_json(F.struct(conversation.alias("conversation"), *([responses.alias("responses")] if responses is not None else [])))
