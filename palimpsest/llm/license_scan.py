@@ -58,8 +58,13 @@ TEMPLATES = {
     "CC-BY": [
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
         "Licensed under CC BY 4.0.",
+        "This text is published under the Creative Commons Attribution licence.",
+    ],
+    "CC-BY-SA": [
+        "This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License.",
         "Content is available under CC BY-SA 4.0.",
         "This text is published under the Creative Commons Attribution ShareAlike licence.",
+        "Text is available under the Creative Commons Attribution Share Alike License.",
     ],
     "CC-BY-NC": [
         "Licensed under CC BY-NC 4.0.",
@@ -70,6 +75,8 @@ TEMPLATES = {
     "public-domain": [
         "This work has been dedicated to the public domain under CC0 1.0 Universal.",
         "Released into the public domain.",
+        "To the extent possible under law, the author has waived all copyright and related rights to this work.",
+        "This file is in the public domain.",
         "This is free and unencumbered software released into the public domain.",
     ],
     "proprietary": [
@@ -79,6 +86,34 @@ TEMPLATES = {
         "No part of this publication may be reproduced without the prior written permission of the publisher.",
     ],
 }
+# Short names and tags of the families, and the forms in which they are given.
+NAMES = {
+    "MIT": ["MIT"],
+    "Apache-2.0": ["Apache", "Apache 2.0", "Apache-2.0"],
+    "GPL": ["GPL", "GNU GPL", "GPLv2", "GPLv3", "GPL-2.0", "GPL-3.0"],
+    "LGPL": ["LGPL", "GNU LGPL", "LGPLv2", "LGPLv3", "LGPL-2.1", "LGPL-3.0"],
+    "BSD": ["BSD", "BSD 2-Clause", "BSD 3-Clause"],
+    "MPL-2.0": ["MPL", "MPL 2.0", "MPL-2.0"],
+    "CC-BY": ["CC BY", "CC BY 4.0", "CC-BY-4.0"],
+    "CC-BY-SA": ["CC BY-SA", "CC BY-SA 4.0", "CC-BY-SA-3.0"],
+    "CC-BY-NC": ["CC BY-NC", "CC BY-NC 4.0", "CC-BY-NC-SA-4.0"],
+    "public-domain": ["CC0", "CC0 1.0", "Unlicense"],
+}
+TAGS = {
+    "MIT": ["MIT"],
+    "Apache-2.0": ["Apache-2.0"],
+    "GPL": ["GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later"],
+    "LGPL": ["LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later"],
+    "BSD": ["BSD-2-Clause", "BSD-3-Clause"],
+    "MPL-2.0": ["MPL-2.0"],
+    "CC-BY": ["CC-BY-4.0"],
+    "CC-BY-SA": ["CC-BY-SA-4.0"],
+    "CC-BY-NC": ["CC-BY-NC-4.0"],
+    "public-domain": ["CC0-1.0", "Unlicense"],
+}
+FORMS = ["{} licensed", "Licensed under {}.", "Licensed under the {} license.", "License: {}", "Released under the {} licence.", "Available under the terms of the {} license."]
+for _family, _names in NAMES.items():
+    TEMPLATES[_family] += [form.format(name) for name in _names for form in FORMS] + [f"SPDX-License-Identifier: {tag}" for tag in TAGS[_family]]
 # Sentences that name licences and give none.
 NEGATIVES = [
     "He lost his driver's license on the way to the station.",
@@ -111,7 +146,10 @@ def _pairs(text: str) -> set[str]:
     return {g for g in _grams(_words(text)) if " " in g}
 
 
-TEMPLATE_PAIRS = [(name, _pairs(t)) for name, ts in TEMPLATES.items() for t in ts]
+TEMPLATE_PAIRS = [(name, _pairs(t)) for name, ts in TEMPLATES.items() for t in dict.fromkeys(ts) if _pairs(t)]
+#: How much a two-gram says of a family: one over the number of families that have it in a template.
+_HAVE = {g: {name for name, own in TEMPLATE_PAIRS if g in own} for _, two in TEMPLATE_PAIRS for g in two}
+SAYS = {g: 1 / len(names) for g, names in _HAVE.items()}
 #: Those that open the gate by themselves.
 DISTINCTIVE = {g for _, own in TEMPLATE_PAIRS for g in own if not FUNCTION_WORDS.issuperset(g.split(" "))}
 
@@ -181,7 +219,8 @@ def scan(docs: DataFrame, max_sample_docs: int = 200, max_sample_paragraphs: int
     """(doc_id, text, ...) -> doc_id, paragraph, family, probability, likeness, confirmed: a row for each paragraph with a licence.
 
     Paragraphs are lines, numbered from 0. A row is there where a family is likelier than ``least_probability``, after calibration; ``confirmed``
-    where the paragraph holds ``least_likeness`` of the two-grams of one of the family's templates. The unknown class is trained on
+    where the paragraph holds ``least_likeness`` of one of the family's templates: of its two-grams, each weighed by how few families have it, and at
+    least one that this family alone has. The unknown class is trained on
     ``max_sample_paragraphs`` paragraphs of ``max_sample_docs`` documents (both first by a hash; about ``max_sample_chars`` in all). Null and empty texts have no paragraphs with a licence.
     Repeated rows give repeated rows; other columns are ignored, whatever their names; an empty table gives an empty table.
     """
@@ -215,7 +254,9 @@ def scan(docs: DataFrame, max_sample_docs: int = 200, max_sample_paragraphs: int
     scored = sums.select("p", F.array(*(F.exp(x - top) for x in z)).alias("e"))
     scored = scored.withColumn("probability", F.expr("array_max(e) / aggregate(e, 0D, (a, x) -> a + x)")).withColumn("family", F.element_at(F.array(*map(F.lit, model.classes)), F.expr("cast(array_position(e, array_max(e)) as int)")))
     scored = scored.where((F.col("family") != UNKNOWN) & (F.col("probability") >= least_probability)).select("p", "family", "probability")
-    templates = spark.createDataFrame([(name, sorted(two)) for name, two in TEMPLATE_PAIRS], "family string, template array<string>")
-    like = scored.join(grams.select("p", "two"), "p").join(F.broadcast(templates), "family").groupBy("p").agg(F.max(F.size(F.array_intersect("two", "template")) / F.size("template")).alias("likeness"))
+    templates = spark.createDataFrame([(name, [(g, SAYS[g]) for g in sorted(two)], sum(SAYS[g] for g in sorted(two))) for name, two in TEMPLATE_PAIRS], "family string, template array<struct<g: string, says: double>>, whole double")
+    held = F.filter("template", lambda x: F.array_contains("two", x["g"]))
+    part = F.when(F.exists("held", lambda x: x["says"] == 1), F.aggregate("held", F.lit(0.0), lambda a, x: a + x["says"]) / F.col("whole")).otherwise(0.0)
+    like = scored.join(grams.select("p", "two"), "p").join(F.broadcast(templates), "family").withColumn("held", held).groupBy("p").agg(F.max(part).alias("likeness"))
     found = scored.join(like, "p")
     return hits.join(found, "p").select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), "family", F.round("probability", 6).alias("probability"), F.round("likeness", 6).alias("likeness"), (F.col("likeness") >= least_likeness).alias("confirmed"))
