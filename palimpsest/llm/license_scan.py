@@ -16,6 +16,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import materialize, release
+
 # How licences are commonly stated.
 TEMPLATES = {
     "MIT": [
@@ -240,7 +242,8 @@ def scan(docs: DataFrame, max_sample_docs: int = 200, max_sample_paragraphs: int
     rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "p"))
     # the words of the gate are found in the plain split of the lower-cased paragraph: those of a feature stand between marks or white space
     gate = F.arrays_overlap(F.split(F.lower("p"), r"[^\p{L}\p{N}_.]+|\.+(?![\p{L}\p{N}_])"), anchors)
-    hits = rows.where(gate | F.lower("p").rlike(_gate_of_pairs()))
+    # few lines pass the gate: they are written once, as they are read three times
+    hits = materialize(rows.where(gate | F.lower("p").rlike(_gate_of_pairs())), "gated-lines")
     distinct = hits.select("p").distinct().select("p", words.alias("w"))
     pairs = F.expr("case when size(w) > 1 then transform(sequence(0, size(w) - 2), i -> concat(get(w, i), ' ', get(w, i + 1))) else cast(array() as array<string>) end")
     grams = distinct.select("p", F.array_distinct(pairs).alias("two"), F.array_distinct(F.concat("w", pairs)).alias("all"))
@@ -259,4 +262,7 @@ def scan(docs: DataFrame, max_sample_docs: int = 200, max_sample_paragraphs: int
     part = F.when(F.exists("held", lambda x: x["says"] == 1), F.aggregate("held", F.lit(0.0), lambda a, x: a + x["says"]) / F.col("whole")).otherwise(0.0)
     like = scored.join(grams.select("p", "two"), "p").join(F.broadcast(templates), "family").withColumn("held", held).groupBy("p").agg(F.max(part).alias("likeness"))
     found = scored.join(like, "p")
-    return hits.join(found, "p").select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), "family", F.round("probability", 6).alias("probability"), F.round("likeness", 6).alias("likeness"), (F.col("likeness") >= least_likeness).alias("confirmed"))
+    out = hits.join(found, "p").select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), "family", F.round("probability", 6).alias("probability"), F.round("likeness", 6).alias("likeness"), (F.col("likeness") >= least_likeness).alias("confirmed"))
+    out = materialize(out, "licences")
+    release(hits)
+    return out
