@@ -19,6 +19,7 @@ from ..functions.text import content_digest, field_name, looks_like_uuid, snippe
 from ..operators import index, merkle, search, stats, trees
 from ..operators.merge import merge_assets, merge_conversations
 from ..operators.spans import spans
+from ..sources.blocks import local
 from ..sources.readers import parse_files, read_files
 from ..streaming.ingest import upsert
 from .query import Flags, compile_query, first_match, match_count, matches
@@ -328,7 +329,7 @@ def markdown_notes(spark, sf_dir):
 def _zipped(spark: SparkSession, entries: DataFrame) -> list[str]:
     """(zip, entry, body): a zip for each name in the shared folder, written by the tasks row by row, and their paths."""
     folder = _folder(spark)
-    place = folder.removeprefix("file://")
+    place = local(folder)
 
     def run(batches):
         out = None
@@ -374,7 +375,7 @@ def split_dump(spark, sf_dir):
     lines = ends.union(c.select(F.lit(1).alias("part"), item.alias("value"))).repartition(1).sortWithinPartitions("part").withColumn("no", F.monotonically_increasing_id())
     folder = _folder(spark)
     lines.select(F.concat(F.when((F.col("part") == 1) & (F.col("no") > 1), F.lit(",")).otherwise(F.lit("")), "value").alias("value")).write.text(f"{folder}/dump")
-    path = str(next(Path(f"{folder}/dump".removeprefix("file://")).glob("part-*")))
+    path = str(next(Path(local(f"{folder}/dump")).glob("part-*")))
     rows = read_files(spark, path, kind="assistant", work=f"{folder}/work", block=1 << 16, large=0).where("kind = 'assistant'")
     items = rows.select(F.lit("s").alias("service"), F.lit("a").alias("account"), F.col("place").cast("long").alias("seq"), F.lit(0).alias("export_index"), "item")
     return _messages(merge_conversations(items))
@@ -480,7 +481,7 @@ def indexed_alternatives(spark, sf_dir):
     return _indexed(spark, sf_dir, 'blere ingly OR "of heshti"').select("span_index")
 
 
-@query("select doc_id as span_index from documents where regexp_matches(text, '(^|[^A-Za-z0-9_])(MIT|Apache)($|[^A-Za-z0-9_])', 'ni')")
+@query(r"select doc_id as span_index from documents where regexp_matches(text, '(^|[^\p{L}\p{N}_])(MIT|Apache)($|[^\p{L}\p{N}_])', 'i')")
 def indexed_words(spark, sf_dir):
     """Whole words in any case: looked up by equality."""
     return _indexed(spark, sf_dir, "MIT OR apache", Flags(ignore_case=True, word=True)).select("span_index")

@@ -11,6 +11,7 @@ from __future__ import annotations
 import fnmatch
 import json
 import os
+import re
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -39,7 +40,7 @@ class ZipPart(InputPartition):
 
 
 def local(path: str) -> str:
-    return path.removeprefix("file://")
+    return re.sub("^file:/+", "/", path)
 
 
 def plain_entries(z: zipfile.ZipFile) -> list[zipfile.ZipInfo]:
