@@ -15,7 +15,7 @@ from .errors import ArchiveError, BrokenInputs, NoArchives, ScopeError, SourceEr
 from .functions.text import path_key
 from .operators import index, merkle
 from .operators.merge import ITEM, merge_assets, merge_conversations
-from .operators.search import MAX_COUNT, duplicate_omitted, hits, report, suppressed_clause, unique_hits
+from .operators.search import MAX_COUNT, duplicate_omitted, group_count, hits, report, suppressed_clause, unique_hits
 from .operators.spans import spans
 from .operators.stats import export_labels, span_stats
 from .plans.query import Flags, Query, compile_query
@@ -268,6 +268,11 @@ class Archives:
                 status({"event": "archive", "archive": name, "done": k, "of": len(names), "unique_hits": so_far})
         return report(found, q, max_count)
 
+    def group_count(self, pattern: str, flags: Flags | None = None, service: str | None = None, account: str | None = None) -> int:
+        """How many groups a report without a cap has."""
+        q = compile_query(pattern, flags)
+        return group_count(self.spans(service, account, q), q)
+
     def omitted(self, pattern: str, flags: Flags | None = None, service: str | None = None, account: str | None = None) -> int:
         """How many matches a report leaves out as duplicates."""
         q = compile_query(pattern, flags)

@@ -151,14 +151,13 @@ def _with_archives(a: argparse.Namespace, settings: dict, spark, out: IO[str], s
         s = settings["search"]
         service, account = scope_of(s["archive"], scope)
         flags = Flags(ignore_case=s["ignore_case"], fixed=s["fixed_strings"], word=s["word_regexp"])
-        groups = archives.search(a.pattern, flags, 0, service, account).cache()
-        shown, n = groups.limit(s["max_count"]) if s["max_count"] else groups, groups.count()
+        shown = archives.search(a.pattern, flags, s["max_count"], service, account)
         if s["format"] == "human":
-            print(hits_text(shown, f"{service}/{account}" if service else None, max(0, n - s["max_count"]) if s["max_count"] else 0, archives.omitted(a.pattern, flags, service, account)), file=out)
+            n = archives.group_count(a.pattern, flags, service, account) if s["max_count"] else 0
+            print(hits_text(shown, f"{service}/{account}" if service else None, max(0, n - s["max_count"]), archives.omitted(a.pattern, flags, service, account)), file=out)
         else:
             text = hits_json(shown)
             print(text if s["format"] == "json" else to_toon(json.loads(text)), file=out)
-        groups.unpersist()
     elif a.command == "stats":
         service, account = scope_of(settings["stats"]["archive"], scope)
         rows = [r.asDict(recursive=True) for r in archives.stats(service, account).collect()]

@@ -85,6 +85,11 @@ def report_segments(spans: DataFrame, q: Query, max_count: int = MAX_COUNT, size
     return out.select("snippet", "field", F.transform("o", lambda x: F.struct(x["archive"].alias("archive"), x["conversation_id"].alias("conversation_id"), x["field"].alias("field"))).alias("occurrences"), F.col("first").alias("ord"), "segment", "text").orderBy("ord", "segment")
 
 
+def group_count(spans: DataFrame, q: Query) -> int:
+    """How many groups there are in all: different digests of texts, without their order, texts or occurrences."""
+    return hits(spans, q).select(F.sha2("text", 256).alias("digest")).distinct().count()
+
+
 def duplicate_omitted(spans: DataFrame, q: Query) -> DataFrame:
     """archive, matches, hits, duplicate_omitted: matches that aren't shown as hits, for queries of one term an alternative."""
     check_java(spans.sparkSession, q)

@@ -41,13 +41,33 @@ def _taken(params: dict, kinds: dict[str, type]) -> dict:
     return out
 
 
+_SCOPE = {"service": str, "account": str}
+#: What each function takes, and what it needs.
+PARAMS: dict[str, tuple[dict[str, type], tuple[str, ...]]] = {
+    "list_archives": ({}, ()),
+    "search": ({"pattern": str, "ignore_case": bool, "fixed_strings": bool, "word_regexp": bool, "max_count": int, **_SCOPE}, ("pattern",)),
+    "stats": (_SCOPE, ("service", "account")),
+    "ingest": ({"inputs": list, **_SCOPE}, ()),
+    "scoped_path": (_SCOPE, ("service", "account")),
+    "infer_export": ({"input": str}, ("input",)),
+}
+
+
+def schema(name: str) -> dict:
+    """A function's parameters as a JSON schema; lists are of strings."""
+    kinds = {str: {"type": "string"}, bool: {"type": "boolean"}, int: {"type": "integer", "minimum": 0}, list: {"type": "array", "items": {"type": "string"}}}
+    params, needed = PARAMS[name]
+    out = {"type": "object", "properties": {k: kinds[t] for k, t in params.items()}, "additionalProperties": False}
+    return out | ({"required": list(needed)} if needed else {})
+
+
 def _list_archives(a: Archives, p: dict) -> dict:
-    _taken(p, {})
+    _taken(p, PARAMS["list_archives"][0])
     return {"archives": a.list()}
 
 
 def _search(a: Archives, p: dict) -> dict:
-    p = _taken(p, {"pattern": str, "ignore_case": bool, "fixed_strings": bool, "word_regexp": bool, "max_count": int, "service": str, "account": str})
+    p = _taken(p, PARAMS["search"][0])
     if "pattern" not in p:
         raise RpcError(INVALID_PARAMS, "pattern is required")
     if p.get("max_count", 0) < 0:
@@ -59,14 +79,14 @@ def _search(a: Archives, p: dict) -> dict:
 
 
 def _stats(a: Archives, p: dict) -> dict:
-    p = _taken(p, {"service": str, "account": str})
+    p = _taken(p, _SCOPE)
     if len(p) != 2:
         raise RpcError(INVALID_PARAMS, "service and account are required")
     return {"stats": [r.asDict(recursive=True) for r in a.stats(p["service"], p["account"]).collect()]}
 
 
 def _ingest(a: Archives, p: dict) -> dict:
-    p = _taken(p, {"inputs": list, "service": str, "account": str})
+    p = _taken(p, PARAMS["ingest"][0])
     if not p.get("inputs"):
         if p.get("service") or p.get("account"):
             raise RpcError(INVALID_PARAMS, "a service or account needs inputs")
@@ -76,14 +96,14 @@ def _ingest(a: Archives, p: dict) -> dict:
 
 
 def _scoped_path(a: Archives, p: dict) -> dict:
-    p = _taken(p, {"service": str, "account": str})
+    p = _taken(p, _SCOPE)
     if len(p) != 2:
         raise RpcError(INVALID_PARAMS, "service and account are required")
     return {"path": scoped_path(a.root, p["service"], p["account"])}
 
 
 def _infer_scope(a: Archives, p: dict) -> dict:
-    p = _taken(p, {"input": str})
+    p = _taken(p, PARAMS["infer_export"][0])
     if "input" not in p:
         raise RpcError(INVALID_PARAMS, "input is required")
     service, account = infer_scope(p["input"])
@@ -115,7 +135,7 @@ def _dispatch(archives: Archives, method: str, params: dict, dialect: str) -> di
     if method == "ping" or method.startswith("notifications/"):
         return {}
     if method == "tools/list":
-        return {"tools": [{"name": n, "description": d, "inputSchema": {"type": "object"}} for n, (_, d) in FUNCTIONS.items()]}
+        return {"tools": [{"name": n, "description": d, "inputSchema": schema(n)} for n, (_, d) in FUNCTIONS.items()]}
     if method == "tools/call":
         if not isinstance(params.get("name"), str):
             raise RpcError(INVALID_PARAMS, "name is required")

@@ -92,3 +92,18 @@ def test_http(archives):
     finally:
         server.shutdown()
         server.server_close()
+
+
+def test_every_function_tells_its_parameters(spark, tmp_path):
+    """A schema for each, and what it says is what is taken: unknown names and missing ones are errors."""
+    from palimpsest.archive import Archives
+
+    a = Archives(spark, str(tmp_path))
+    assert set(rpc.PARAMS) == set(rpc.FUNCTIONS)
+    assert rpc.schema("search")["required"] == ["pattern"] and rpc.schema("search")["properties"]["max_count"] == {"type": "integer", "minimum": 0}
+    assert rpc.schema("ingest")["properties"]["inputs"] == {"type": "array", "items": {"type": "string"}} and "required" not in rpc.schema("ingest")
+    for name, (_, needed) in rpc.PARAMS.items():
+        assert rpc.schema(name)["additionalProperties"] is False
+        for bad in ([{"other": 1}] + [{}] * bool(needed)):
+            with pytest.raises(rpc.RpcError):
+                rpc.call(a, name, bad)
