@@ -1,4 +1,10 @@
-"""Archives: Parquet tables by service and account, written aside and then renamed."""
+"""Archives: Parquet tables by service and account.
+
+An ingest writes a version: a folder with what it adds, and a manifest. Dumps and what lies beside them (``ADDED``) are only ever added to, so
+a table is what all versions have. Merged conversations, their spans and leaves (``BUCKETED``) are dealt to buckets by their ids; a version
+writes those buckets whose conversations have new dumps, and its manifest tells which version holds each bucket. So the work of an ingest is that
+of the dumps that it reads and the buckets that they fall in, not that of the archive.
+"""
 
 from __future__ import annotations
 
@@ -8,33 +14,41 @@ import uuid
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .errors import ArchiveError, BrokenInputs, NoArchives, ScopeError, SourceError
 from .functions.text import path_key
 from .operators import index, merkle
-from .operators.merge import ITEM, merge_assets, merge_conversations
+from .operators.merge import ITEM, STATE, merge_assets
 from .operators.search import MAX_COUNT, duplicate_omitted, group_count, hits, report, suppressed_clause, unique_hits
-from .operators.spans import spans
+from .operators.spans import SPANS, spans
 from .operators.stats import export_labels, span_stats
 from .plans.query import Flags, Query, compile_query
 from .sources.discover import by_scope, check_part, discover, discover_home, infer_scope, scoped_path, without_copies, without_unpacked
 from .sources.readers import TAGGED, read_files
 from .sources.readers import assets as read_assets
+from .streaming.ingest import upsert
 
-TABLES = ("items", "exports", "conversations", "spans", "tagged", "assets")
+#: Tables that are added to, and tables by buckets with their columns.
+ADDED = ("items", "exports", "tagged", "assets")
+LEAVES = "place string, leaf string"
+BUCKETED = {"conversations": STATE, "spans": SPANS, "leaves": LEAVES}
 #: Fixed value: archives of another version aren't read.
-VERSION = 2
+VERSION = 3
+#: Buckets of a new archive. One bucket is rewritten whole for one new dump in it, and is a folder of files in each of its tables.
+BUCKETS = 64
 TAGGED_ROW = "service string, account string, export_index int, kind string, path string, value string"
+EXPORT_ROW = "service string, account string, export_index int, source_path string, id string"
 ASSET_ROW = "digest string, uuid string, relative_path string, size long, mtime timestamp, export_index int, seq long"
+ADDED_ROWS = {"items": ITEM, "exports": EXPORT_ROW, "tagged": TAGGED_ROW, "assets": ASSET_ROW}
 
 
 class Archives:
     """All archives below a folder. An archive is a folder of versions; a file names the one that holds."""
 
-    def __init__(self, spark: SparkSession, root: str, codec: str = "zstd", level: int = 3, skips: tuple[str, ...] = ()):
-        self.spark, self.root, self.codec, self.level, self.skips = spark, root.rstrip("/"), codec, level, skips
+    def __init__(self, spark: SparkSession, root: str, codec: str = "zstd", level: int = 3, skips: tuple[str, ...] = (), buckets: int = BUCKETS):
+        self.spark, self.root, self.codec, self.level, self.skips, self.buckets = spark, root.rstrip("/"), codec, level, skips, buckets
 
     # ------------------------------------------------ files
 
@@ -46,10 +60,15 @@ class Archives:
         fs, p = self._fs(path)
         return fs.exists(p)
 
-    def _write(self, df: DataFrame, path: str) -> DataFrame:
-        df.write.option("compression", self.codec).option("parquet.compression.codec.zstd.level", str(self.level)).parquet(path)
+    def _write(self, df: DataFrame, path: str, by: str | None = None) -> DataFrame:
+        writer = df.write.option("compression", self.codec).option("parquet.compression.codec.zstd.level", str(self.level))
+        (writer.partitionBy(by) if by else writer).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def _delete(self, path: str) -> None:
+        fs, p = self._fs(path)
+        fs.delete(p, True)
+
     def _text(self, path: str, text: str | None = None) -> str:
         """Reads a small file, or writes it."""
         fs, p = self._fs(path)
@@ -80,34 +99,66 @@ class Archives:
         options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
         options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         files.rename(new, old, options)
-        for s in fs.listStatus(self._fs(f"{at}/versions")[1]):
-            name = s.getPath().getName()
-            manifest = jvm.org.apache.hadoop.fs.Path(s.getPath(), "manifest.json")
-            if name not in (version, before) and fs.exists(manifest):  # one without a manifest is being written
-                fs.delete(s.getPath(), True)
+        self._clear(at, version, before)
+
+    def _manifest(self, at: str, version: str) -> dict:
+        return json.loads(self._text(f"{at}/versions/{version}/manifest.json"))
+
+    def _clear(self, at: str, version: str, before: str | None) -> None:
+        """The version two before can't be read any more: its buckets that neither of the later two has go, whichever version wrote them.
+        What was added by it stays."""
+        kept = [self._manifest(at, v) for v in (version, before) if v]
+        old = kept[-1]["before"] if before else None
+        if not old or not self.exists(f"{at}/versions/{old}/manifest.json"):
+            return
+        held = {(v, b) for m in kept for b, v in m["holds"].items()}
+        gone = {(v, b) for b, v in self._manifest(at, old)["holds"].items()} - held
+        for v, b in gone:
+            for name in BUCKETED:
+                self._delete(f"{at}/versions/{v}/{name}/bucket={b}")
+        for v in {v for v, _ in gone} - {v for v, _ in held}:
+            for name in ("index", *BUCKETED):
+                self._delete(f"{at}/versions/{v}/{name}")
+        for name in ("merkle", "manifest.json"):
+            self._delete(f"{at}/versions/{old}/{name}")
 
     def table(self, at: str, name: str) -> DataFrame:
         """A table of the version that holds; its manifest is checked first."""
-        return self.spark.read.parquet(f"{self._open(at)}/{name}")
+        return self._table(at, self._open(at), name)
 
-    def _open(self, at: str) -> str:
+    def _table(self, at: str, manifest: dict, name: str) -> DataFrame:
+        if name in ADDED:
+            return self.spark.read.schema(ADDED_ROWS[name]).parquet(*[f"{at}/versions/{v}/{name}" for v in manifest["versions"]])
+        out = None
+        for v, own in _holders(manifest["holds"]).items():
+            rows = self._buckets(at, v, name, own).drop("bucket")
+            out = rows if out is None else out.unionByName(rows)
+        return self.spark.createDataFrame([], BUCKETED[name]) if out is None else out
+
+    def _buckets(self, at: str, version: str, name: str, own: list[int]) -> DataFrame:
+        """Buckets that one version wrote, with their numbers: the folders of others aren't read."""
+        return self.spark.read.schema(BUCKETED[name] + ", bucket int").parquet(f"{at}/versions/{version}/{name}").where(F.col("bucket").isin(own))
+
+    def _open(self, at: str) -> dict:
         if not self.exists(f"{at}/CURRENT"):
             raise ArchiveError(f"{at}: not an archive")
-        folder = f"{at}/versions/{self._text(f'{at}/CURRENT').strip()}"
+        version = self._text(f"{at}/CURRENT").strip()
         try:
-            manifest = json.loads(self._text(f"{folder}/manifest.json"))
+            manifest = self._manifest(at, version)
         except Exception as e:
             raise ArchiveError(f"{at}: no manifest: {str(e).splitlines()[0]}") from None
         if manifest.get("version") != VERSION:
             raise ArchiveError(f"{at}: version {manifest.get('version')}, not {VERSION}")
-        if missing := [t for t in TABLES if not self.exists(f"{folder}/{t}")]:
+        needed = [f"{v}/{t}" for v in manifest["versions"] for t in ADDED] + [f"{v}/{t}" for v in set(manifest["holds"].values()) for t in BUCKETED]
+        if missing := [t for t in needed if not self.exists(f"{at}/versions/{t}")]:
             raise ArchiveError(f"{at}: without {', '.join(missing)}")
-        return folder
+        return manifest | {"current": version}
 
     # ------------------------------------------------ ingest
 
     def ingest(self, *paths: str, service: str | None = None, account: str | None = None, kind: str | None = None, skip_broken: bool = False) -> dict:
-        """Adds exports to an archive: what is there, and the new dumps in order, are merged and indexed again.
+        """Adds exports to an archive: the new dumps are folded, in order, into the conversations of the buckets that they fall in; these
+        buckets are written and indexed again, the others stay as they are. The report tells how many were written.
 
         Local paths are discovered first (a folder is taken for one kind of export), and copies of one export are read once.
         A broken input is an error and nothing is written, unless ``skip_broken``: then the report lists it.
@@ -128,9 +179,7 @@ class Archives:
             service, account = scopes.pop()
         at = scoped_path(self.root, check_part(service), check_part(account))
         old = self._open(at) if self.exists(f"{at}/CURRENT") else None
-        have = {t: self.spark.read.parquet(f"{old}/{t}") for t in TABLES} if old else {}
-        first = have["exports"].agg(F.coalesce(F.max("export_index"), F.lit(-1))).first()[0] + 1 if old else 0
-        base = have["items"].agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0] + 1 if old else 0
+        first, base, buckets = (old["exports"], old["next_seq"], old["buckets"]) if old else (0, 0, self.buckets)
         version = uuid.uuid4().hex
         new = f"{at}/versions/{version}"
         try:
@@ -155,32 +204,50 @@ class Archives:
             dumps = counts.groupBy("export_index").agg(F.sum("c").alias("c")).selectExpr("export_index", "coalesce(sum(c) over (order by export_index rows between unbounded preceding and 1 preceding), 0) as before")
             numbered = read.selectExpr("*", "row_number() over (partition by export_index, path order by place) - 1 as n").join(starts, ["export_index", "path"]).join(F.broadcast(dumps), "export_index")
             items = numbered.select(F.lit(service).alias("service"), F.lit(account).alias("account"), (F.col("before") + F.col("off") + F.col("n") + base).cast("long").alias("seq"), "export_index", "item")
-            exports = self.spark.createDataFrame([(service, account, first + k, p, None) for k, p in enumerate(paths)], "service string, account string, export_index int, source_path string, id string")
+            exports = self.spark.createDataFrame([(service, account, first + k, p, None) for k, p in enumerate(paths)], EXPORT_ROW)
             assets = self.spark.createDataFrame([], ASSET_ROW) if assets is None else assets.select(*[f.split()[0] for f in ASSET_ROW.split(", ")])
-            if old:
-                items, exports, tagged, assets = have["items"].unionByName(items), have["exports"].unionByName(exports), have["tagged"].unionByName(tagged), have["assets"].unionByName(assets)
             kept = self._write(items.select(*[c.split()[0] for c in ITEM.split(", ")]), f"{new}/items")
             self._write(exports, f"{new}/exports")
             self._write(tagged, f"{new}/tagged")
             self._write(assets, f"{new}/assets")
-            merged = self._write(merge_conversations(kept), f"{new}/conversations")
-            # in order of conversations, so that a search by index can leave out most of the file
-            own = self._write(spans(merged.repartitionByRange("seq").sortWithinPartitions("seq")), f"{new}/spans")
-            index.build(own, f"{new}/index", options={"compression": self.codec, "parquet.compression.codec.zstd.level": str(self.level)})
-            n = merged.count()
+            # buckets with new dumps: as many numbers as there are buckets at most
+            here = kept.select(_bucket(F.get_json_object("item", "$.conversation.id"), buckets).alias("b")).distinct()
+            touched = sorted(r["b"] for r in here.collect())
+            state = None
+            for v, own in _holders({b: v for b, v in (old["holds"] if old else {}).items() if int(b) in touched}).items():
+                rows = self._buckets(at, v, "conversations", own).drop("bucket")
+                state = rows if state is None else state.unionByName(rows)
+            folded = self._write(upsert(state, kept).withColumn("bucket", _bucket(F.col("id"), buckets)), f"{new}/work/folded")
+            # in order of buckets and conversations: a bucket is cut where it is large, and a search by index can leave out most of a file
+            merged = self._write(folded.repartitionByRange("bucket", "seq").sortWithinPartitions("bucket", "seq"), f"{new}/conversations", "bucket")
+            texts = spans(merged).withColumn("bucket", _bucket(F.col("conversation_id"), buckets))
+            own = self._write(texts.repartitionByRange("bucket", "seq").sortWithinPartitions("bucket", "span_index"), f"{new}/spans", "bucket")
+            index.build(own.drop("bucket"), f"{new}/index", options={"compression": self.codec, "parquet.compression.codec.zstd.level": str(self.level)})
+            leaves = self._write(_leaves(merged, "bucket").repartitionByRange("bucket", "place").sortWithinPartitions("bucket"), f"{new}/leaves", "bucket")
+            sizes = {str(r["bucket"]): r["count"] for r in leaves.groupBy("bucket").count().collect()}
+            manifest = {
+                "version": VERSION,
+                "buckets": buckets,
+                "exports": first + len(paths),
+                "next_seq": base + kept.count(),
+                "versions": [*(old["versions"] if old else []), version],
+                "holds": (old["holds"] if old else {}) | dict.fromkeys(sizes, version),
+                "sizes": (old["sizes"] if old else {}) | sizes,
+                "before": old["current"] if old else None,
+            }
+            n = sum(manifest["sizes"].values())
             depth = merkle.depth_for(n)
-            tree = self._write(merkle.nodes(_leaves(merged), depth), f"{new}/merkle")
-            self._text(f"{new}/manifest.json", json.dumps({"version": VERSION, "conversations": n, "depth": depth, "digest": _root(tree)}))
+            tree = self._write(merkle.nodes(self._table(at, manifest, "leaves"), depth), f"{new}/merkle")
+            self._text(f"{new}/manifest.json", json.dumps(manifest | {"conversations": n, "depth": depth, "digest": _root(tree)}))
             for name in ("staged", "work"):
-                fs, staged = self._fs(f"{new}/{name}")
-                fs.delete(staged, True)
-            self._switch(at, version, old.rsplit("/", 1)[-1] if old else None)
+                self._delete(f"{new}/{name}")
+            self._switch(at, version, old["current"] if old else None)
         except BaseException:
             fs, p = self._fs(new)
             if fs.exists(p):
                 fs.delete(p, True)
             raise
-        return {"output": at, "exports": first + len(paths), "conversations": n} | ({"problems": problems} if problems else {})
+        return {"output": at, "exports": first + len(paths), "conversations": n, "buckets_written": len(sizes)} | ({"problems": problems} if problems else {})
 
     @staticmethod
     def _summaries(path: str) -> list[str]:
@@ -191,28 +258,31 @@ class Archives:
         return [self.ingest(*paths, service=s, account=a) for (s, a), paths in by_scope(discover_home(home, depth, self.skips)).items()]
 
     def _tree(self, service: str, account: str) -> tuple[str, dict, DataFrame]:
-        folder = self._open(scoped_path(self.root, service, account))
-        manifest = json.loads(self._text(f"{folder}/manifest.json"))
-        return folder, manifest, merkle.nodes(_leaves(self.spark.read.parquet(f"{folder}/conversations")), manifest["depth"])
+        at = scoped_path(self.root, service, account)
+        manifest = self._open(at)
+        return at, manifest, merkle.nodes(_leaves(self._table(at, manifest, "conversations")), manifest["depth"])
 
     def verify(self, service: str, account: str) -> bool:
         """Whether the conversations are those that the manifest was written for."""
         _, manifest, tree = self._tree(service, account)
         return _root(tree) == manifest["digest"]
 
+    def _stored_tree(self, at: str, manifest: dict) -> DataFrame:
+        return self.spark.read.parquet(f"{at}/versions/{manifest['current']}/merkle")
+
     def differing(self, service: str, account: str) -> DataFrame:
         """prefix, have, want: the blocks of conversations that aren't as they were written; no rows in a sound archive."""
-        folder, _, tree = self._tree(service, account)
-        return merkle.differing(tree, self.spark.read.parquet(f"{folder}/merkle"))
+        at, manifest, tree = self._tree(service, account)
+        return merkle.differing(tree, self._stored_tree(at, manifest))
 
     def proof(self, service: str, account: str, conversation_id: str) -> tuple[str, str, list[dict], str]:
         """(place, leaf, steps, root) for one conversation; see ``merkle.proves``."""
-        folder, manifest, _ = self._tree(service, account)
-        conversations = self.spark.read.parquet(f"{folder}/conversations")
+        at, manifest, _ = self._tree(service, account)
+        conversations = self._table(at, manifest, "conversations")
         own = _leaves(conversations.where(F.col("id") == conversation_id)).first()
         if own is None:
             raise ArchiveError(f"{service}/{account}: no conversation {conversation_id}")
-        steps = merkle.proof(_leaves(conversations), self.spark.read.parquet(f"{folder}/merkle"), manifest["depth"], own["place"])
+        steps = merkle.proof(self._table(at, manifest, "leaves"), self._stored_tree(at, manifest), manifest["depth"], own["place"])
         return own["place"], own["leaf"], steps, manifest["digest"]
 
     def assets(self, service: str, account: str) -> DataFrame:
@@ -241,10 +311,8 @@ class Archives:
         for n in names:
             at = scoped_path(self.root, *n.split("/"))
             try:
-                folder = self._open(at)
-                own = self.spark.read.parquet(f"{folder}/spans")
-                if q and self.exists(f"{folder}/index/totals"):
-                    own = index.TermIndex(self.spark, f"{folder}/index").narrowed(own, q)
+                manifest = self._open(at)
+                own = self._table(at, manifest, "spans") if q is None else self._narrowed(at, manifest, q)
             except ArchiveError as e:
                 if service:
                     raise
@@ -255,6 +323,15 @@ class Archives:
             raise NoArchives(f"no readable archives in {self.root}")
         return out
 
+    def _narrowed(self, at: str, manifest: dict, q: Query) -> DataFrame:
+        """Each version's buckets by the index that was written with them. It may tell of buckets that a later version has, too: these
+        aren't read."""
+        out = self.spark.createDataFrame([], SPANS)
+        for v, own in _holders(manifest["holds"]).items():
+            terms = index.TermIndex(self.spark, f"{at}/versions/{v}/index")
+            out = out.unionByName(terms.narrowed(self._buckets(at, v, "spans", own), q).drop("bucket"))
+        return out
+
     def search(self, pattern: str, flags: Flags | None = None, max_count: int = MAX_COUNT, service: str | None = None, account: str | None = None, status: Callable[[dict], None] | None = None) -> DataFrame:
         """``status`` is told how many archives there are, and of each, in order, how many unique hits there are so far."""
         q = compile_query(pattern, flags)  # a bad pattern fails before anything is read
@@ -287,8 +364,21 @@ class Archives:
         return span_stats(self.spans(service, account)).join(export_labels(exports), "archive", "left").orderBy(path_key(F.col("archive")))
 
 
-def _leaves(conversations: DataFrame) -> DataFrame:
-    return merkle.leaves(conversations, ["id", "seq"], ["export_indices", "item"])
+def _bucket(conversation_id: Column, buckets: int) -> Column:
+    """Conversations without an id, which are merged with nothing, are dealt by their numbers."""
+    return F.pmod(F.xxhash64(F.coalesce(conversation_id, F.concat(F.lit("seq "), F.col("seq").cast("string")))), F.lit(buckets)).cast("int")
+
+
+def _holders(holds: dict[str, str]) -> dict[str, list[int]]:
+    """bucket -> version as version -> its buckets."""
+    out: dict[str, list[int]] = {}
+    for b, v in holds.items():
+        out.setdefault(v, []).append(int(b))
+    return out
+
+
+def _leaves(conversations: DataFrame, *more: str) -> DataFrame:
+    return merkle.leaves(conversations, ["id", "seq"], ["export_indices", "item"], more)
 
 
 def _root(tree: DataFrame) -> str | None:

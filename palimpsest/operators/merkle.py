@@ -31,10 +31,10 @@ def depth_for(rows: int, block: int = BLOCK) -> int:
     return depth
 
 
-def leaves(df: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
-    """place, leaf: a row for each row; equal rows have equal ones."""
+def leaves(df: DataFrame, key: list[str], columns: list[str], more: tuple[str, ...] = ()) -> DataFrame:
+    """place, leaf: a row for each row; equal rows have equal ones. Columns ``more`` are passed through."""
     place = F.sha2(F.concat(*map(_encoded, map(F.col, key))), 256)
-    return df.select(place.alias("place"), F.sha2(F.concat(F.lit(LEAF), *map(_encoded, map(F.col, [*key, *columns]))), 256).alias("leaf"))
+    return df.select(place.alias("place"), F.sha2(F.concat(F.lit(LEAF), *map(_encoded, map(F.col, [*key, *columns]))), 256).alias("leaf"), *more)
 
 
 def _node(children: Column) -> Column:

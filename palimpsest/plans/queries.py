@@ -364,23 +364,49 @@ def zipped_notes(spark, sf_dir):
     return part.select("zip", "conversation_id", "title", F.expr("substring(message, length(title) + 4)").alias("body"))
 
 
+def _one_dump(spark: SparkSession, items: DataFrame, folder: str, head: str = "", tail: str = "") -> str:
+    """Items (value) as one file, as exports come: one task writes its lines, one after the other. Its path."""
+    ends = spark.createDataFrame([(0, "{" + head + '"conversations":['), (2, "]" + tail + "}")], "part int, value string")
+    lines = ends.union(items.select(F.lit(1).alias("part"), "value")).repartition(1).sortWithinPartitions("part").withColumn("no", F.monotonically_increasing_id())
+    lines.select(F.concat(F.when((F.col("part") == 1) & (F.col("no") > 1), F.lit(",")).otherwise(F.lit("")), "value").alias("value")).write.text(folder)
+    return str(next(Path(local(folder)).glob("part-*")))
+
+
 @query("select cast(conv_id as varchar) as conversation_id, row_number() over (partition by conv_id order by turn) as n, text from conversations where text <> ''")
 def split_dump(spark, sf_dir):
     """One dump of all conversations, a single JSON object in a zip, cut into its items by many tasks."""
     message = F.concat(F.lit('{"response":'), F.to_json(F.struct(F.col("turn").cast("string").alias("_id"), F.col("text").alias("message"))), F.lit("}"))
     c = _read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", message.alias("m")))).alias("t"))
     item = F.concat(F.lit('{"conversation":{"id":"'), "conv_id", F.lit('"},"responses":['), F.array_join("t.m", ","), F.lit("]}"))
-    ends = spark.createDataFrame([(0, '{"odd":1,"conversations":['), (2, '],"media_posts":[],"settings":{"a":1}}')], "part int, value string")
-    # one file, as exports come: one task writes its lines, one after the other
-    lines = ends.union(c.select(F.lit(1).alias("part"), item.alias("value"))).repartition(1).sortWithinPartitions("part").withColumn("no", F.monotonically_increasing_id())
     folder = _folder(spark)
-    lines.select(F.concat(F.when((F.col("part") == 1) & (F.col("no") > 1), F.lit(",")).otherwise(F.lit("")), "value").alias("value")).write.text(f"{folder}/dump")
-    path = str(next(Path(local(f"{folder}/dump")).glob("part-*")))
+    path = _one_dump(spark, c.select(item.alias("value")), f"{folder}/dump", '"odd":1,', ',"media_posts":[],"settings":{"a":1}')
     rows = read_files(spark, path, kind="assistant", work=f"{folder}/work", block=1 << 16, large=0).where("kind = 'assistant'")
     items = rows.select(F.lit("s").alias("service"), F.lit("a").alias("account"), F.col("place").cast("long").alias("seq"), F.lit(0).alias("export_index"), "item")
     return _messages(merge_conversations(items))
 
 
+@query("""
+with t as (select *, max(turn) over (partition by conv_id) as last from conversations)
+select cast(conv_id as varchar) as conversation_id, count(*) filter (text <> '') as messages, case when any_value(conv_id) % 20 = 0 then 2 else 1 end as n_dumps,
+  sha256(coalesce(string_agg(text, '|' order by turn) filter (text <> ''), '')) as digest from t group by conv_id
+""")
+def bucketed_ingest(spark, sf_dir):
+    """An archive of all conversations, of which a later dump has every twentieth again with one response more: only the buckets
+    of these are written again, and the archive's spans are those of both dumps."""
+    message = F.concat(F.lit('{"response":'), F.to_json(F.struct(F.col("turn").cast("string").alias("_id"), F.col("text").alias("message"))), F.lit("}"))
+    c = _read(spark, sf_dir, "conversations").selectExpr("*", "max(turn) over (partition by conv_id) as last")
+    folder = _folder(spark)
+    archives = Archives(spark, f"{folder}/archives", buckets=32)
+    for name, own in (("first", c.where("conv_id % 20 <> 0 or turn < last")), ("second", c.where("conv_id % 20 = 0"))):
+        responses = own.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", message.alias("m")))), lambda x: x["m"]), ",").alias("r"))
+        item = F.concat(F.lit('{"conversation":{"id":"'), "conv_id", F.lit('"},"responses":['), "r", F.lit("]}"))
+        archives.ingest(_one_dump(spark, responses.select(item.alias("value")), f"{folder}/{name}"), service="s", account="a", kind="assistant")
+    merged = archives.table(f"{folder}/archives/service=s/account=a", "conversations").select(F.col("id").alias("conversation_id"), "n_dumps")
+    texts = archives.spans("s", "a").groupBy("conversation_id").agg(F.count("*").alias("messages"), F.array_sort(F.collect_list(F.struct("span_index", "text"))).alias("t"))
+    joined = F.coalesce(F.array_join("t.text", "|"), F.lit(""))
+    return merged.join(texts, "conversation_id", "left").select("conversation_id", F.coalesce("messages", F.lit(0).cast("long")).alias("messages"), "n_dumps", F.sha2(joined, 256).alias("digest"))
+
+
 @query("select 'card ' || item_id as conversation_id, 'one, two, ' || item_id as summary, trim(text) as body from benchmark")
 def story_cards(spark, sf_dir):
     """Cards with a list of keys; those without a title are left out."""
