@@ -207,7 +207,7 @@ def _session_archives(spark: SparkSession, sf_dir: str) -> Archives:
     folder = _folder(spark)
     archives = Archives(spark, f"{folder}/archives")
     chats = _read(spark, sf_dir, "conversations")
-    for role in ("user", "assistant"):
+    for role in ("user", "assistant", "system"):
         for dump, keep in (("a", "conv_id % 3 < 2"), ("b", "conv_id % 3 > 0")):
             line = F.to_json(F.struct(F.concat_ws("-", "conv_id", "turn").alias("_id"), F.lit(role).alias("type"), F.col("text").alias("content")))
             chats.where(F.col("role") == role).where(keep).select(line.alias("value")).write.text(f"{folder}/{role}/{dump}")
@@ -215,17 +215,22 @@ def _session_archives(spark: SparkSession, sf_dir: str) -> Archives:
     return archives
 
 
-@query("select distinct 'sessions/' || role as archive from conversations where role in ('user', 'assistant')")
+@query("select distinct 'sessions/' || role as archive from conversations where role in ('user', 'assistant', 'system')")
 def list_archives(spark, sf_dir):
     """Archives that were ingested, as they are listed."""
     return spark.createDataFrame([(n,) for n in _session_archives(spark, sf_dir).list()], "archive string")
 
 
-@query("select text, count(*) as places from conversations where role = 'assistant' and contains(text, 'tion') group by text")
+@query("""
+with d as (select text, 'a' as dump from conversations where role = 'assistant' and conv_id % 3 < 2 union select text, 'b' from conversations where role = 'assistant' and conv_id % 3 > 0)
+select text, count(*) as places from d where contains(text, 'tion') group by text
+""")
 def search_scoped(spark, sf_dir):
-    """A search of one archive of two, its dumps written to part files and ingested: a turn may be in two parts, once each."""
+    """A search of one archive of three, its dumps written to part files and ingested; places are the dumps that have the text. A part file's
+    name, which is the conversation's, tells which write it is of."""
     found = _session_archives(spark, sf_dir).search("tion", Flags(fixed=True), 0, "sessions", "assistant")
-    return found.select("text", F.lit(1).cast("long").alias("places"))
+    dumps = F.array_distinct(F.transform("occurrences.conversation_id", lambda x: F.regexp_extract(x, "^part-[0-9]+-([0-9a-f-]{36})", 1)))
+    return found.select("text", F.size(dumps).cast("long").alias("places"))
 
 
 def _dump(spark, files: DataFrame, kind: str, service: str = "s") -> DataFrame:
@@ -561,14 +566,21 @@ def merge_newest(spark, sf_dir):
     return got.select(F.col("id").cast("long").alias("conv_id"), F.regexp_replace(F.get_json_object("item", "$.conversation.title"), "\u0001+$", "").alias("title"))
 
 
-@query("select conv_id, count(*) as kept, cast(sum(strlen(text)) as bigint) as bytes from (select conv_id, role, arg_max(text, strlen(text) * 100000 - turn) as text from conversations group by conv_id, role) group by conv_id")
+@query("""
+with t as (select conv_id, role, turn, coalesce('=' || text, '-') as x, coalesce(strlen(text), 0) as s from conversations),
+r as (select *, max(s) over w as most, arg_max(x, s * 100000 - turn) over w as longest from t window w as (partition by conv_id, role order by turn rows between unbounded preceding and 1 preceding)),
+beside as (select distinct conv_id, role, x, s from r where s <= most and x <> longest),
+k as (select conv_id, role, max(s) as s from t group by conv_id, role union all select conv_id, role, s from beside)
+select conv_id, count(*) as kept, cast(sum(s) as bigint) as bytes from k group by conv_id
+""")
 def response_merge(spark, sf_dir):
-    """A dump for each turn whose response has the role as its id: the longest message of each id stays in its place."""
+    """A dump for each turn whose response has the role as its id: a longer message takes the place of the first of its id, a shorter one is kept
+    beside it, once. All that the fold keeps is counted."""
     c = _read(spark, sf_dir, "conversations")
     got = merge_conversations(_items(c, F.struct(F.col("conv_id").cast("string").alias("id")), F.col("turn"), F.col("turn"), F.array(F.struct(F.struct(F.col("role").alias("_id"), F.col("text").alias("message")).alias("response")))))
-    first = F.from_json(F.get_json_object("item", "$.responses"), "array<struct<response: struct<_id: string, message: string>>>")
-    rows = got.select(F.col("id").cast("long").alias("conv_id"), F.posexplode(first).alias("k", "r")).groupBy("conv_id", "r.response._id").agg(F.min_by(F.octet_length("r.response.message"), "k").alias("n"))
-    return rows.groupBy("conv_id").agg(F.count("*").alias("kept"), F.sum("n").alias("bytes"))
+    responses = F.from_json(F.get_json_object("item", "$.responses"), "array<struct<response: struct<_id: string, message: string>>>")
+    rows = got.select(F.col("id").cast("long").alias("conv_id"), F.explode(responses).alias("r"))
+    return rows.groupBy("conv_id").agg(F.count("*").alias("kept"), F.sum(F.coalesce(F.octet_length("r.response.message"), F.lit(0))).alias("bytes"))
 
 
 @query("with f as (select text, source, min(doc_id) as m from documents where text is not null group by text, source) select sha256(text) as digest, string_agg(substr(source, 4), ',' order by m) as exports from f group by text")
