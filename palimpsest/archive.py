@@ -26,29 +26,28 @@ from .operators.spans import SPANS, spans
 from .operators.stats import export_labels, span_stats
 from .plans.query import Flags, Query, compile_query
 from .sources.discover import by_scope, check_part, discover, discover_home, infer_scope, scoped_path, without_copies, without_unpacked
+from .sources import assets as asset_files
 from .sources.readers import TAGGED, read_files
-from .sources.readers import assets as read_assets
 from .streaming.ingest import upsert
 
 #: Tables that are added to, and tables by buckets with their columns.
-ADDED = ("items", "exports", "tagged", "assets")
+ADDED = ("items", "exports", "tagged", "assets", "asset_bodies")
 LEAVES = "place string, leaf string"
 BUCKETED = {"conversations": STATE, "spans": SPANS, "leaves": LEAVES}
 #: Fixed value: archives of another version aren't read.
-VERSION = 3
+VERSION = 4
 #: Buckets of a new archive. One bucket is rewritten whole for one new dump in it, and is a folder of files in each of its tables.
 BUCKETS = 64
 TAGGED_ROW = "service string, account string, export_index int, kind string, path string, value string"
 EXPORT_ROW = "service string, account string, export_index int, source_path string, id string"
-ASSET_ROW = "digest string, uuid string, relative_path string, size long, mtime timestamp, export_index int, seq long"
-ADDED_ROWS = {"items": ITEM, "exports": EXPORT_ROW, "tagged": TAGGED_ROW, "assets": ASSET_ROW}
+ADDED_ROWS = {"items": ITEM, "exports": EXPORT_ROW, "tagged": TAGGED_ROW, "assets": asset_files.ASSET, "asset_bodies": asset_files.BODY}
 
 
 class Archives:
     """All archives below a folder. An archive is a folder of versions; a file names the one that holds."""
 
-    def __init__(self, spark: SparkSession, root: str, codec: str = "zstd", level: int = 3, skips: tuple[str, ...] = (), buckets: int = BUCKETS):
-        self.spark, self.root, self.codec, self.level, self.skips, self.buckets = spark, root.rstrip("/"), codec, level, skips, buckets
+    def __init__(self, spark: SparkSession, root: str, codec: str = "zstd", level: int = 3, skips: tuple[str, ...] = (), buckets: int = BUCKETS, part_bytes: int = asset_files.PART):
+        self.spark, self.root, self.codec, self.level, self.skips, self.buckets, self.part_bytes = spark, root.rstrip("/"), codec, level, skips, buckets, part_bytes
 
     # ------------------------------------------------ files
 
@@ -179,18 +178,18 @@ class Archives:
             service, account = scopes.pop()
         at = scoped_path(self.root, check_part(service), check_part(account))
         old = self._open(at) if self.exists(f"{at}/CURRENT") else None
-        first, base, buckets = (old["exports"], old["next_seq"], old["buckets"]) if old else (0, 0, self.buckets)
+        first, base, buckets, part_bytes = (old["exports"], old["next_seq"], old["buckets"], old["part_bytes"]) if old else (0, 0, self.buckets, self.part_bytes)
         version = uuid.uuid4().hex
         new = f"{at}/versions/{version}"
         try:
-            rows, assets = None, None
+            rows, listed = None, None
             for k, path in enumerate(paths):
                 files = [str(p) for p in discover(path, self.skips)[1]] + self._summaries(path) if local and kind is None and not os.path.isfile(path) else [path]
                 own = read_files(self.spark, *files, kind=kind, work=f"{new}/work/{k}", roots=(path,)).withColumn("export_index", F.lit(first + k))
                 rows = own if rows is None else rows.union(own)
-                if local and os.path.isdir(path):
-                    found = read_assets(self.spark, path).withColumn("export_index", F.lit(first + k)).withColumn("seq", F.lit(first + k).cast("long"))
-                    assets = found if assets is None else assets.union(found)
+                if not local or os.path.isdir(path):
+                    found = asset_files.listing(self.spark, path).withColumn("export_index", F.lit(first + k)).withColumn("seq", F.lit(first + k).cast("long"))
+                    listed = found if listed is None else listed.union(found)
             rows = self._write(rows, f"{new}/staged")  # inputs are parsed once
             problems = [f"{r['path']}: {r['problem']}" for r in rows.where("problem is not null").select("path", "problem").orderBy("path").limit(100).collect()]
             if problems and not skip_broken:
@@ -205,11 +204,15 @@ class Archives:
             numbered = read.selectExpr("*", "row_number() over (partition by export_index, path order by place) - 1 as n").join(starts, ["export_index", "path"]).join(F.broadcast(dumps), "export_index")
             items = numbered.select(F.lit(service).alias("service"), F.lit(account).alias("account"), (F.col("before") + F.col("off") + F.col("n") + base).cast("long").alias("seq"), "export_index", "item")
             exports = self.spark.createDataFrame([(service, account, first + k, p, None) for k, p in enumerate(paths)], EXPORT_ROW)
-            assets = self.spark.createDataFrame([], ASSET_ROW) if assets is None else assets.select(*[f.split()[0] for f in ASSET_ROW.split(", ")])
+            assets, bodies = (self.spark.createDataFrame([], ADDED_ROWS[t]) for t in ("assets", "asset_bodies"))
+            if listed is not None and listed.limit(1).count():
+                stored = self._table(at, old, "assets") if old else None
+                assets, bodies = asset_files.catalog(listed, f"{new}/work/assets", stored, part_bytes, through=() if local else paths)
             kept = self._write(items.select(*[c.split()[0] for c in ITEM.split(", ")]), f"{new}/items")
             self._write(exports, f"{new}/exports")
             self._write(tagged, f"{new}/tagged")
             self._write(assets, f"{new}/assets")
+            self._write(bodies, f"{new}/asset_bodies")
             # buckets with new dumps: as many numbers as there are buckets at most
             here = kept.select(_bucket(F.get_json_object("item", "$.conversation.id"), buckets).alias("b")).distinct()
             touched = sorted(r["b"] for r in here.collect())
@@ -228,6 +231,7 @@ class Archives:
             manifest = {
                 "version": VERSION,
                 "buckets": buckets,
+                "part_bytes": part_bytes,
                 "exports": first + len(paths),
                 "next_seq": base + kept.count(),
                 "versions": [*(old["versions"] if old else []), version],
@@ -289,6 +293,24 @@ class Archives:
         """digest, uuid, relative_path, size, mtime, export_indices: a row for each content."""
         return merge_assets(self.table(scoped_path(self.root, service, account), "assets"))
 
+    def asset_bodies(self, service: str, account: str, *digests: str) -> DataFrame:
+        """digest, part, body of all contents, or of some. Stored by digest: files without them aren't read."""
+        rows = self.table(scoped_path(self.root, service, account), "asset_bodies")
+        return rows.where(F.col("digest").isin(*digests)) if digests else rows
+
+    def restore_assets(self, service: str, account: str, folder: str, *digests: str) -> None:
+        """Writes bodies as files, named by their digests, to a folder that all executors see; what isn't stored is an error."""
+        have = {r["digest"] for r in self.asset_bodies(service, account, *digests).select("digest").distinct().collect()} if digests else set()
+        if missing := sorted(set(digests) - have):
+            raise ArchiveError(f"{service}/{account}: no asset {', '.join(missing)}")
+        asset_files.restore(self.asset_bodies(service, account, *digests), folder, self._open(scoped_path(self.root, service, account))["part_bytes"])
+
+    def broken_assets(self, service: str, account: str) -> DataFrame:
+        """digest, own: contents whose stored parts give another digest, or that have none (null); no rows in a sound archive."""
+        at = scoped_path(self.root, service, account)
+        known = self.table(at, "assets").select("digest").distinct()
+        return known.join(asset_files.part_digests(self.table(at, "asset_bodies")), "digest", "left").where(~F.col("own").eqNullSafe(F.col("digest"))).select("digest", "own")
+
     # ------------------------------------------------ queries
 
     def list(self) -> list[str]:

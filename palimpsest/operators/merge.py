@@ -174,5 +174,7 @@ def merge_conversations(items: DataFrame) -> DataFrame:
 
 def merge_assets(assets: DataFrame) -> DataFrame:
     """(digest, uuid, relative_path, size, mtime, export_index, seq) -> one row for each digest: the first one's names, all places."""
-    out = assets.groupBy("digest").agg(F.min(F.struct("seq", "uuid", "relative_path", "size", "mtime")).alias("f"), F.array_sort(F.collect_list(F.struct("seq", "export_index"))).alias("p"))
-    return out.select("digest", "f.uuid", "f.relative_path", "f.size", "f.mtime", F.array_distinct(F.col("p.export_index")).alias("export_indices"))
+    # a content may be at very many places of one export: these are one row before they are listed
+    own = assets.groupBy("digest", "export_index").agg(F.min(F.struct("seq", "uuid", "relative_path", "size", "mtime")).alias("f"))
+    out = own.groupBy("digest").agg(F.min("f").alias("f"), F.array_sort(F.collect_list(F.struct("f.seq", "export_index"))).alias("p"))
+    return out.select("digest", "f.uuid", "f.relative_path", "f.size", "f.mtime", F.col("p.export_index").alias("export_indices"))

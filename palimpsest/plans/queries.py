@@ -19,6 +19,7 @@ from ..functions.text import content_digest, field_name, looks_like_uuid, snippe
 from ..operators import index, merkle, search, stats, trees
 from ..operators.merge import merge_assets, merge_conversations
 from ..operators.spans import spans
+from ..sources import assets
 from ..sources.blocks import local
 from ..sources.readers import parse_files, read_files
 from ..streaming.ingest import upsert
@@ -599,6 +600,44 @@ def asset_dedup(spark, sf_dir):
     return merge_assets(rows).select("digest", "uuid", F.array_join("export_indices", ",").alias("exports"))
 
 
+def _asset_files(rows: DataFrame, folder: str) -> None:
+    """(name, body) -> folder/assets/name/content, by many tasks."""
+
+    def run(batches):
+        for batch in batches:
+            for name, body in zip(batch.column("name").to_pylist(), batch.column("body").to_pylist(), strict=True):
+                own = Path(local(folder)) / "assets" / name
+                own.mkdir(parents=True, exist_ok=True)
+                (own / "content").write_bytes(body)
+            yield batch.select(["name"])
+
+    rows.mapInArrow(run, "name string").agg(F.count("*")).collect()
+
+
+@query(
+    """
+with t as (select doc_id, hex(encode(text)) as h, md5(text) as m from documents where text is not null),
+p as (select doc_id, k, sha256(unhex(substr(h, 2000 * k + 1, 2000))) as d from (select doc_id, h, unnest(range(0, greatest((length(h) + 1999) // 2000, 1))) as k from t)),
+d as (select doc_id, count(*) as n_parts, case when count(*) = 1 then max(d) else 'tree-' || sha256(string_agg(d, '' order by k)) end as digest from p group by doc_id)
+select digest, any_value(n_parts) as n_parts, any_value(length(h) // 2) as size, min(case when doc_id % 2 = 0 then 0 else 1 end) as stored_by, case when count(*) filter (doc_id % 2 = 0) > 0 then '0,1' else '1' end as exports, any_value(m) as body_md5
+from d join t using (doc_id) group by digest"""
+)
+def asset_bodies(spark, sf_dir):
+    """Texts as assets of two dumps, the first of every other one, the second of all: each body is stored once, in parts, by the dump
+    that has it first, and is put together again from them."""
+    d = _read(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.col("doc_id").cast("string").alias("name"), F.encode("text", "utf-8").alias("body"))
+    folder, known, stored = _folder(spark), None, None
+    for k, own in enumerate((d.where("doc_id % 2 = 0"), d)):
+        _asset_files(own.select("name", "body"), f"{folder}/dump{k}")
+        listed = assets.listing(spark, f"{folder}/dump{k}").withColumns({"export_index": F.lit(k), "seq": F.lit(k).cast("long")})
+        rows, bodies = assets.catalog(listed, f"{folder}/work{k}", known, size=1000)
+        bodies = bodies.withColumn("stored_by", F.lit(k))
+        known, stored = (rows, bodies) if known is None else (known.union(rows), stored.union(bodies))
+    whole = stored.groupBy("digest", "stored_by").agg(F.array_sort(F.collect_list(F.struct("part", "body"))).alias("x"))
+    whole = whole.select("digest", "stored_by", F.size("x").cast("long").alias("n_parts"), F.md5(F.aggregate("x", F.lit(b""), lambda a, x: F.concat(a, x["body"]))).alias("body_md5"))
+    return merge_assets(known).select("digest", "size", F.array_join("export_indices", ",").alias("exports")).join(whole, "digest")
+
+
 @query("select conv_id, count(*) + count(*) filter (turn % 3 = 0) as n_dumps, sha256(coalesce(string_agg(text, '|' order by turn % 3, turn), '')) as digest from conversations group by conv_id")
 def incremental_equals_batch(spark, sf_dir):
     """Four batches of dumps folded into the state one after the other, the last the first one's again: what one fold over all of them in this

@@ -212,14 +212,6 @@ def _read_together(spark: SparkSession, paths: list[str], kind: str | None, root
     return joined.select(*_ARROW.names, "summary").mapInArrow(overlay, ITEMS)
 
 
-def assets(spark: SparkSession, *paths: str) -> DataFrame:
-    """digest, uuid, relative_path, size, mtime of 'content' files in asset folders and of images."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
-    own = files.where(F.col("path").rlike(r"/[^/]+/content$|\.(?i:jpe?g|png|gif)$"))
-    parts = F.split("path", "/")
-    return own.select(F.sha2("content", 256).alias("digest"), F.when(F.col("path").endswith("/content"), F.element_at(parts, -2)).otherwise(F.sha2("content", 256)).alias("uuid"), F.col("path").alias("relative_path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
-
-
 def digest_file(path: str) -> str:
     h = hashlib.sha256()
     with open(path, "rb") as f:
