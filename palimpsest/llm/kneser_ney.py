@@ -278,7 +278,7 @@ def _ask(sent):
                         at.append(i)
                         seqs.append(vocab.ids(lang, texts[i] or ""))
                         size += len(seqs[-1])
-                        if size > 4_000_000 or i == last:
+                        if size > 4_000_000 or len(seqs) == 1 << 16 or i == last:  # a document's number has 16 bits
                             doc = np.repeat(np.arange(len(seqs)), [len(s) - 1 for s in seqs])
                             keys = np.concatenate([s[:-1] << _BITS | s[1:] for s in seqs])
                             both, c = np.unique(keys << 16 | doc, return_counts=True)

@@ -222,6 +222,23 @@ def test_kneser_ney_against_plain_counting(spark, per_shard, slices):
         assert got[k][1] == (3 if k == 1 else len(texts[k].split()))
 
 
+def test_kneser_ney_batches_over_65536_documents(spark):
+    """One batch of 140,000 documents gives what batches of 10,000 give."""
+    rows = spark.createDataFrame([(k, "en", "a b a c b a" if k % 2 else "c c b a") for k in range(200)], "rid long, lang string, text string")
+    model = kneser_ney.train(rows, share=0.001, per_shard=8)
+    docs = spark.range(0, 140_000, 1, 1).selectExpr("id as rid", "'en' as lang", "case id % 3 when 0 then 'a b' when 1 then 'c a b c' else 'b' end as text")
+    key, got = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(key)
+    try:
+        for n in ("10000", "200000"):
+            spark.conf.set(key, n)
+            sums = kneser_ney.losses(docs, model, 1).groupBy((F.col("rid") % 3).alias("m")).agg(F.count("*"), F.sum("n_tokens"), F.round(F.min("loss"), 9), F.round(F.max("loss"), 9))
+            got.append(sorted(map(tuple, sums.collect())))
+    finally:
+        spark.conf.set(key, before)
+    assert got[0] == got[1] and [r[1] for r in got[0]] == [46_667, 46_667, 46_666] and all(r[3] == r[4] for r in got[0])
+
+
 def test_kneser_ney_sums_to_one():
     size, r = 6, random.Random(4)
     pairs = Counter((r.choice([0, 2, 3, 4, 5]), r.choice([1, 2, 3, 4, 5])) for _ in range(60))
