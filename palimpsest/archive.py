@@ -188,7 +188,7 @@ class Archives:
                 own = read_files(self.spark, *files, kind=kind, work=f"{new}/work/{k}", roots=(path,)).withColumn("export_index", F.lit(first + k))
                 rows = own if rows is None else rows.union(own)
                 if not local or os.path.isdir(path):
-                    found = asset_files.listing(self.spark, path).withColumn("export_index", F.lit(first + k)).withColumn("seq", F.lit(first + k).cast("long"))
+                    found = asset_files.listing(self.spark, path, skips=self.skips).withColumn("export_index", F.lit(first + k)).withColumn("seq", F.lit(first + k).cast("long"))
                     listed = found if listed is None else listed.union(found)
             rows = self._write(rows, f"{new}/staged")  # inputs are parsed once
             problems = [f"{r['path']}: {r['problem']}" for r in rows.where("problem is not null").select("path", "problem").orderBy("path").limit(100).collect()]

@@ -36,8 +36,8 @@ def _empty_files(root: str) -> Iterator[str]:
                 yield own
 
 
-def listing(spark: SparkSession, *roots: str) -> DataFrame:
-    """path, relative_path (below its root), size, mtime of the asset files in folders. No file is opened.
+def listing(spark: SparkSession, *roots: str, skips: tuple[str, ...] = ()) -> DataFrame:
+    """path, relative_path (below its root), size, mtime of the asset files in folders. No file is opened. ``skips`` as in ``readers.skipped``.
 
     Spark's reader passes over empty files; those on local paths are found by a walk, those in other stores aren't there."""
     out = None
@@ -47,6 +47,8 @@ def listing(spark: SparkSession, *roots: str) -> DataFrame:
         files = files.union(spark.createDataFrame(empty, files.schema))
         skipped = F.col("path").rlike("/(" + "|".join(s.replace(".", r"\.").replace("+", r"\+") for s in SKIPPED) + ")/")
         plain, below = F.regexp_replace("path", "^file:/+", "/"), local(root).rstrip("/") + "/"
+        for own in skips:
+            skipped |= F.startswith(plain, F.lit(own.rstrip("/") + "/")) if own.startswith("/") else F.contains(F.concat(F.lit("/"), plain, F.lit("/")), F.lit("/" + own.strip("/") + "/"))
         relative = F.when(F.startswith(plain, F.lit(below)), F.substring(plain, len(below) + 1, 1 << 30)).otherwise(F.col("path"))
         own = files.where(F.col("path").rlike(_IS_ASSET) & ~skipped).select("path", relative.alias("relative_path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
         out = own if out is None else out.union(own)

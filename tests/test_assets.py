@@ -10,6 +10,7 @@ from palimpsest.archive import Archives
 from palimpsest.errors import ArchiveError
 from palimpsest.operators.merge import merge_assets
 from palimpsest.sources import assets
+from palimpsest.sources.readers import skipped
 
 
 def digest(body, size, fan):
@@ -67,6 +68,17 @@ def test_changed_and_missing(spark, tmp_path):
         parts.collect()
 
 
+def test_skips(spark, tmp_path):
+    """Asset files below skipped parts, runs of parts, absolute beginnings, or so named aren't listed, empty ones neither."""
+    names = ("keep/a.png", "private/a.png", "x/private.d/a.png", "a/b/c.png", "a/x/b/c.png", "abs/e.png", "keep/named.png", "private/assets/u/content", "keep/assets/v/content")
+    for name in names:
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_bytes(b"" if name.endswith("content") else name.encode())
+    skips = ("private", "a/b", str(tmp_path / "in" / "abs"), "named.png")
+    got = {x.relative_path for x in assets.listing(spark, str(tmp_path / "in"), skips=skips).collect()}
+    assert got == {n for n in names if not skipped(str(tmp_path / "in" / n), skips)} == {"keep/a.png", "x/private.d/a.png", "a/x/b/c.png", "keep/assets/v/content"}
+
+
 def test_large_body_in_parts(spark, tmp_path):
     """A sparse file over 2 GB, which no value holds: parts alike, read by many tasks."""
     (tmp_path / "in").mkdir()
