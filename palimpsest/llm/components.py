@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import materialize, release
+from ._shared import dealt, materialize, release
 
 
 def _both(links: DataFrame) -> DataFrame:
@@ -25,11 +25,11 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         # large star: each larger neighbour of u is tied to u's smallest neighbour
         around = _both(state)
         least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = around.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = around.join(dealt(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # small star: u and its smaller neighbours are tied to the smallest of them
         small = large.where("u <> v").distinct()
         lowest = small.groupBy("u").agg(F.min("v").alias("m"))
-        tied = small.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lowest.select("u", F.col("m").alias("v")))
+        tied = small.join(dealt(lowest), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lowest.select("u", F.col("m").alias("v")))
         state, old = materialize(tied.where("u <> v").distinct(), "links"), state
         release(old)
         now = state.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()

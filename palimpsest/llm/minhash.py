@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import as_long, materialize, mix, shingle_set, utf8, release
+from ._shared import as_long, dealt, materialize, mix, shingle_set, utf8, release
 from .components import connected_components
 
 SKETCH = "doc_id long, n_shingles long, digest binary, bands array<long>, sig binary"
@@ -190,7 +190,7 @@ def _blocks(rows: DataFrame, block: int) -> DataFrame:
     sizes = rows.groupBy("bh").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     pairs = F.expr("transform(sequence(0, parts - 1), x -> struct(least(x, part) as one, greatest(x, part) as two))")
-    return rows.join(sizes, "bh").withColumn("part", part).withColumn("pair", F.explode(pairs)).select(*rows.columns, "pair.one", "pair.two")
+    return rows.join(dealt(sizes), "bh").withColumn("part", part).withColumn("pair", F.explode(pairs)).select(*rows.columns, "pair.one", "pair.two")
 
 
 def near_duplicates(docs: DataFrame, params: Params | None = None) -> DataFrame:
@@ -206,39 +206,39 @@ def near_duplicates(docs: DataFrame, params: Params | None = None) -> DataFrame:
     sketches = materialize(docs.mapInArrow(_sketches(p), SKETCH), "sketches")
     real = sketches.where("n_shingles > 0 and doc_id is not null")
     reps = real.groupBy("digest").agg(F.min("doc_id").alias("node"))
-    nodes = materialize(real.select("digest", F.col("doc_id").alias("node"), "bands", "sig").join(reps, ["digest", "node"]).dropDuplicates(["digest", "node"]), "nodes")
+    nodes = materialize(real.select("digest", F.col("doc_id").alias("node"), "bands", "sig").join(dealt(reps), ["digest", "node"]).dropDuplicates(["digest", "node"]), "nodes")
 
     banded = nodes.select("node", F.explode("bands").alias("bh"))
     buckets = banded.groupBy("bh").agg(F.min("node").alias("rep"), F.max("node").alias("last")).where("rep < last").select("bh", "rep")
-    members = materialize(banded.join(buckets, "bh").select("bh", "node", "rep"), "members")
+    members = materialize(banded.join(dealt(buckets), "bh").select("bh", "node", "rep"), "members")
     sigs = nodes.select("node", "sig")
     stars = members.where("node <> rep").select(F.col("node").alias("u"), F.col("rep").alias("v")).distinct()
-    both = stars.join(sigs.toDF("u", "a"), "u").join(sigs.toDF("v", "b"), "v")
+    both = stars.join(dealt(sigs.toDF("u", "a")), "u").join(dealt(sigs.toDF("v", "b")), "v")
     likely = materialize(both.mapInArrow(_likely(p), "u long, v long").distinct(), "likely")
 
     shared = members.select("node").distinct()
-    sets = materialize(docs.withColumnRenamed("doc_id", "node").join(shared, "node").mapInArrow(_sets(p.width), "node long, items binary"), "sets")
-    confirmed = likely.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v").mapInArrow(_confirm(p), "u long, v long")
+    sets = materialize(docs.withColumnRenamed("doc_id", "node").join(dealt(shared), "node").mapInArrow(_sets(p.width), "node long, items binary"), "sets")
+    confirmed = likely.join(dealt(sets.toDF("u", "a")), "u").join(dealt(sets.toDF("v", "b")), "v").mapInArrow(_confirm(p), "u long, v long")
     stars = materialize(confirmed.distinct(), "stars")
     release(likely)
     first = connected_components(stars)
 
-    placed = members.select("bh", "node").join(first, "node", "left").select("bh", "node", F.coalesce("component", "node").alias("comp"))
+    placed = members.select("bh", "node").join(dealt(first), "node", "left").select("bh", "node", F.coalesce("component", "node").alias("comp"))
     split = placed.groupBy("bh").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bh")
-    rows = _blocks(placed.join(split, "bh").distinct().join(sigs, "node").select("bh", "node", "comp", "sig"), p.block)
+    rows = _blocks(placed.join(dealt(split), "bh").distinct().join(dealt(sigs), "node").select("bh", "node", "comp", "sig"), p.block)
     by = ["bh", "one", "two"]
     contested = materialize(rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(_contested(p), "bh long, one int, two int, node long, comp long, sig binary"), "contested")
-    late = contested.join(sets, "node").repartition(*by).sortWithinPartitions(*by).mapInArrow(_settle(p), "u long, v long")
+    late = contested.join(dealt(sets), "node").repartition(*by).sortWithinPartitions(*by).mapInArrow(_settle(p), "u long, v long")
     late = materialize(late.distinct(), "late")
     release(contested, sets, members, stars)
     # rows that share a doc_id but not a set tie the nodes of their sets
     several = real.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("doc_id")
-    ties = real.select("doc_id", "digest").join(several, "doc_id").join(reps, "digest").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
+    ties = real.select("doc_id", "digest").join(dealt(several), "doc_id").join(dealt(reps), "digest").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
     # the components so far are stars already: the late links join them
     final = connected_components(first.select(F.col("node").alias("u"), F.col("component").alias("v")).union(late).union(ties))
 
-    ids = sketches.select("doc_id", "n_shingles", "digest").join(reps, "digest", "left").withColumn("node", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("node")).otherwise(F.col("doc_id")))
-    out = materialize(ids.join(final, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id")), "membership")
+    ids = sketches.select("doc_id", "n_shingles", "digest").join(dealt(reps), "digest", "left").withColumn("node", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("node")).otherwise(F.col("doc_id")))
+    out = materialize(ids.join(dealt(final), "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id")), "membership")
     release(sketches, nodes, first, late, final)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
@@ -246,4 +246,4 @@ def near_duplicates(docs: DataFrame, params: Params | None = None) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, params: Params | None = None) -> DataFrame:
     """The rows of ``docs`` whose document is the one that stays of its group; all columns of ``docs``."""
     gone = near_duplicates(docs, params).where("not kept").select(F.col("doc_id").alias("_gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone_id"], "left_anti")
+    return docs.join(dealt(gone), docs["doc_id"] == gone["_gone_id"], "left_anti")

@@ -323,3 +323,18 @@ def test_pipeline(spark):
     for name, stage in corpus_pipeline.STAGES[1:-1]:
         docs = stage(spark, docs, SF)
         assert docs.columns == make(spark, []).columns, name
+
+
+def test_near_duplicates_send_no_growing_table_through_the_driver(spark, monkeypatch):
+    """Written tables are many times larger in memory than their files tell, so joins of them are dealt by key."""
+    plans = []
+
+    def noted(df, name, write=minhash.materialize):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(minhash, "materialize", noted)
+    monkeypatch.setattr(components, "materialize", noted)
+    rows = [(k, " ".join(f"w{k // 2}x{j}" for j in range(60)) + " end" * (k % 2)) for k in range(8)]
+    assert minhash.near_duplicates(make(spark, rows)).where("not kept").count() == 4
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
