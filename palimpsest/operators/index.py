@@ -17,9 +17,11 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,39 +32,97 @@ from ..plans.query import Query
 TOKEN = regex.compile(r"[\p{Alphabetic}\p{N}]+")
 #: Spans in a block, at most.
 BLOCK = 4096
+#: Characters of texts that one task takes at once, and spans and places that it decodes at once.
+CHUNK, DECODED = 1 << 23, 1 << 18
 PLACED = "archive string, span_index long, term string, offsets array<long>"
 BLOCKS = "fold string, term string, odd boolean, archive string, first_span long, last_span long, n_spans long, n_places long, spans binary, places binary"
 _BLOCKS_ARROW = pa.schema([("fold", pa.string()), ("term", pa.string()), ("odd", pa.bool_()), ("archive", pa.string()), ("first_span", pa.int64()), ("last_span", pa.int64()), ("n_spans", pa.int64()), ("n_places", pa.int64()), ("spans", pa.binary()), ("places", pa.binary())])
 
 
+class _Folds(dict):
+    """Each character to upper and to lower case, found once."""
+
+    def __missing__(self, point: int) -> str:
+        c = chr(point)
+        up = c.upper()
+        self[point] = own = (up if len(up) == 1 else c).lower()[0]
+        return own
+
+
+_FOLDS = _Folds()
+
+
 def fold(text: str) -> str:
     """What texts are compared by when case is ignored: each character by itself to upper and to lower case."""
+    return text.lower() if text.isascii() else text.translate(_FOLDS)
+
+
+_ASCII = bytes(c if chr(c).isalnum() and c < 128 else 32 for c in range(256))
+
+
+@cache
+def _inside() -> np.ndarray:
+    """For each code point whether it is part of a token."""
+    return np.array([TOKEN.match(chr(c)) is not None for c in range(0x110000)])
 
-    def one(c: str) -> str:
-        up = c.upper()
-        return (up if len(up) == 1 else c).lower()[0]
 
-    return text.lower() if text.isascii() else "".join(map(one, text))
+@cache
+def _odd() -> frozenset[str]:
+    return frozenset(c for c in map(chr, range(0x110000)) if unicodedata.category(c) == "No")
 
 
 def token_places(text: str) -> tuple[list[str], np.ndarray]:
-    """Tokens of a text and where they begin, in bytes."""
-    found = list(TOKEN.finditer(text))
-    starts = np.array([m.start() for m in found], np.int64)
-    if not text.isascii():
-        data = np.frombuffer(text.encode(), np.uint8)
-        starts = np.flatnonzero((data & 0xC0) != 0x80)[starts] if len(starts) else starts
-    return [m.group() for m in found], starts
+    """Tokens of a text and where they begin, in bytes. All that isn't in a token is made blank, and the text is cut there."""
+    if text.isascii():
+        blank = text.encode().translate(_ASCII)
+        inside = np.frombuffer(blank, np.uint8) != 32
+        words, widths = blank.decode().split(), None
+    else:
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        inside = _inside()[points]
+        words = np.where(inside, points, np.uint32(32)).astype("<u4").tobytes().decode("utf-32-le").split()
+        widths = np.ones(len(points), np.int64)
+        for least in (0x80, 0x800, 0x10000):
+            widths += points >= least
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    starts = np.flatnonzero(first)
+    return words, starts if widths is None else (np.cumsum(widths) - widths)[starts]
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], most: int = CHUNK) -> Iterator[tuple[list[str], list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Archives, terms, and for each place of a token its archive, span, term and offset; archives and terms are numbers. A chunk has ``most`` characters and a text more at most."""
+
+    def done():
+        return list(archives), list(names), *(np.concatenate(x) for x in (own, of, ids, offs))
+
+    archives, names, own, of, ids, offs, held = {}, {}, [], [], [], [], 0
+    for batch in batches:
+        for archive, span, text in zip(batch.column("archive"), batch.column("span_index"), batch.column("text"), strict=True):
+            text = text.as_py()
+            found, at = token_places(text) if text else ((), ())
+            held += len(text or "")
+            if len(found):
+                own.append(np.full(len(found), archives.setdefault(archive.as_py(), len(archives)), np.int64))
+                of.append(np.full(len(found), span.as_py(), np.int64))
+                ids.append(np.array([names.setdefault(t, len(names)) for t in found], np.int64))
+                offs.append(at)
+            if held >= most:
+                if ids:
+                    yield done()
+                archives, names, own, of, ids, offs, held = {}, {}, [], [], [], [], 0
+    if ids:
+        yield done()
 
 
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each term of each span, with all its offsets. One pass over a text; offsets cost no more than tokens."""
     for batch in batches:
         archives, spans, texts = (batch.column(c).to_pylist() for c in ("archive", "span_index", "text"))
-        for lo in range(0, len(texts), 256):
+        for lo in range(0, len(texts), 64):
             names: dict[str, int] = {}
             rows, ids, offs = [], [], []
-            for k in range(lo, min(lo + 256, len(texts))):
+            for k in range(lo, min(lo + 64, len(texts))):
                 if not texts[k]:
                     continue
                 found, at = token_places(texts[k])
@@ -91,6 +151,34 @@ def postings(spans: DataFrame) -> DataFrame:
     return rows.select("term", F.lower("term").alias("term_lower"), "archive", "span_index", "byte_off")
 
 
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, names, _, span, term, off in _chunks(batches):
+        order = np.lexsort((span, term))
+        span, term, off = span[order], term[order], off[order]
+        new = np.concatenate([[True], (term[1:] != term[:-1])])
+        first = np.flatnonzero(new)
+        spans = np.add.reduceat(np.concatenate([[True], span[1:] != span[:-1]]) | new, first, dtype=np.int64)
+        columns = [np.diff(np.append(first, len(term))), spans, span[first], np.add.reduceat(off, first), np.maximum.reduceat(off, first)]
+        yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in term[first].tolist()], pa.string()), *(pa.array(c, pa.int64()) for c in columns)], names=["term", "places", "spans", "first_span", "sum_off", "last_off"])
+
+
+def term_sums(spans: DataFrame) -> DataFrame:
+    """term, term_lower, places, spans (distinct ones), first_span, sum_off, last_off (of byte offsets). Tasks add places up before anything is shuffled;
+    only spans that are several rows meet by number first."""
+    rows = spans.where("text <> ''").select("archive", "span_index", "text")
+    several = rows.groupBy("span_index").agg(F.count("*").alias("n")).where("n > 1 or span_index is null").select("span_index")
+    schema = "term string, places long, spans long, first_span long, sum_off long, last_off long"
+    if several.limit(1).count():
+        own = rows.join(several, F.equal_null(rows["span_index"], several["span_index"]), "left_semi")
+        places = postings(own).groupBy("term", "span_index").agg(F.count("*").alias("places"), F.sum("byte_off").alias("sum_off"), F.max("byte_off").alias("last_off"))
+        more = places.select("term", "places", F.when(F.col("span_index").isNotNull(), 1).otherwise(0).cast("long").alias("spans"), F.col("span_index").alias("first_span"), "sum_off", "last_off")
+        out = rows.join(several, F.equal_null(rows["span_index"], several["span_index"]), "left_anti").mapInArrow(_sums, schema).union(more)
+    else:
+        out = rows.mapInArrow(_sums, schema)
+    sums = [f(c).alias(c) for f, c in ((F.sum, "places"), (F.sum, "spans"), (F.min, "first_span"), (F.sum, "sum_off"), (F.max, "last_off"))]
+    return out.groupBy("term").agg(*sums).select("term", F.lower("term").alias("term_lower"), *schema.replace(" long", "").replace("term string, ", "").split(", "))
+
+
 def document_frequency(spans: DataFrame, lower: bool = False) -> DataFrame:
     """term, spans: in how many spans a token is."""
     own = F.transform(tokens(F.col("text")), F.lower) if lower else tokens(F.col("text"))
@@ -138,12 +226,16 @@ def _deltas(values: np.ndarray, firsts: np.ndarray) -> np.ndarray:
 def encode(spans: np.ndarray, sizes: np.ndarray, offsets: np.ndarray, firsts: np.ndarray) -> tuple[list[bytes], list[bytes]]:
     """The two columns of blocks that begin at the rows ``firsts``: spans as deltas; and how many offsets each span has, followed
     by these as deltas, span by span. All blocks are coded in one go."""
+    cut = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    return _coded(spans, sizes, _deltas(offsets, cut[:-1][sizes > 0]), firsts)
+
+
+def _coded(spans: np.ndarray, sizes: np.ndarray, deltas: np.ndarray, firsts: np.ndarray) -> tuple[list[bytes], list[bytes]]:
     rows = np.append(firsts, len(spans))
     cut = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
     own, own_at = to_varints(_deltas(spans, firsts))
     counts, counts_at = to_varints(sizes)
-    starts = cut[:-1][sizes > 0]
-    places, places_at = to_varints(_deltas(offsets, starts))
+    places, places_at = to_varints(deltas)
     cuts = [x[rows].tolist() for x in (own_at, counts_at, places_at[cut])]
     bounds = [list(zip(c, c[1:], strict=False)) for c in cuts]
     return [own[a:b] for a, b in bounds[0]], [counts[a:b] + places[c:d] for (a, b), (c, d) in zip(bounds[1], bounds[2], strict=True)]
@@ -161,42 +253,105 @@ def decode_places(data: bytes, n: int) -> list[np.ndarray]:
     return [np.cumsum(flat[a:b]) for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
 
 
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ...: as many as the sizes say, one run after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
+def _cut_runs(run_start: np.ndarray, n: int, size: int) -> np.ndarray:
+    """Where blocks begin: each run is cut at ``size`` rows."""
+    return np.flatnonzero((np.arange(n) - np.repeat(run_start, np.diff(np.append(run_start, n)))) % size == 0)
+
+
+def _staged(size: int):
+    """Spans -> blocks of a chunk: what a term has in it is coded before it is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for archives, names, own, span, term, off in _chunks(batches):
+            order = np.lexsort((span, own, term))  # offsets of a span are in order already
+            own, span, term, off = own[order], span[order], term[order], off[order]
+            new = np.concatenate([[True], (term[1:] != term[:-1]) | (own[1:] != own[:-1])])
+            # rows of one number are spans of their own: they begin where offsets go back
+            at = np.flatnonzero(new | np.concatenate([[True], (span[1:] != span[:-1]) | (off[1:] <= off[:-1])]))
+            sizes, runs = np.diff(np.append(at, len(term))), np.flatnonzero(new[at])
+            firsts = _cut_runs(runs, len(at), size)
+            spans, places = encode(span[at], sizes, off, firsts)
+            of = at[firsts]
+            words, lasts = [names[k] for k in term[of].tolist()], np.append(firsts[1:], len(at)) - 1
+            odd = [not t.isascii() and not _odd().isdisjoint(t) for t in words]
+            columns = [[fold(t) for t in words], words, odd, [archives[k] for k in own[of].tolist()], span[of], span[at[lasts]], lasts - firsts + 1, np.add.reduceat(sizes, firsts), spans, places]
+            whole = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _BLOCKS_ARROW, strict=True)], schema=_BLOCKS_ARROW)
+            for lo in range(0, whole.num_rows, 50_000):
+                yield whole.slice(lo, 50_000)
+
+    return run
+
+
+def _slices(batches: Iterator[pa.RecordBatch], *counts: str) -> Iterator[pa.RecordBatch]:
+    """Batches of blocks, cut so that ``DECODED`` of what is counted, or one block, is decoded at once."""
+    for batch in batches:
+        n = sum(batch.column(c).to_numpy() for c in counts)
+        ends, lo = np.cumsum(n), 0
+        while lo < len(n):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + DECODED, "right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
+def _joined(values: pa.Array) -> bytes:
+    return b"".join(values.to_pylist())
+
+
+def _decoded(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of all blocks, how many offsets each has, and these as deltas."""
+    n, m = batch.column("n_spans").to_numpy(), batch.column("n_places").to_numpy()
+    spans = from_varints(_joined(batch.column("spans")))
+    firsts = np.cumsum(n) - n
+    sums = np.cumsum(spans)
+    spans = sums - np.repeat(sums[firsts] - spans[firsts], n)
+    values = from_varints(_joined(batch.column("places")))
+    starts = np.cumsum(n + m) - (n + m)
+    return spans, values[_spread(starts, n)], values[_spread(starts + n, m)]
+
+
 def _blocks(size: int):
-    """Rows in order of term, archive and span -> blocks. A block ends with its batch at the latest, so none is held."""
+    """Blocks of chunks in order of term, archive and span -> blocks. A block ends with its slice at the latest, so none is held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
+        for batch in _slices(batches, "n_spans", "n_places"):
+            new = np.ones(batch.num_rows, bool)
+            differs = [pc.not_equal(batch.column(c)[1:], batch.column(c)[:-1]).to_numpy(zero_copy_only=False) for c in ("term", "archive")]
+            new[1:] = differs[0] | differs[1]
+            n = batch.column("n_spans").to_numpy()
+            alone = new & np.append(new[1:], True) & (n <= size)
+            if alone.any():
+                yield batch.filter(pa.array(alone))
+            if alone.all():
                 continue
-            folds, terms, archives = (np.array(batch.column(c).to_pylist(), object) for c in ("fold", "term", "archive"))
-            spans, lists = batch.column("span_index").to_numpy(), batch.column("offsets")
-            sizes, offsets = lists.value_lengths().to_numpy().astype(np.int64), lists.flatten().to_numpy()
-            new = np.concatenate([[True], (terms[1:] != terms[:-1]) | (archives[1:] != archives[:-1])])
-            run_start = np.flatnonzero(new)
-            inside = np.arange(len(spans)) - np.repeat(run_start, np.diff(np.append(run_start, len(spans))))
-            firsts = np.flatnonzero(inside % size == 0)
+            batch, new, n = batch.filter(pa.array(~alone)), new[~alone], n[~alone]
+            spans, sizes, deltas = _decoded(batch)
+            run_of = np.repeat(np.cumsum(new), n)
+            order = np.lexsort((spans, run_of))
+            starts = (np.cumsum(sizes) - sizes)[order]
+            spans, sizes, run_of = spans[order], sizes[order], run_of[order]
+            deltas = deltas[_spread(starts, sizes)]
+            firsts = _cut_runs(np.flatnonzero(np.diff(run_of, prepend=-1)), len(spans), size)
             lasts = np.append(firsts[1:], len(spans)) - 1
-            own, places = encode(spans, sizes, offsets, firsts)
-            sums = np.add.reduceat(sizes, firsts)
-            names = terms[firsts].tolist()
-            odd = [any(unicodedata.category(c) == "No" for c in t) if not t.isascii() else False for t in names]
-            columns = [folds[firsts].tolist(), names, odd, archives[firsts].tolist(), spans[firsts], spans[lasts], lasts - firsts + 1, sums, own, places]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _BLOCKS_ARROW, strict=True)], schema=_BLOCKS_ARROW)
+            own, places = _coded(spans, sizes, deltas, firsts)
+            names = batch.take(pa.array(np.flatnonzero(new)[run_of[firsts] - 1])).columns[:4]
+            columns = [spans[firsts], spans[lasts], lasts - firsts + 1, np.add.reduceat(sizes, firsts), own, places]
+            yield pa.RecordBatch.from_arrays([*names, *(pa.array(c, f.type) for c, f in zip(columns, list(_BLOCKS_ARROW)[4:], strict=True))], schema=_BLOCKS_ARROW)
 
     return run
 
 
-def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _placed(batches):
-        yield pa.RecordBatch.from_arrays([pa.array([fold(t) for t in batch.column("term").to_pylist()], pa.string()), *batch.columns], names=["fold", *batch.schema.names])
-
-
 def build(spans: DataFrame, path: str, block: int = BLOCK, options: dict | None = None) -> TermIndex:
     """Writes the index of ``spans`` (archive, span_index, text; span_index from 0 on, one of its own for each span of an archive)."""
     spark, options = spans.sparkSession, options or {}
-    spans.where("text <> ''").select("archive", "span_index", "text").mapInArrow(_folded, "fold string, " + PLACED).write.options(**options).parquet(f"{path}/staged")  # texts are read once; ranges are sampled from this
+    spans.where("text <> ''").select("archive", "span_index", "text").mapInArrow(_staged(block), BLOCKS).write.options(**options).parquet(f"{path}/staged")  # texts are read once; ranges are sampled from this
     rows = spark.read.parquet(f"{path}/staged")
-    by = ["fold", "term", "archive", "span_index"]
+    by = ["fold", "term", "archive", "first_span"]
     rows.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(_blocks(block), BLOCKS).write.options(**options).parquet(f"{path}/postings")
     whole = spark.read.parquet(f"{path}/postings").groupBy("fold", "term", "odd").agg(F.sum("n_spans").alias("n_spans"), F.sum("n_places").alias("n_places"))
     whole.repartitionByRange("fold", "term").sortWithinPartitions("fold", "term").write.options(**options).parquet(f"{path}/terms")
@@ -208,21 +363,23 @@ def build(spans: DataFrame, path: str, block: int = BLOCK, options: dict | None
 
 
 def _span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        own = [decode_spans(x) for x in batch.column("spans").to_pylist()]
-        if own:
-            archives = np.repeat(np.array(batch.column("archive").to_pylist(), object), [len(x) for x in own])
-            yield pa.RecordBatch.from_arrays([pa.array(archives, pa.string()), pa.array(np.concatenate(own))], names=["archive", "span_index"])
+    for batch in _slices(batches, "n_spans"):
+        n = batch.column("n_spans").to_numpy()
+        deltas = from_varints(_joined(batch.column("spans")))
+        firsts, sums = np.cumsum(n) - n, np.cumsum(deltas)
+        spans = sums - np.repeat(sums[firsts] - deltas[firsts], n)
+        yield pa.RecordBatch.from_arrays([batch.column("archive").take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(spans)], names=["archive", "span_index"])
 
 
 def _place_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out: tuple[list, list, list, list] = ([], [], [], [])
-        for term, archive, spans, places in zip(*(batch.column(c).to_pylist() for c in ("term", "archive", "spans", "places")), strict=True):
-            own = decode_spans(spans)
-            for x, more in zip(out, ([term] * len(own), [archive] * len(own), own.tolist(), decode_places(places, len(own))), strict=True):
-                x += more
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.list_(pa.int64()))], names=["term", "archive", "span_index", "offsets"])
+    for batch in _slices(batches, "n_spans", "n_places"):
+        spans, sizes, deltas = _decoded(batch)
+        cut = np.concatenate([[0], np.cumsum(sizes)])
+        has, sums = cut[:-1][sizes > 0], np.cumsum(deltas)
+        offsets = sums - np.repeat(sums[has] - deltas[has], sizes[sizes > 0])
+        of = pa.array(np.repeat(np.arange(batch.num_rows), batch.column("n_spans").to_numpy()))
+        lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(offsets))
+        yield pa.RecordBatch.from_arrays([batch.column("term").take(of), batch.column("archive").take(of), pa.array(spans), lists], names=["term", "archive", "span_index", "offsets"])
 
 
 # ---------------------------------------------------------------- lookup
@@ -271,7 +428,7 @@ class TermIndex:
 
     def places(self) -> DataFrame:
         """term, archive, span_index, offsets: all of it, decoded."""
-        return self._table("postings").select("term", "archive", "spans", "places").mapInArrow(_place_rows, "term string, archive string, span_index long, offsets array<long>")
+        return self._table("postings").select("term", "archive", "n_spans", "n_places", "spans", "places").mapInArrow(_place_rows, "term string, archive string, span_index long, offsets array<long>")
 
     def plan(self, q: Query) -> list[list[Piece]] | None:
         """For each alternative the pieces to look up (two at most, the rarest), or None for a scan; sets ``estimate``."""
@@ -302,7 +459,7 @@ class TermIndex:
         for alt in plan:
             both = None
             for p in alt:
-                own = self._table("postings").where(p.condition()).select("archive", "spans").mapInArrow(_span_rows, "archive string, span_index long")
+                own = self._table("postings").where(p.condition()).select("archive", "n_spans", "spans").mapInArrow(_span_rows, "archive string, span_index long")
                 both = own if both is None else both.join(own, ["archive", "span_index"], "left_semi")
             out = both if out is None else out.union(both)
         return out.distinct()

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,3 +143,40 @@ def test_reports_fetch_texts_last(spark):
     cut = [tuple(o) for r in parts if r.ord == parts[-1].ord for o in r.occurrences]
     assert whole["common text 3"] == cut and cut[-1] == ("s/b", "d", "title") and len(whole) == 5
     assert search.report(spans.where(F.lit(False)), q, 2).count() == 0
+
+
+def _coded(rows, size=64):
+    """Blocks of (archive, span, text) rows, made a chunk a batch and merged."""
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("archive", "span_index", "text"), r, strict=True)) for r in part]) for part in rows]
+    chunks = pa.Table.from_batches(b for batch in batches for b in index._staged(size)(iter([batch])))
+    return chunks, list(index._blocks(size)(iter(chunks.sort_by([(c, "ascending") for c in ("fold", "term", "archive", "first_span")]).combine_chunks().to_batches())))
+
+
+def test_what_is_decoded_at_once_is_bounded(monkeypatch):
+    """A batch of long blocks gives many small ones, with the same places."""
+    texts = [("s", k, "the cat " * 50 + f"w{k}") for k in range(300)]
+    _, blocks = _coded([texts])
+    want = [r for b in blocks for part in index._place_rows(iter([b])) for r in part.to_pylist()]
+    monkeypatch.setattr(index, "DECODED", 1000)
+    parts = [part for b in blocks for part in index._place_rows(iter([b]))]
+    assert len(parts) > 5 and max(len(p.column("offsets").flatten()) for p in parts) <= 64 * 50
+    assert [r for p in parts for r in p.to_pylist()] == want and len(want) == 900
+    assert sum(p.num_rows for b in blocks for p in index._span_rows(iter([b]))) == 900
+
+
+def test_terms_are_coded_before_they_are_shuffled():
+    """A row for each term of a chunk, not of each span; chunks whose spans lie between each other's are merged to blocks in order."""
+    texts = [("s", k, f"the cat {k % 3}") for k in range(200)]
+    chunks, blocks = _coded([texts[::2], texts[1::2]])
+    assert chunks.num_rows == 2 * (2 * 2 + 3)
+    rows = [r for b in blocks for r in b.to_pylist() if r["term"] == "the"]
+    assert [r["n_spans"] for r in rows] == [64, 64, 64, 8] and [index.decode_spans(r["spans"])[0] for r in rows] == [0, 64, 128, 192]
+
+
+def test_sums_of_terms(spark):
+    """Spans that are several rows, or have no number, count as distinct numbers do; places aren't rows on the way."""
+    rows = [("s", "c", 1, "m", "a b a"), ("s", "c", 2, "m", "a é a"), ("s", "c", 2, "m", "b a"), ("s", "c", None, "m", "a"), ("s", "c", 3, "m", None)]
+    got = {r.term: tuple(r)[1:] for r in index.term_sums(spark.createDataFrame(rows, SPANS)).collect()}
+    assert got == {"a": ("a", 6, 2, 1, 4 + 5 + 2, 5), "b": ("b", 2, 2, 1, 2, 2), "é": ("é", 1, 1, 2, 2, 2)}
+    plan = index.term_sums(spark.createDataFrame(rows[:2], SPANS))._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan
