@@ -28,23 +28,77 @@ PART, FAN, PER_TASK = 4 << 20, 1024, 256
 _IS_ASSET = r"/[^/]+/content$|\.(?i:jpe?g|png|gif)$"
 
 
-def _empty_files(root: str) -> Iterator[str]:
-    for at, _, names in os.walk(root):
-        for name in sorted(names):
-            own = os.path.join(at, name)
-            if re.search(_IS_ASSET, own) and not os.path.islink(own) and not os.path.getsize(own):
-                yield own
+_FOUND = "path string, size long, mtime timestamp, folder boolean, hidden boolean, linked boolean"
+_FOUND_ARROW = pa.schema([("path", pa.string()), ("size", pa.int64()), ("mtime", pa.timestamp("us", "UTC")), ("folder", pa.bool_()), ("hidden", pa.bool_()), ("linked", pa.bool_())])
+#: Rounds in which the folders found are dealt to tasks before each is walked by one, and rows of a batch.
+ROUNDS, ROWS = 3, 4096
+
+
+def _hidden(name: str) -> bool:
+    """Names that Spark's reader passes over."""
+    return name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_")
+
+
+def _scan(deep: bool):
+    """Folders -> what is in them, or below them if ``deep``; files go through. Of asset files the size and time are taken as they are found."""
+
+    def below(r: dict) -> Iterator[dict]:
+        todo = [r]
+        while todo:
+            at = todo.pop()
+            with os.scandir(at["path"]) as entries:
+                for e in entries:
+                    own = {"path": e.path, "size": None, "mtime": None, "folder": e.is_dir(), "hidden": at["hidden"] or _hidden(e.name), "linked": at["linked"] or e.is_symlink()}
+                    if own["folder"]:
+                        if own["hidden"] and own["linked"]:
+                            continue
+                        if deep:
+                            todo.append(own)
+                        else:
+                            yield own
+                    elif re.search(_IS_ASSET, e.path):
+                        yield own
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = []
+        for batch in batches:
+            for r in batch.to_pylist():
+                for x in below(r) if r["folder"] else (r,):
+                    if deep:
+                        s = os.stat(x["path"])
+                        x |= {"size": s.st_size, "mtime": datetime.fromtimestamp(s.st_mtime_ns // 1_000_000 / 1000, timezone.utc)}
+                    own.append(x)
+                    if len(own) == ROWS:
+                        yield pa.RecordBatch.from_pylist(own, schema=_FOUND_ARROW)
+                        own = []
+        if own:
+            yield pa.RecordBatch.from_pylist(own, schema=_FOUND_ARROW)
+
+    return run
+
+
+def _walked(spark: SparkSession, root: str) -> DataFrame:
+    """path, length, modificationTime of the asset files below a folder, found by tasks: the driver holds no names. As Spark's reader has it, hidden ones
+    are passed over and links followed; empty files, which it doesn't see, are found where they aren't behind links."""
+    rows = spark.createDataFrame([(local(root).rstrip("/") or "/", None, None, True, False, False)], _FOUND)
+    tasks = spark.sparkContext.defaultParallelism
+    for _ in range(ROUNDS):
+        rows = rows.mapInArrow(_scan(False), _FOUND).repartition(tasks, "path")
+    rows = rows.mapInArrow(_scan(True), _FOUND)
+    seen = F.when(F.col("size") > 0, ~F.col("hidden")).otherwise(~F.col("linked"))
+    return rows.where(seen).select(F.concat(F.lit("file:"), "path").alias("path"), F.col("size").alias("length"), F.col("mtime").alias("modificationTime"))
 
 
 def listing(spark: SparkSession, *roots: str, skips: tuple[str, ...] = ()) -> DataFrame:
     """path, relative_path (below its root), size, mtime of the asset files in folders. No file is opened. ``skips`` as in ``readers.skipped``.
 
-    Spark's reader passes over empty files; those on local paths are found by a walk, those in other stores aren't there."""
+    Folders on local paths are walked by tasks. Others are listed by Spark's reader, on the driver; it passes over empty files."""
     out = None
     for root in roots:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "modificationTime")
-        empty = [(f"file:{at}", 0, datetime.fromtimestamp(int(os.path.getmtime(at)), timezone.utc)) for at in _empty_files(local(root))]
-        files = files.union(spark.createDataFrame(empty, files.schema))
+        if os.path.isdir(local(root)):
+            files = _walked(spark, root)
+        else:
+            files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "modificationTime")
         skipped = F.col("path").rlike("/(" + "|".join(s.replace(".", r"\.").replace("+", r"\+") for s in SKIPPED) + ")/")
         plain, below = F.regexp_replace("path", "^file:/+", "/"), local(root).rstrip("/") + "/"
         for own in skips:
@@ -115,7 +169,9 @@ def catalog(listed: DataFrame, work: str, stored: DataFrame | None = None, size:
 
     listed = write(listed, "listed")
     wanted = listed.select("path", "size").distinct().select("path", F.explode(F.expr(f"sequence(0, cast(greatest(ceil(size / {size}), 1) as int) - 1)")).alias("part"))
-    tasks = max(1, -(-wanted.count() // PER_TASK))
+    n, held = wanted.count(), listed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    # by bytes; small parts are many to a task, as each task and each file that it writes is known to the driver
+    tasks = max(1, min(-(-n // PER_TASK), spark.sparkContext.defaultParallelism), -(-n // (16 * PER_TASK)), -(-held // (PER_TASK * PART)))
     read = (lambda rows: _cut(rows, size, through)) if through else (lambda rows: _opened(rows, size))
     parts = write(read(wanted.repartition(tasks)).select("path", "part", F.sha2("body", 256).alias("digest"), F.length("body").alias("bytes")), "parts")
     files = write(tree_digests(parts, fan=fan), "files")

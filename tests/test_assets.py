@@ -116,3 +116,20 @@ def test_archive_keeps_bodies_once(spark, tmp_path):
     kept = [(x.digest, x.part, bytes(x.body)) for x in spark.read.parquet(f"{at}/versions/{first}/asset_bodies").where("part <> 3").collect()]
     spark.createDataFrame(kept, assets.BODY).write.mode("overwrite").parquet(f"{at}/versions/{first}/asset_bodies")
     assert [x.digest for x in a.broken_assets("s", "a").collect()] == [got["u2"][0]]
+
+
+def test_folders_are_listed_by_tasks(spark, tmp_path, monkeypatch):
+    """Any depth, links, hidden and empty files; the driver neither lists nor walks the folders."""
+    for name, body in {"assets/u1/content": b"x", "a/b/c/d/e/f.png": b"yy", "top.JPG": b"z", "_hidden/p.png": b"h", ".dot/e.png": b"", "a/empty.gif": b"", "a/no.txt": b"t", "a b%20/é.png": b"w"}.items():
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_bytes(body)
+    (tmp_path / "else").mkdir()
+    (tmp_path / "else" / "l.png").write_bytes(b"1")
+    (tmp_path / "in" / "link").symlink_to(tmp_path / "else")
+    monkeypatch.setattr(assets.os, "walk", None)
+    got = assets.listing(spark, f"file://{tmp_path}/in")
+    assert "BinaryFile" not in got._jdf.queryExecution().toString()
+    rows = {r.relative_path: r for r in got.collect()}
+    assert {k: r["size"] for k, r in rows.items()} == {"assets/u1/content": 1, "a/b/c/d/e/f.png": 2, "top.JPG": 1, ".dot/e.png": 0, "a/empty.gif": 0, "a b%20/é.png": 1, "link/l.png": 1}
+    read = {r.path: r for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{tmp_path}/in").collect()}
+    assert all((r.path in read and read[r.path].modificationTime == r.mtime) == bool(r["size"]) for r in rows.values())
