@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.batches import rows_of
+
 #: States, as they are numbered.
 OUT, IN, ESCAPED = 0, 1, 2
 #: Rows of block states that are sent to all tasks; beyond, they are joined.
@@ -66,7 +68,7 @@ _STATES = "path string, block long, state int, depth int, at int, sound boolean"
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        own = [summary(x or b"") for x in batch.column("body").to_pylist()]
+        own = [summary(r["body"] or b"") for r in rows_of(batch.select(["body"]))]
         yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("block"), pa.array([x[0] for x in own], pa.list_(pa.int32())), pa.array([x[1] for x in own], pa.list_(pa.int32())), pa.array([x[2] for x in own], pa.string())], names=["path", "block", "ends", "deltas", "opens"])
 
 
@@ -119,7 +121,7 @@ _PIECES = "path string, block long, idx int, level int, at int, ended string, bo
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for r in batch.to_pylist():
+        for r in rows_of(batch):
             own = cut(r["body"] or b"", r["state"], r["depth"], r["at"])
             for lo in range(0, len(own), 20_000):
                 some = own[lo : lo + 20_000]

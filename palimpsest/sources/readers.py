@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import SourceError
+from ..functions.batches import batches_of, rows_of
 from . import arrays
 from .blocks import BLOCK, local, read_blocks
 from .parsers import OPAQUE, PARSERS, dump_tables, overlay_summary, sniff
@@ -85,18 +86,17 @@ def parse_files(files: DataFrame, kind: str | None = None, roots: tuple[str, ...
     """(path, content) -> ITEMS rows. A broken file gives one row with its problem, and the others are read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[dict] = []
-            for path, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                if data[:4] == b"PK\x03\x04":
-                    try:
-                        for name, own in zip_entries(data):
-                            rows += _of_file(f"{path}!/{name}", own, kind, roots)
-                    except zipfile.BadZipFile as e:
-                        rows.append({"path": path, "kind": "zip", "place": None, "item": None, "problem": str(e)})
-                else:
-                    rows += _of_file(path, data, kind, roots)
-            yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+        yield from batches_of((row for batch in batches for r in rows_of(batch) for row in items_in(r["path"], r["content"])), _ARROW)
+
+    def items_in(path: str, data: bytes) -> Iterator[dict]:
+        if data[:4] != b"PK\x03\x04":
+            yield from _of_file(path, data, kind, roots)
+            return
+        try:
+            for name, own in zip_entries(data):
+                yield from _of_file(f"{path}!/{name}", own, kind, roots)
+        except zipfile.BadZipFile as e:
+            yield {"path": path, "kind": "zip", "place": None, "item": None, "problem": str(e)}
 
     return files.select("path", "content").mapInArrow(run, ITEMS)
 
@@ -127,22 +127,21 @@ def _items(roots: tuple[str, ...]):
     """path, kind, key, place, item -> ITEMS rows: each item parsed as the only one of its file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                path, kind, key, place = r["path"], r["kind"], r["key"], int(r["place"])
-                if kind == "assistant" and key != "conversations":
-                    known = key in ("media_posts", "projects", "tasks")
-                    if not known or r["item"] != "{}":
-                        rows.append({"path": path, "kind": key if known else "extra", "place": place, "item": r["item"] if known else json.dumps({key: [json.loads(r["item"])]}, ensure_ascii=False), "problem": None})
-                    continue
-                data = ('{"conversations":[' + r["item"] + "]}" if kind == "assistant" else "[" + r["item"] + "]").encode()
-                try:
-                    own = PARSERS[kind](own_path(path, kind, roots), data, *([place] if kind == "activity" else []))
-                    rows += [{"path": path, "kind": kind, "place": place, "item": json.dumps(x, ensure_ascii=False), "problem": None} for x in own]
-                except (SourceError, AttributeError, TypeError, KeyError) as e:
-                    rows.append({"path": path, "kind": kind, "place": None, "item": None, "problem": str(e)})
-            yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+        yield from batches_of((row for batch in batches for r in rows_of(batch) for row in parsed(r)), _ARROW)
+
+    def parsed(r: dict) -> Iterator[dict]:
+        path, kind, key, place = r["path"], r["kind"], r["key"], int(r["place"])
+        if kind == "assistant" and key != "conversations":
+            known = key in ("media_posts", "projects", "tasks")
+            if not known or r["item"] != "{}":
+                yield {"path": path, "kind": key if known else "extra", "place": place, "item": r["item"] if known else json.dumps({key: [json.loads(r["item"])]}, ensure_ascii=False), "problem": None}
+            return
+        data = ('{"conversations":[' + r["item"] + "]}" if kind == "assistant" else "[" + r["item"] + "]").encode()
+        try:
+            own = PARSERS[kind](own_path(path, kind, roots), data, *([place] if kind == "activity" else []))
+            yield from [{"path": path, "kind": kind, "place": place, "item": json.dumps(x, ensure_ascii=False), "problem": None} for x in own]
+        except (SourceError, AttributeError, TypeError, KeyError) as e:
+            yield {"path": path, "kind": kind, "place": None, "item": None, "problem": str(e)}
 
     return run
 
@@ -202,12 +201,12 @@ def _read_together(spark: SparkSession, paths: list[str], kind: str | None, root
     joined = items.withColumn("dir", F.when(F.col("path").endswith("/chat_history.jsonl"), F.regexp_replace("path", "/[^/]*$", ""))).join(summaries, "dir", "left")
 
     def overlay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.to_pylist()
-            for r in rows:
-                if (s := r.pop("summary")) and r["item"]:
-                    r["item"] = json.dumps(overlay_summary(json.loads(r["item"]), json.loads(s)), ensure_ascii=False)
-            yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+        yield from batches_of((laid(r) for batch in batches for r in rows_of(batch)), _ARROW)
+
+    def laid(r: dict) -> dict:
+        if (s := r.pop("summary")) and r["item"]:
+            r["item"] = json.dumps(overlay_summary(json.loads(r["item"]), json.loads(s)), ensure_ascii=False)
+        return r
 
     return joined.select(*_ARROW.names, "summary").mapInArrow(overlay, ITEMS)
 
