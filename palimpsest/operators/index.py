@@ -15,6 +15,7 @@ is searched as without one.
 from __future__ import annotations
 
 import unicodedata
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -90,13 +91,20 @@ def token_places(text: str) -> tuple[list[str], np.ndarray]:
     return words, starts if widths is None else (np.cumsum(widths) - widths)[starts]
 
 
+def _numbers() -> defaultdict[str, int]:
+    """Texts numbered as they are first asked for."""
+    out: defaultdict[str, int] = defaultdict()
+    out.default_factory = out.__len__
+    return out
+
+
 def _chunks(batches: Iterator[pa.RecordBatch], most: int = CHUNK) -> Iterator[tuple[list[str], list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Archives, terms, and for each place of a token its archive, span, term and offset; archives and terms are numbers. A chunk has ``most`` characters and a text more at most."""
 
     def done():
         return list(archives), list(names), *(np.concatenate(x) for x in (own, of, ids, offs))
 
-    archives, names, own, of, ids, offs, held = {}, {}, [], [], [], [], 0
+    archives, names, own, of, ids, offs, held = {}, _numbers(), [], [], [], [], 0
     for batch in batches:
         for archive, span, text in zip(batch.column("archive"), batch.column("span_index"), batch.column("text"), strict=True):
             text = text.as_py()
@@ -105,12 +113,12 @@ def _chunks(batches: Iterator[pa.RecordBatch], most: int = CHUNK) -> Iterator[tu
             if len(found):
                 own.append(np.full(len(found), archives.setdefault(archive.as_py(), len(archives)), np.int64))
                 of.append(np.full(len(found), span.as_py(), np.int64))
-                ids.append(np.array([names.setdefault(t, len(names)) for t in found], np.int64))
+                ids.append(np.fromiter(map(names.__getitem__, found), np.int64, len(found)))
                 offs.append(at)
             if held >= most:
                 if ids:
                     yield done()
-                archives, names, own, of, ids, offs, held = {}, {}, [], [], [], [], 0
+                archives, names, own, of, ids, offs, held = {}, _numbers(), [], [], [], [], 0
     if ids:
         yield done()
 
@@ -120,13 +128,13 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         archives, spans, texts = (batch.column(c).to_pylist() for c in ("archive", "span_index", "text"))
         for lo in range(0, len(texts), 64):
-            names: dict[str, int] = {}
+            names = _numbers()
             rows, ids, offs = [], [], []
             for k in range(lo, min(lo + 64, len(texts))):
                 if not texts[k]:
                     continue
                 found, at = token_places(texts[k])
-                ids.append(np.array([names.setdefault(t, len(names)) for t in found], np.int64))
+                ids.append(np.fromiter(map(names.__getitem__, found), np.int64, len(found)))
                 offs.append(at)
                 rows.append(np.full(len(found), k, np.int64))
             if not ids or not names:
