@@ -12,10 +12,12 @@ all are linked, which a minimum shows without forming pairs.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import keyed, materialize, release
+from ._shared import dealt, keyed, materialize, release
 
 HAS_WORD = r"[^\x20\x09-\x0D]"
 _AT = "struct<doc_id: bigint, rid: bigint, no: int>"
@@ -97,10 +99,10 @@ def _last(rows: DataFrame) -> DataFrame:
     probes = rows.where("role = 1").selectExpr("explode(array_distinct(array(xxhash64(1, key, substring(line, lo + 1, 1)), xxhash64(1, key, substring(line, lo + 2, 1))))) as key", "h", "g", "at", "role")
     # all lines of a 'sub' bucket are linked
     first = sub.groupBy("key").agg(F.min("at").alias("first"))
-    gone = sub.join(first, "key").where("at > first").select("h", "g")
+    gone = sub.join(dealt(first), "key").where("at > first").select("h", "g")
     # in the others each probing line is linked with the one to be found
     ends = found.union(probes).groupBy("key").agg(F.min(F.when(F.col("role") == 0, F.col("at"))).alias("f"), F.min(F.when(F.col("role") == 1, F.col("at"))).alias("p"))
-    both = found.union(probes).join(ends, "key").where("(role = 1 and f < at) or (role = 0 and p < at)").select("h", "g")
+    both = found.union(probes).join(dealt(ends), "key").where("(role = 1 and f < at) or (role = 0 and p < at)").select("h", "g")
     return gone.union(both)
 
 
@@ -112,32 +114,32 @@ def later_near_lines(docs: DataFrame, least: int = 16, most: int = 64) -> tuple[
     entry = [f"struct({k} as key, {role} as role, {f'cast((len - {role}) div 2 as int)' if first else '0'} as lo, {f'len - {role}' if first else f'cast((len - {role}) div 2 as int)'} as hi)" for k, role, first in keys]
     rows = lines.where(F.col("len") >= least).selectExpr("h", "g", "at", f"explode(array({', '.join(entry)})) as x").select("x.*", "h", "g", "at")
     sizes = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("role").alias("r")).where("c > 1 and r = 0").select("key", "c")
-    met = materialize(rows.join(sizes, "key"), "met")
+    met = materialize(rows.join(dealt(sizes), "key"), "met")
     written = [lines, met]
-    pairs, gone = _pairs(met.where(F.col("c") <= most)), None
+    # what a round finds is written: else the plan of the result would grow with the rounds, and the driver's memory with it
+    pairs, gone = [_pairs(met.where(F.col("c") <= most))], []
     large = met.where(F.col("c") > most).drop("c")
     if large.limit(1).count():
-        large = materialize(large.join(_texts(docs, large), ["h", "g"]), "large")
+        large = materialize(large.join(dealt(_texts(docs, large)), ["h", "g"]), "large")
         written.append(large)
         while True:
-            ended = _last(large.where("hi - lo <= 1"))
+            gone.append(materialize(_last(large.where("hi - lo <= 1")).distinct(), "ended"))
             halves = _halve(large.where("hi - lo > 1"))
             sizes = halves.groupBy("key").agg(F.count("*").alias("c"), F.min("role").alias("r")).where("c > 1 and r = 0").select("key", "c")
-            halves = materialize(halves.join(sizes, "key"), "halves")
-            written.append(halves)
-            gone = ended if gone is None else gone.union(ended)
-            pairs = pairs.union(_pairs(halves.where(F.col("c") <= most)))
+            halves = materialize(halves.join(dealt(sizes), "key"), "halves")
+            pairs.append(materialize(_pairs(halves.where(F.col("c") <= most)), "round-pairs"))
+            written += [halves, gone[-1], pairs[-1]]
             large = halves.where(F.col("c") > most).drop("c")
             if not large.limit(1).count():
                 break
-    pairs = materialize(pairs.dropDuplicates(["h1", "g1", "h2", "g2"]), "pairs")
+    pairs = materialize(reduce(DataFrame.union, pairs).dropDuplicates(["h1", "g1", "h2", "g2"]), "pairs")
     written.append(pairs)
     texts = materialize(_texts(docs, pairs.selectExpr("h1 as h", "g1 as g", "at1 as at").union(pairs.selectExpr("h2 as h", "g2 as g", "at2 as at"))), "line-texts")
     written.append(texts)
-    both = pairs.join(texts.toDF("h1", "g1", "one"), ["h1", "g1"]).join(texts.toDF("h2", "g2", "two"), ["h2", "g2"])
+    both = pairs.join(dealt(texts.toDF("h1", "g1", "one")), ["h1", "g1"]).join(dealt(texts.toDF("h2", "g2", "two")), ["h2", "g2"])
     true = both.where(within_one(F.col("one"), F.col("two")))
     later = true.selectExpr("case when at1 < at2 then struct(h2 as h, g2 as g) else struct(h1 as h, g1 as g) end as x").select("x.*")
-    return lines, (later if gone is None else later.union(gone)).distinct(), written
+    return lines, reduce(DataFrame.union, [later, *gone]).distinct(), written
 
 
 def dedup_lines(docs: DataFrame, least: int = 16, most: int = 64, carry: Column | None = None) -> DataFrame:
@@ -152,10 +154,10 @@ def dedup_lines(docs: DataFrame, least: int = 16, most: int = 64, carry: Column
     whole = keyed(docs, carry)
     docs = whole.select("doc_id", "rid", "text")
     lines, near, written = later_near_lines(docs, least, most)
-    stay = materialize(lines.select("h", "g", "at").join(near, ["h", "g"], "left_anti").groupBy(F.col("at.doc_id").alias("a"), F.col("at.rid").alias("b")).agg(F.collect_list("at.no").alias("nos")), "staying")
+    stay = materialize(lines.select("h", "g", "at").join(dealt(near), ["h", "g"], "left_anti").groupBy(F.col("at.doc_id").alias("a"), F.col("at.rid").alias("b")).agg(F.collect_list("at.no").alias("nos")), "staying")
     release(*written)
     more = [] if carry is None else ["carried"]
-    rows = whole.join(stay, whole["doc_id"].eqNullSafe(stay["a"]) & (whole["rid"] == stay["b"]), "left").select("doc_id", "rid", "text", *more, F.coalesce("nos", F.array().cast("array<int>")).alias("nos"), F.split("text", "\n").alias("lines"))
+    rows = whole.join(dealt(stay), whole["doc_id"].eqNullSafe(stay["a"]) & (whole["rid"] == stay["b"]), "left").select("doc_id", "rid", "text", *more, F.coalesce("nos", F.array().cast("array<int>")).alias("nos"), F.split("text", "\n").alias("lines"))
     rows = rows.withColumn("blank", F.expr(rf"filter(sequence(0, size(lines) - 1), i -> not (get(lines, i) rlike '[^\\x20\\x09-\\x0D]'))"))
     kept = F.expr("array_join(transform(sort_array(concat(nos, blank)), i -> get(lines, i)), '\n')")
     n = F.coalesce(F.size("lines") - F.size("blank"), F.lit(0)).cast("long")

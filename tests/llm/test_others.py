@@ -338,3 +338,26 @@ def test_near_duplicates_send_no_growing_table_through_the_driver(spark, monkeyp
     rows = [(k, " ".join(f"w{k // 2}x{j}" for j in range(60)) + " end" * (k % 2)) for k in range(8)]
     assert minhash.near_duplicates(make(spark, rows)).where("not kept").count() == 4
     assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_links_that_are_stars_take_no_round(spark, monkeypatch):
+    names, real = [], components.materialize
+    monkeypatch.setattr(components, "materialize", lambda df, name: names.append(name) or real(df, name))
+    got = components.connected_components(spark.createDataFrame([(1, 2), (3, 1), (7, 9), (9, 7)], "u long, v long")).collect()
+    assert sorted((x.node, x.component) for x in got) == [(1, 1), (2, 1), (3, 1), (7, 7), (9, 7)]
+    assert names == ["links", "components"]
+    got = components.connected_components(spark.createDataFrame([(1, 2), (2, 3)], "u long, v long")).collect()
+    assert sorted((x.node, x.component) for x in got) == [(1, 1), (2, 1), (3, 1)]
+
+
+def test_plan_of_near_lines_does_not_grow_with_its_rounds(spark):
+    """Crowded buckets are dealt anew in rounds; what each finds is written, so the driver's plan has no more joins for it."""
+    texts = ["a" * 120] + ["".join("b" if i == k else "a" for i in range(120)) for k in range(0, 120, 2)]
+    docs = make(spark, list(enumerate(texts))).selectExpr("doc_id", "xxhash64(doc_id, text) as rid", "text")
+    joins, rows = [], []
+    for most in (1000, 4):
+        _, near, written = line_dedup.later_near_lines(docs, most=most)
+        joins.append(near._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        rows.append(sorted(tuple(r) for r in near.collect()))
+        line_dedup.release(*written)
+    assert joins[0] == joins[1] and rows[0] == rows[1] and rows[0]
