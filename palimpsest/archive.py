@@ -197,12 +197,12 @@ class Archives:
             read = rows.where("item is not null")
             tagged = read.where(F.col("kind").isin(*TAGGED)).select(F.lit(service).alias("service"), F.lit(account).alias("account"), "export_index", "kind", "path", F.col("item").alias("value"))
             read = read.where(~F.col("kind").isin(*TAGGED))
-            # a number for each item, in the order of dumps, files and places: two levels, no single task
-            counts = read.groupBy("export_index", "path").agg(F.count("*").alias("c"))
-            starts = counts.selectExpr("export_index", "path", "coalesce(sum(c) over (partition by export_index order by path rows between unbounded preceding and 1 preceding), 0) as off")
-            dumps = counts.groupBy("export_index").agg(F.sum("c").alias("c")).selectExpr("export_index", "coalesce(sum(c) over (order by export_index rows between unbounded preceding and 1 preceding), 0) as before")
-            numbered = read.selectExpr("*", "row_number() over (partition by export_index, path order by place) - 1 as n").join(starts, ["export_index", "path"]).join(F.broadcast(dumps), "export_index")
-            items = numbered.select(F.lit(service).alias("service"), F.lit(account).alias("account"), (F.col("before") + F.col("off") + F.col("n") + base).cast("long").alias("seq"), "export_index", "item")
+            # a number for each item, in the order of dumps, files and places: dealt by ranges, so that no dump is one task's; what is counted is a row a task
+            order = ("export_index", "path", "place")
+            ranged = self._write(read.repartitionByRange(*order).sortWithinPartitions(*order).select("export_index", "item", F.monotonically_increasing_id().alias("n")), f"{new}/work/ranged")
+            starts = ranged.groupBy(F.shiftright("n", 33).alias("task")).agg(F.count("*").alias("c")).selectExpr("task", "coalesce(sum(c) over (order by task rows between unbounded preceding and 1 preceding), 0) as before")
+            numbered = ranged.join(F.broadcast(starts), F.shiftright("n", 33) == F.col("task"))
+            items = numbered.select(F.lit(service).alias("service"), F.lit(account).alias("account"), (F.col("before") + F.col("n").bitwiseAND(F.lit((1 << 33) - 1)) + base).cast("long").alias("seq"), "export_index", "item")
             exports = self.spark.createDataFrame([(service, account, first + k, p, None) for k, p in enumerate(paths)], EXPORT_ROW)
             assets, bodies = (self.spark.createDataFrame([], ADDED_ROWS[t]) for t in ("assets", "asset_bodies"))
             if listed is not None and listed.limit(1).count():

@@ -137,3 +137,28 @@ def test_an_empty_dump_adds_nothing(spark, tmp_path):
     assert got["conversations"] == 0 and got["buckets_written"] == 0 and a.spans("s", "a").count() == 0 and a.verify("s", "a")
     got = a.ingest(write_dump(tmp_path / "d" / "1.json", [("c", "t", None, [])]), service="s", account="a", kind="assistant")
     assert got["conversations"] == 1 and a.search("t", service="s", account="a").count() == 1
+
+
+def test_a_large_dump_is_no_task_of_its_own(spark, tmp_path, monkeypatch):
+    """Its file is written by many tasks, and its items are numbered by ranges: in order of their places, without a window over the dump."""
+    from palimpsest.plans.queries import _one_dump
+
+    writes, write = {}, Archives._write
+    monkeypatch.setattr(Archives, "_write", lambda self, df, path, by=None: writes.update({path.rsplit("/", 1)[-1]: df._jdf.queryExecution().executedPlan().toString()}) or write(self, df, path, by))
+    items = [{"conversation": {"id": f"c{k}"}, "responses": [{"response": {"_id": "1", "message": f"é{k}"}}]} for k in range(3000)]
+    rows = spark.createDataFrame([(json.dumps(x, ensure_ascii=False),) for x in items], "value string").repartition(7)
+    tasks = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("dump", "")
+    path = _one_dump(spark, rows, f"file://{tmp_path}/d", '"odd":1,', ',"x":[]')
+    stages = [tasks.getStageInfo(s).numTasks for j in tasks.getJobIdsForGroup("dump") for s in tasks.getJobInfo(j).stageIds if tasks.getStageInfo(s)]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert stages.count(7) >= 2  # lines, and their copying
+    read = json.loads(Path(path).read_text())
+    assert read["odd"] == 1 and read["x"] == [] and sorted(x["conversation"]["id"] for x in read["conversations"]) == sorted(x["conversation"]["id"] for x in items)
+    archives = Archives(spark, str(tmp_path / "archives"), buckets=2)
+    archives.ingest(path, service="s", account="a", kind="assistant")
+    got = archives.table(str(tmp_path / "archives/service=s/account=a"), "items").orderBy("seq").collect()
+    assert [r["seq"] for r in got] == list(range(len(got))) and len(got) == 3000
+    assert [json.loads(r["item"])["conversation"]["id"] for r in got] == [x["conversation"]["id"] for x in read["conversations"]]
+    assert "rangepartitioning(export_index" in writes["ranged"] and "row_number" not in writes["items"]
+    assert json.loads(Path(_one_dump(spark, rows.limit(0), f"file://{tmp_path}/none")).read_text()) == {"conversations": []}
